@@ -54,7 +54,7 @@ _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """First n powers of the hash base and of its inverse, modulo 2**64."""
     if len(_powers[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = 1 << max(20, int(n - 1).bit_length())
         for k, base in enumerate((_BASE, _INVERSE)):
             steps = np.full(size, base & _MASK, dtype=U64)
             steps[0] = 1
@@ -111,7 +111,7 @@ class Words:
         return span_hashes(self.data, self.start, self.end)
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 22) -> np.ndarray:
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 19) -> np.ndarray:
     """Polynomial hash of data[start:end] for sorted, disjoint spans, by prefix sums."""
     out = np.empty(len(start), U64)
     at = 0
@@ -137,3 +137,14 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         out = out * U64(0xD1342543DE82EF95) + words[j : j + n]
     return mix(out)
+
+
+def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """As gram_hashes, by prefix sums: its cost does not depend on k."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, U64)
+    up, down = _power_tables(len(words) + 1)
+    sums = np.zeros(len(words) + 1, U64)
+    np.cumsum(words * up[:-1], out=sums[1:])
+    return mix((sums[k:] - sums[:-k]) * down[:n])

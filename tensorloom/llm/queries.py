@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_dedup import embedding_near_dedup
 from .ngram_join import ngram_jaccard_join
+from .suffix_dedup import repeated_passages
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,8 +20,18 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_read(spark, sf_dir, "documents"), ngram=4, percent=85)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that repeat, with their first places."""
+    return repeated_passages(_read(spark, sf_dir, "documents"), min_words=50)
+
+
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of vectors whose cosine is 0.95 or more."""
+    return embedding_near_dedup(_read(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_suffix_dedup, op4_embedding_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
