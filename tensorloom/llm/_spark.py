@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -65,7 +67,14 @@ def buckets_for(spark: SparkSession, items: int, per_bucket: int) -> int:
     return max(shuffle_partitions(spark), -(-int(items) // per_bucket), 1)
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def release() -> None:
+    """Give freed memory back to the system: workers are kept, and large tasks follow one another."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the texts in one slice stay near max_bytes; no text is cut."""
     for batch in batches:
         n = batch.num_rows

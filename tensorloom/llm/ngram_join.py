@@ -32,13 +32,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import Workspace, buckets_for, components, prefilter, runs, slices
+from ._spark import Workspace, buckets_for, components, prefilter, release, runs, slices
 from ._words import U64, Words, gram_hashes, mix
 
 #: A gram is heavy in a batch if this part of its documents have it, and HEAVY_LEAST at least.
 HEAVY_SHARE, HEAVY_LEAST = 1 / 128, 32
 #: Grams of one routing bucket, of one mapper flush, and of one block of a signature tree.
-BUCKET_GRAMS, FLUSH_GRAMS, BLOCK_GRAMS = 2_000_000, 1_000_000, 1_000_000
+BUCKET_GRAMS, FLUSH_GRAMS, BLOCK_GRAMS = 2_000_000, 600_000, 1_000_000
 LEAF, FANOUT, BITS, PIVOTS = 16, 8, 2048, 16
 
 
@@ -102,6 +102,7 @@ def _profile(k: int):
             if size >= FLUSH_GRAMS:
                 yield heavy()
                 size = 0
+                release()
         if held:
             yield heavy()
 
@@ -179,6 +180,7 @@ def _route(k: int, percent: int, n_buckets: int, heavy_keys: np.ndarray, heavy_c
             if size >= FLUSH_GRAMS:
                 yield batch_of(list(flush(held)))
                 held, size = {}, 0
+                release()
         if held:
             yield batch_of(list(flush(held)))
 
@@ -202,6 +204,7 @@ def _census(n_buckets: int):
         if bucket < 0:
             n = table.num_rows
             return pa.table([pa.array([-1 - bucket] * n, pa.int32()), pa.array([-1] * n, pa.int32()), table.column("fps"), table.column("counts"), pa.array([b""] * n, pa.binary()), table.column("extra")], schema=schema)
+        release()
         keys = _joined(table, "keys", np.uint32)
         fps = np.repeat(_joined(table, "fps", np.int64), _joined(table, "counts", np.uint32))
         order = np.argsort(keys)
