@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql.types import StructType
 
 from ._words import U64, mix
 
@@ -41,6 +42,11 @@ def owners_of(table: pa.Table) -> np.ndarray:
     return np.repeat(joined(table, "owners", np.int64), joined(table, "counts", np.uint32))
 
 
+def extended(schema: StructType, ddl: str) -> StructType:
+    """schema with more fields."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)

@@ -19,6 +19,7 @@ import regex
 import tokenizers
 from pyspark.sql import DataFrame
 
+from ._blobs import extended
 from ._spark import slices
 
 #: Pieces that a task's table holds before it is emptied (about 100 MB).
@@ -136,10 +137,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text",
                 more.append(_list_of([bpe.offsets(t, i) for t, i in zip(texts, ids, strict=True)]))
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*kept, *added])
 
-    schema = docs.schema
-    for name in added:
-        schema = schema.add(name, "array<int>")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, extended(docs.schema, ", ".join(f"{name} array<int>" for name in added)))
 
 
 def bpe_decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -153,7 +151,7 @@ def bpe_decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             rows = [bpe.decode(np.asarray(x.values)) if x.is_valid else b"" for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], names=[*kept, "decoded"])
 
-    return encoded.mapInArrow(run, encoded.schema.add("decoded", "binary"))
+    return encoded.mapInArrow(run, extended(encoded.schema, "decoded binary"))
 
 
 def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> tuple[str, str]:
