@@ -1,11 +1,583 @@
-"""Registered queries of the tensor operators and their SQL."""
+"""Registered queries of the tensor operators and their SQL.
+
+Matrices: L holds quantities by (supplier, part), E the embeddings by (vector, component), A
+and B a price and a size per part, V the values of events. Index columns are i0, i1, ..; sums are
+rounded on both sides, as their order is free.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import sources as S
+from .core import Tensor, grid
+from .functions import ieee, packed
+from .functions import quaternion as Q
+from .operators import arithmetic as A
+from .operators import dense as D
+from .operators import geometry as G
+from .operators import indexing as X
+from .operators import iterative as I
+from .operators import products as P
+from .operators import reductions as R
+from .plans import chain, gram_packed
+
+WIDTH = 64
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None):
+    def put(fn):
+        _QUERIES[name] = fn
+        if sql is not None:
+            _SQL[name] = sql
+        return fn
+
+    return put
+
+
+class Data:
+    """The tables of a folder as tensors. Shapes come from row counts: keys run from 0."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+    def n(self, name: str) -> int:
+        return self.table(name).count()
+
+    def quantities(self, where: str = "true") -> Tensor:
+        rows = self.table("lineitem").where(where)
+        return S.from_rows(rows, ["l_suppkey", "l_partkey"], "l_quantity", (self.n("supplier"), self.n("part")))
+
+    def embeddings(self) -> Tensor:
+        return S.from_packed(self.table("embeddings"), "vec_id", "embedding", self.n("embeddings"), WIDTH)
+
+    def packed(self) -> DataFrame:
+        return self.table("embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+
+    def vector(self, table: str, key: str, value: str) -> Tensor:
+        return Tensor(self.table(table).select(F.col(key).alias("i0"), F.col(value).cast("double").alias("v")), (self.n(table),))
+
+    def price(self) -> Tensor:
+        return self.vector("part", "p_partkey", "p_retailprice")
+
+    def part_size(self) -> Tensor:
+        return self.vector("part", "p_partkey", "p_size")
+
+    def events(self) -> Tensor:
+        return self.vector("events", "event_id", "value")
+
+    def centroids(self) -> Tensor:
+        """Mean embedding of each label: labels by components."""
+        rows = self.embeddings().df.join(self.table("embeddings").select(F.col("vec_id").alias("i0"), F.col("label").cast("long").alias("l")), "i0")
+        return Tensor(rows.groupBy(F.col("l").alias("i0"), "i1").agg(F.avg("v").alias("v")), (10, WIDTH))
+
+    def systems(self) -> DataFrame:
+        """Packed symmetric matrices of 4 rows, one per label: 5 I + sums of products of components."""
+        e = lambda k: F.element_at("e", k + 1)
+        sums = [(F.sum(e(p) * e(q)) + (5.0 if p == q else 0.0)) for p in range(4) for q in range(4)]
+        return self.packed().groupBy(F.col("label").cast("long").alias("label")).agg(F.array(*sums).alias("a")).withColumns({"nrow": F.lit(4), "ncol": F.lit(4)})
+
+    def tall(self) -> DataFrame:
+        """Packed matrices of 6 rows and 3 columns, one per label: sums of component products."""
+        e = lambda k: F.element_at("e", k + 1)
+        sums = [F.sum(e(p) * e(q + 6)) + (2.0 if p == q else 0.0) for p in range(6) for q in range(3)]
+        return self.packed().groupBy(F.col("label").cast("long").alias("label")).agg(F.array(*sums).alias("a")).withColumns({"nrow": F.lit(6), "ncol": F.lit(3)})
+
+
+def rounded(t: Tensor | DataFrame, digits: int = 6, *columns: str) -> DataFrame:
+    df = t.df if isinstance(t, Tensor) else t
+    return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in columns or ("v",)})
+
+
+def query(name: str, sql: str | None):
+    """Register a function of Data."""
+
+    def put(fn):
+        register(name, sql)(lambda spark, sf_dir: fn(Data(spark, sf_dir)))
+        return fn
+
+    return put
+
+
+_L = "L AS (SELECT l_suppkey AS i0, l_partkey AS i1, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
+_LA = "LA AS (SELECT l_suppkey AS i0, l_partkey AS i1, sum(l_quantity) AS v FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2)"
+_LR = "LR AS (SELECT l_suppkey AS i0, l_partkey AS i1, sum(l_quantity) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)"
+_E = "E AS (SELECT vec_id AS i0, CAST(g.p AS BIGINT) AS i1, CAST(embedding[g.p + 1] AS DOUBLE) AS v FROM embeddings, range(64) g(p))"
+_A = "A AS (SELECT p_partkey AS i0, p_retailprice AS v FROM part)"
+_B = "B AS (SELECT p_partkey AS i0, CAST(p_size AS DOUBLE) AS v FROM part)"
+_V = "V AS (SELECT event_id AS i0, value AS v FROM events)"
+_C = f"{_E}, C AS (SELECT CAST(label AS BIGINT) AS i0, i1, avg(E.v) AS v FROM E JOIN embeddings ON vec_id = i0 GROUP BY 1, 2)"
+_G = f"{_E}, G AS (SELECT a.i1 AS i0, b.i1 AS i1, sum(a.v * b.v) AS v FROM E a JOIN E b ON a.i0 = b.i0 GROUP BY 1, 2)"
+_X = "X AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)"
+_M = f"{_X}, M AS (SELECT CAST(label AS BIGINT) AS label, p.p AS i0, q.q AS i1, sum(e[p.p + 1] * e[q.q + 1]) + CASE WHEN p.p = q.q THEN 5 ELSE 0 END AS v FROM X, range(4) p(p), range(4) q(q) GROUP BY 1, 2, 3)"
+_T = f"{_X}, T AS (SELECT CAST(label AS BIGINT) AS label, p.p AS i0, q.q AS i1, sum(e[p.p + 1] * e[q.q + 7]) + CASE WHEN p.p = q.q THEN 2 ELSE 0 END AS v FROM X, range(6) p(p), range(3) q(q) GROUP BY 1, 2, 3)"
+
+# ---------------------------------------------------------------- sources and storage
+
+
+@query("coo_compress", f"WITH {_L} SELECT * FROM L")
+def _(d):
+    return d.quantities().df
+
+
+@query("coeff_lookup", f"WITH {_L}, K AS (SELECT range AS i0, range * 7 % 100 AS k1 FROM range(20)) SELECT K.i0, coalesce(L.v, 0) AS v FROM K LEFT JOIN L ON L.i0 = K.i0 % 10 AND L.i1 = K.k1")
+def _(d):
+    places = d.spark.range(20).select(F.col("id").alias("k"), (F.col("id") % 10).alias("i0"), (F.col("id") * 7 % 100).alias("i1"))
+    return X.coefficients(d.quantities(), places).df
+
+
+@query("identity", "SELECT range AS i0, range AS i1, CAST(1 AS DOUBLE) AS v FROM range(12)")
+def _(d):
+    return S.identity(d.spark, (12, 20)).df
+
+
+@query("unit_vector", "SELECT CAST(3 AS BIGINT) AS i0, CAST(1 AS DOUBLE) AS v")
+def _(d):
+    return S.unit(d.spark, 8, 3).df
+
+
+@query("constant", "SELECT a.range AS i0, b.range AS i1, CAST(2.5 AS DOUBLE) AS v FROM range(6) a, range(5) b")
+def _(d):
+    return S.constant(d.spark, 2.5, (6, 5)).df
+
+
+@query("ones_plus_zeros", "SELECT a.range AS i0, b.range AS i1, CAST(1 AS DOUBLE) AS v FROM range(6) a, range(5) b")
+def _(d):
+    return A.combine("add", S.ones(d.spark, (6, 5)), S.zeros(d.spark, (6, 5))).df
+
+
+@query("iota", "SELECT a.range AS i0, b.range AS i1, CAST(b.range + 3 AS DOUBLE) AS v FROM range(6) a, range(5) b")
+def _(d):
+    return S.iota(d.spark, (6, 5), axis=1, start=3).df
+
+
+@query("linear_space", "SELECT range AS i0, round(2 + range * (9.0 - 2) / 49, 9) AS v FROM range(50)")
+def _(d):
+    return rounded(S.linear_space(d.spark, 2, 9, 50), 9)
+
+
+@query("random_uniform", None)
+def _(d):
+    return S.random(d.spark, (1000,), seed=5).df
+
+
+@query("random_normal", None)
+def _(d):
+    return S.random(d.spark, (1000,), seed=5, distribution="normal").df
+
+
+@query("compressed_rows", "SELECT i0 AS outer_i, list(i1 ORDER BY i1)[1] AS first_i, count(*) AS nnz, sum(v) AS total FROM (SELECT l_suppkey AS i0, l_partkey AS i1, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2) GROUP BY 1")
+def _(d):
+    rows = S.compressed(d.quantities())
+    return rows.select(F.col("outer").alias("outer_i"), F.element_at("indices", 1).alias("first_i"), F.size("indices").cast("long").alias("nnz"), packed.total(F.col("values")).alias("total"))
+
+
+# ---------------------------------------------------------------- index space
+
+
+@query("transpose", f"WITH {_L} SELECT i1 AS i0, i0 AS i1, v FROM L")
+def _(d):
+    return X.transpose(d.quantities()).df
+
+
+@query("extract_diagonal", f"WITH {_L} SELECT s.range AS i0, coalesce(L.v, 0) AS v FROM (SELECT range FROM range((SELECT count(*) FROM supplier))) s LEFT JOIN L ON L.i0 = s.range AND L.i1 = s.range")
+def _(d):
+    return X.diagonal(d.quantities()).densify().df
+
+
+@query("from_diagonal", f"WITH {_A} SELECT i0, i0 AS i1, v FROM A")
+def _(d):
+    return S.from_diagonal(d.price()).df
+
+
+@query("slice_strided", f"WITH {_E} SELECT (i0 - 10) // 3 AS i0, (i1 - 4) // 2 AS i1, v FROM E WHERE i0 >= 10 AND i0 < 100 AND (i0 - 10) % 3 = 0 AND i1 >= 4 AND i1 < 44 AND (i1 - 4) % 2 = 0")
+def _(d):
+    return X.slice_(d.embeddings(), X.strided(10, 90, 3), X.strided(4, 40, 2)).df
+
+
+@query("gather_rows", f"WITH {_E}, K AS (SELECT * FROM (VALUES (0, 7), (1, 3), (2, 7), (3, 0)) k(n, o)) SELECT CAST(n AS BIGINT) AS i0, i1, v FROM K JOIN E ON E.i0 = o")
+def _(d):
+    return X.slice_(d.embeddings(), [7, 3, 7, 0], slice(None)).df
+
+
+@query("row", f"WITH {_E} SELECT i1 AS i0, v FROM E WHERE i0 = 5")
+def _(d):
+    return X.row(d.embeddings(), 5).df
+
+
+@query("col", f"WITH {_E} SELECT i0, v FROM E WHERE i1 = 5")
+def _(d):
+    return X.col(d.embeddings(), 5).df
+
+
+@query("top_rows", f"WITH {_E} SELECT * FROM E WHERE i0 < 20")
+def _(d):
+    return X.top_rows(d.embeddings(), 20).df
+
+
+@query("bottom_rows", f"WITH {_E}, n AS (SELECT count(*) AS n FROM embeddings) SELECT i0 - (n - 20) AS i0, i1, v FROM E, n WHERE i0 >= n - 20")
+def _(d):
+    return X.bottom_rows(d.embeddings(), 20).df
+
+
+@query("left_cols", f"WITH {_E} SELECT * FROM E WHERE i1 < 9")
+def _(d):
+    return X.left_cols(d.embeddings(), 9).df
+
+
+@query("right_cols", f"WITH {_E} SELECT i0, i1 - 55 AS i1, v FROM E WHERE i1 >= 55")
+def _(d):
+    return X.right_cols(d.embeddings(), 9).df
+
+
+@query("segment", f"WITH {_A} SELECT i0 - 5 AS i0, v FROM A WHERE i0 >= 5 AND i0 < 25")
+def _(d):
+    return X.segment(d.price(), 5, 20).df
+
+
+@query("packed_head_tail", f"WITH {_X} SELECT vec_id, e[1:3] AS h, e[62:64] AS t FROM X")
+def _(d):
+    return d.packed().select("vec_id", packed.head(F.col("e"), 3).alias("h"), packed.tail(F.col("e"), 3).alias("t"))
+
+
+@query("reshape", f"WITH {_E} SELECT i0, i1 // 8 AS i1, i1 % 8 AS i2, v FROM E")
+def _(d):
+    t = d.embeddings()
+    return X.reshape(t, t.shape[0], 8, 8).df
+
+
+@query("swizzle3", f"WITH {_E} SELECT i1 % 8 AS i0, CAST(0 AS BIGINT) AS i1, i0 AS i2, i1 // 8 AS i3, v FROM E")
+def _(d):
+    t = d.embeddings()
+    return X.swizzle(X.reshape(t, t.shape[0], 8, 8), 2, None, 0, 1).df
+
+
+@query("homogeneous_position", f"WITH {_A} SELECT * FROM A UNION ALL SELECT count(*), 1.0 FROM part")
+def _(d):
+    return X.homogeneous(d.price(), "position").df
+
+
+@query("repeat_broadcast", f"WITH {_E}, {_A} SELECT E.i0, E.i1, E.v + A.v AS v FROM E JOIN A ON A.i0 = E.i1")
+def _(d):
+    return A.combine("add", d.embeddings(), X.repeat_left(X.head(d.price(), WIDTH))).df
+
+
+@query("with_slice", f"WITH {_E} SELECT i0, i1, CASE WHEN i0 >= 2 AND i0 < 6 AND i1 >= 3 AND i1 < 5 THEN CAST(7 AS DOUBLE) ELSE v END AS v FROM E")
+def _(d):
+    return X.with_slice(d.embeddings(), S.constant(d.spark, 7, (4, 2)), 2, 3).df
+
+
+@query("cast", f"WITH {_V} SELECT i0, CAST(trunc(v) AS BIGINT) AS v FROM V")
+def _(d):
+    return d.events().cast("long").df
+
+
+for _mode, _where in {"lower": "i0 >= i1", "upper": "i0 <= i1", "strictly_lower": "i0 > i1", "strictly_upper": "i0 < i1", "off_diagonal": "i0 <> i1"}.items():
+    query(f"triangular_{_mode}", f"WITH {_G} SELECT i0, i1, round(v, 6) + 0.0 AS v FROM G WHERE {_where}")(lambda d, m=_mode: rounded(A.triangular(P.gram(d.embeddings()), m)))
+query("triangular_unit_lower", f"WITH {_G} SELECT i0, i1, CASE WHEN i0 = i1 THEN 1.0 ELSE round(v, 6) + 0.0 END AS v FROM G WHERE i0 >= i1")(lambda d: rounded(A.triangular(P.gram(d.embeddings()), "unit_lower")))
+
+# ---------------------------------------------------------------- coefficient-wise
+
+_AB = f"WITH {_A}, {_B}"
+for _op, _expr in {"add": "A.v + B.v", "sub": "A.v - B.v", "mul": "A.v * B.v", "div": "A.v / B.v", "mod": "A.v % B.v", "min": "least(A.v, B.v * 30)", "max": "greatest(A.v, B.v * 30)"}.items():
+    _times = 30.0 if _op in ("min", "max") else 1.0
+    query(f"ew_{_op}", f"{_AB} SELECT A.i0, round({_expr}, 6) + 0.0 AS v FROM A JOIN B ON A.i0 = B.i0")(lambda d, o=_op, k=_times: rounded(A.combine(o, d.price(), A.combine("mul", d.part_size(), k))))
+for _op, _expr in {"add": "v + 1.5", "sub": "1.5 - v", "mul": "v * 1.5", "div": "v / 1.5", "mod": "v % 7"}.items():
+    _left, _right = {"sub": (1.5, None), "mod": (None, 7.0)}.get(_op, (None, 1.5))
+    query(f"scalar_{_op}", f"WITH {_A} SELECT i0, round({_expr}, 6) + 0.0 AS v FROM A")(lambda d, o=_op, x=_left, y=_right: rounded(A.combine(o, d.price() if x is None else x, d.price() if y is None else y)))
+for _op, _sign in {"and": "&", "or": "|"}.items():
+    query(f"bit_{_op}", f"{_AB} SELECT A.i0, CAST(floor(A.v) AS BIGINT) {_sign} CAST(B.v AS BIGINT) AS v FROM A JOIN B ON A.i0 = B.i0")(lambda d, o=_op: A.combine(o, A.math(d.price(), "floor"), d.part_size()).df)
+query("bit_xor", f"{_AB} SELECT A.i0, xor(CAST(floor(A.v) AS BIGINT), CAST(B.v AS BIGINT)) AS v FROM A JOIN B ON A.i0 = B.i0")(lambda d: A.combine("xor", A.math(d.price(), "floor"), d.part_size()).df)
+query("bit_not", f"WITH {_B} SELECT i0, ~CAST(v AS BIGINT) AS v FROM B")(lambda d: A.bit_not(d.part_size()).df)
+for _op, _sign in {"eq": "=", "ne": "<>", "lt": "<", "le": "<=", "gt": ">", "ge": ">="}.items():
+    query(f"cmp_{_op}", f"WITH {_B} SELECT i0, v {_sign} 25 AS v FROM B")(lambda d, o=_op: A.combine(o, d.part_size(), 25.0).df)
+query("spaceship", f"WITH {_B} SELECT i0, CAST(CASE WHEN v < 25 THEN -1 WHEN v = 25 THEN 0 ELSE 1 END AS TINYINT) AS v FROM B")(lambda d: A.combine("spaceship", d.part_size(), 25.0).df)
+query("negate", f"WITH {_A} SELECT i0, -v AS v FROM A")(lambda d: A.negate(d.price()).df)
+query("select_mask", f"{_AB} SELECT A.i0, CASE WHEN B.v > 25 THEN A.v ELSE B.v END AS v FROM A JOIN B ON A.i0 = B.i0")(lambda d: A.select(A.combine("gt", d.part_size(), 25.0), d.price(), d.part_size()).df)
+query("select_order", f"{_AB} SELECT A.i0, CASE WHEN B.v < 25 THEN A.v WHEN B.v = 25 THEN 0 ELSE -A.v END AS v FROM A JOIN B ON A.i0 = B.i0")(
+    lambda d: A.select_order(A.combine("spaceship", d.part_size(), 25.0), d.price(), A.combine("mul", d.price(), 0.0), A.negate(d.price())).df
+)
+query("logical_not", f"WITH {_B} SELECT i0, NOT (v > 25) AS v FROM B")(lambda d: A.logical_not(A.combine("gt", d.part_size(), 25.0)).df)
+query("ieee_division", f"WITH {_B} SELECT i0, CASE WHEN v = 25 THEN 'Infinity' ELSE 'finite' END AS v FROM B")(
+    lambda d: A.combine("div", 1.0, A.combine("sub", d.part_size(), 25.0)).df.select("i0", F.when(F.abs("v") == float("inf"), "Infinity").otherwise("finite").alias("v"))
+)
+
+_UNIT = {"sqrt", "cbrt", "log", "log2", "log10", "floor", "ceil", "round", "sign", "abs", "negate"}
+_FN = {"exp2": "pow(2, {x})", "log": "ln({x})", "ceil": "ceil({x})", "negate": "-{x}", "round": "round({x})", "sign": "CAST(sign({x}) AS DOUBLE)"}
+for _name in ieee.MATH:
+    _x = "v" if _name in _UNIT else "(v / 500)"
+    _body = _FN.get(_name, f"{_name}({{x}})").format(x=_x)
+    query(f"math_{_name}", f"WITH {_V} SELECT i0, round({_body}, 9) + 0.0 AS v FROM V")(lambda d, n=_name, u=_name in _UNIT: rounded(A.math(d.events() if u else A.combine("div", d.events(), 500.0), n), 9))
+query("math_pow", f"WITH {_V} SELECT i0, round(pow(v / 500, 2.5), 7) AS v FROM V")(lambda d: rounded(A.power(A.combine("div", d.events(), 500.0), 2.5), 7))
+query("unary_expr", f"WITH {_V} SELECT i0, round(v * v + 1, 6) AS v FROM V")(lambda d: rounded(A.unary_expr(d.events(), lambda v: v * v + 1)))
+query("angles", f"WITH {_V} SELECT i0, round(radians(v), 9) AS r, round(degrees(v), 6) AS g FROM V")(lambda d: d.events().df.select("i0", F.round(F.radians("v"), 9).alias("r"), F.round(F.degrees("v"), 6).alias("g")))
+
+# ---------------------------------------------------------------- products
+
+query("spmv", f"WITH {_L}, {_A} SELECT L.i0, round(sum(L.v * A.v), 3) AS v FROM L JOIN A ON L.i1 = A.i0 GROUP BY 1")(lambda d: rounded(P.matmul(d.quantities(), d.price()), 3))
+query("spmv_norm", f"WITH {_L}, {_A}, Y AS (SELECT sum(L.v * A.v) AS v FROM L JOIN A ON L.i1 = A.i0 GROUP BY L.i0) SELECT round(sqrt(sum(v * v)), 1) AS v FROM Y")(lambda d: rounded(R.norm(P.matmul(d.quantities(), d.price())), 1))
+query("matmul", f"WITH {_L} SELECT a.i0, b.i0 AS i1, sum(a.v * b.v) AS v FROM L a JOIN L b ON a.i1 = b.i1 GROUP BY 1, 2 HAVING sum(a.v * b.v) <> 0")(lambda d: P.matmul(m := d.quantities(), X.transpose(m)).df)
+query("matmul_gram", f"WITH {_G} SELECT i0, i1, round(v, 6) + 0.0 AS v FROM G")(lambda d: rounded(P.gram(d.embeddings())))
+query("gram_packed", f"WITH {_G} SELECT i0, i1, round(v, 6) + 0.0 AS v FROM G")(lambda d: rounded(gram_packed(d.table("embeddings"), "embedding", WIDTH)))
+query("matmul_chain", f"WITH {_L}, {_LA}, Y AS (SELECT LA.i0, sum(LA.v * A.p_retailprice) AS v FROM LA JOIN part A ON LA.i1 = p_partkey GROUP BY 1), W AS (SELECT L.i1 AS i0, sum(L.v * Y.v) AS v FROM L JOIN Y ON L.i0 = Y.i0 GROUP BY 1) SELECT i0, CAST(0 AS BIGINT) AS i1, round(v, 2) AS v FROM W")(
+    lambda d: rounded(chain(X.transpose(d.quantities()), d.quantities("l_returnflag = 'A'"), X.anti_slice(d.price(), 1)), 2)
+)
+query("sparse_add", f"WITH {_LA}, {_LR} SELECT i0, i1, sum(v) AS v FROM (SELECT * FROM LA UNION ALL SELECT * FROM LR) GROUP BY 1, 2 HAVING sum(v) <> 0")(lambda d: A.combine("add", d.quantities("l_returnflag = 'A'"), d.quantities("l_returnflag = 'R'")).prune().df)
+query("sparse_sub", f"WITH {_LA}, {_LR} SELECT i0, i1, sum(v) AS v FROM (SELECT * FROM LA UNION ALL SELECT i0, i1, -v FROM LR) GROUP BY 1, 2 HAVING sum(v) <> 0")(lambda d: A.combine("sub", d.quantities("l_returnflag = 'A'"), d.quantities("l_returnflag = 'R'")).prune().df)
+query("sparse_hadamard", f"WITH {_LA}, {_LR} SELECT LA.i0, LA.i1, LA.v * LR.v AS v FROM LA JOIN LR ON LA.i0 = LR.i0 AND LA.i1 = LR.i1")(lambda d: A.combine("mul", d.quantities("l_returnflag = 'A'"), d.quantities("l_returnflag = 'R'")).df)
+query("dot", f"WITH {_A}, {_B} SELECT round(sum(A.v * B.v), 2) AS v FROM A JOIN B ON A.i0 = B.i0")(lambda d: rounded(P.dot(d.price(), d.part_size()), 2))
+query("dot_pairs", f"WITH {_X} SELECT a.vec_id, round(list_dot_product(a.e, b.e), 9) + 0.0 AS v FROM X a JOIN X b ON b.vec_id = a.vec_id + 1")(
+    lambda d: rounded(d.packed().alias("a").join(d.packed().alias("b"), F.col("b.vec_id") == F.col("a.vec_id") + 1).select("a.vec_id", packed.dot(F.col("a.e"), F.col("b.e")).alias("v")), 9)
+)
+query("cross_packed", f"WITH {_X} SELECT vec_id, round(e[2] * e[6] - e[3] * e[5], 9) + 0.0 AS x, round(e[3] * e[4] - e[1] * e[6], 9) + 0.0 AS y, round(e[1] * e[5] - e[2] * e[4], 9) + 0.0 AS z FROM X")(
+    lambda d: rounded(d.packed().select("vec_id", packed.cross(packed.segment(F.col("e"), 0, 3), packed.segment(F.col("e"), 3, 3)).alias("c")).select("vec_id", *(F.get("c", F.lit(k)).alias(n) for k, n in enumerate("xyz"))), 9, "x", "y", "z")
+)
+query("outer", f"WITH {_C} SELECT a.i1 AS i0, b.i1 AS i1, round(a.v * b.v, 9) + 0.0 AS v FROM C a, C b WHERE a.i0 = 0 AND b.i0 = 1")(lambda d: rounded(P.outer(X.row(c := d.centroids(), 0), X.row(c, 1)), 9))
+query("form_vector", f"WITH {_C} SELECT round(sum(a.v * b.v), 9) + 0.0 AS v FROM C a JOIN C b ON a.i1 = b.i1 WHERE a.i0 = 0 AND b.i0 = 1")(lambda d: rounded(P.form_times(X.row(c := d.centroids(), 0).as_kind("form"), X.row(c, 1)), 9))
+query("form_matrix", f"WITH {_C}, F AS (SELECT i0, v FROM C WHERE i1 = 0) SELECT C.i1 AS i0, round(sum(F.v * C.v), 9) + 0.0 AS v FROM F JOIN C ON F.i0 = C.i0 GROUP BY 1")(lambda d: rounded(P.form_times(X.col(c := d.centroids(), 0).as_kind("form"), c), 9))
+query("form_tensor", f"WITH {_C}, F AS (SELECT i0, v FROM C WHERE i1 = 0) SELECT C.i1 // 8 AS i0, C.i1 % 8 AS i1, round(sum(F.v * C.v), 9) + 0.0 AS v FROM F JOIN C ON F.i0 = C.i0 GROUP BY 1, 2")(lambda d: rounded(P.form_times(X.col(c := d.centroids(), 0), X.reshape(c, 10, 8, 8)), 9))
+query("wedge", f"WITH {_C}, a AS (SELECT i1 AS i, v FROM C WHERE i0 = 0), b AS (SELECT i1 AS i, v FROM C WHERE i0 = 1) SELECT p.i AS i0, q.i AS i1, round(p.v * bq.v - q.v * bp.v, 9) + 0.0 AS v FROM a p, a q, b bp, b bq WHERE bp.i = p.i AND bq.i = q.i")(lambda d: rounded(P.wedge(X.row(c := d.centroids(), 0), X.row(c, 1)), 9))
+query("contract", f"WITH {_E} SELECT i0, round(sum(v), 9) + 0.0 AS v FROM E WHERE i1 // 8 = i1 % 8 GROUP BY 1")(lambda d: rounded(P.contract(X.reshape(t := d.embeddings(), t.shape[0], 8, 8), 1, 2), 9))
+query("full_contract", f"WITH {_C}, D AS (SELECT i0, v FROM C WHERE i1 = 0), H AS (SELECT i1 AS i0, v FROM C WHERE i0 = 0 AND i1 < 10) SELECT round(sum(D.v * H.v), 9) + 0.0 AS v FROM D JOIN H ON D.i0 = H.i0")(lambda d: rounded(P.full_contract(P.outer(X.col(c := d.centroids(), 0), X.head(X.row(c, 0), 10))), 9))
+query("diagonal_pairing", f"WITH {_C} SELECT round(sum(v * v), 9) + 0.0 AS v FROM C WHERE i0 = i1")(lambda d: rounded(P.diagonal_pairing(c := X.left_cols(d.centroids(), 10), c), 9))
+query("cosine_neighbours", f"WITH {_X}, N AS (SELECT b.vec_id AS q, a.vec_id, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS c FROM X a, X b WHERE b.vec_id < 5) SELECT q, vec_id, round(c, 6) + 0.0 AS v FROM N WHERE c >= 0.2")(
+    lambda d: rounded(d.packed().alias("a").join(F.broadcast(d.packed().where("vec_id < 5").select(F.col("vec_id").alias("q"), F.col("e").alias("f")))).select("q", "a.vec_id", (packed.dot(F.col("a.e"), F.col("f")) / (packed.norm(F.col("a.e")) * packed.norm(F.col("f")))).alias("v")).where("v >= 0.2"))
+)
+
+# ---------------------------------------------------------------- reductions
+
+query("sum", f"WITH {_V} SELECT round(sum(v), 3) AS v FROM V")(lambda d: rounded(R.total(d.events()), 3))
+query("product_small", f"WITH {_V} SELECT round(product(1 + v / 1000), 4) AS v FROM V WHERE i0 < 100")(lambda d: rounded(R.product(A.unary_expr(X.head(d.events(), 100), lambda v: 1 + v / 1000)), 4))
+query("product_sparse", "SELECT CAST(0 AS DOUBLE) AS v")(lambda d: R.product(d.quantities()).df)
+query("any", f"WITH {_V} SELECT bool_or(v > 100) AS v FROM V")(lambda d: R.any_(A.combine("gt", d.events(), 100.0)).df)
+query("all", f"WITH {_V} SELECT bool_and(v > 0) AS v FROM V")(lambda d: R.all_(A.combine("gt", d.events(), 0.0)).df)
+query("mean_coeff", f"WITH {_L} SELECT round(sum(v) / ((SELECT count(*) FROM supplier) * (SELECT count(*) FROM part)), 9) AS v FROM L")(lambda d: rounded(R.mean(d.quantities()), 9))
+query("min_with_index", f"WITH {_V} SELECT v, i0 FROM V ORDER BY v, i0 LIMIT 1")(lambda d: R.extreme_with_index(d.events()))
+query("max_with_index", f"WITH {_V} SELECT v, i0 FROM V ORDER BY v DESC, i0 LIMIT 1")(lambda d: R.extreme_with_index(d.events(), least=False))
+query("min_max_coeff", f"WITH {_L} SELECT CAST(0 AS DOUBLE) AS lo, max(v) AS hi FROM L")(lambda d: R.min_coeff(m := d.quantities()).df.select(F.col("v").alias("lo")).join(R.max_coeff(m).df.select(F.col("v").alias("hi"))))
+query("trace", f"WITH {_G} SELECT round(sum(v), 6) AS v FROM G WHERE i0 = i1")(lambda d: rounded(R.trace(P.gram(d.embeddings()))))
+for _p in (1, 2, 3, 4):
+    query(f"norm_l{_p}", f"WITH {_V} SELECT round(pow(sum(pow(abs(v), {_p})), 1.0 / {_p}), 4) AS v FROM V")(lambda d, p=_p: rounded(R.norm(d.events(), p), 4))
+query("norm_powered", f"WITH {_V} SELECT round(sum(pow(abs(v / 500), 3)), 6) AS v FROM V")(lambda d: rounded(R.norm_powered(A.combine("div", d.events(), 500.0), 3)))
+query("normalized", f"WITH {_V} SELECT i0, round(v / (SELECT sqrt(sum(v * v)) FROM V), 9) AS v FROM V")(lambda d: rounded(R.normalized(d.events()), 9))
+query("normalized_packed", f"WITH {_X} SELECT vec_id, round(e[1] / sqrt(list_dot_product(e, e)), 9) + 0.0 AS v FROM X")(lambda d: rounded(d.packed().select("vec_id", F.element_at(packed.normalized(F.col("e")), 1).alias("v")), 9))
+query("frobenius_norm", f"WITH {_L} SELECT round(sqrt(sum(v * v)), 6) AS v FROM L")(lambda d: rounded(R.frobenius_norm(d.quantities())))
+query("one_norm", f"WITH {_L} SELECT max(s) AS v FROM (SELECT sum(abs(v)) AS s FROM L GROUP BY i1)")(lambda d: R.one_norm(d.quantities()).df)
+query("inf_norm", f"WITH {_L} SELECT max(s) AS v FROM (SELECT sum(abs(v)) AS s FROM L GROUP BY i0)")(lambda d: R.inf_norm(d.quantities()).df)
+query("rowwise_sum", f"WITH {_L} SELECT i0, sum(v) AS v FROM L GROUP BY 1")(lambda d: R.rowwise(d.quantities(), F.sum).df)
+query("rowwise_norm", f"WITH {_L} SELECT i0, round(sqrt(sum(v * v)), 6) AS v FROM L GROUP BY 1")(lambda d: rounded(R.rowwise(d.quantities(), R.l2)))
+query("colwise_sum", f"WITH {_L} SELECT i1 AS i0, sum(v) AS v FROM L GROUP BY 1")(lambda d: R.colwise(d.quantities(), F.sum).df)
+query("colwise_norm", f"WITH {_E} SELECT i1 AS i0, round(sqrt(sum(v * v)), 6) AS v FROM E GROUP BY 1")(lambda d: rounded(R.colwise(d.embeddings(), R.l2)))
+query("partial_reduction", f"WITH {_E} SELECT i1 // 8 AS i0, round(max(v), 9) + 0.0 AS v FROM E GROUP BY 1")(lambda d: rounded(R.reduce_dims(X.reshape(t := d.embeddings(), t.shape[0], 8, 8), (0, 2), F.max), 9))
+query("rowwise_normalize", f"WITH {_L} SELECT i0, i1, round(v / sqrt(sum(v * v) OVER (PARTITION BY i0)), 9) AS v FROM L")(lambda d: rounded(R.normalize_fibers(d.quantities(), 0), 9))
+query("rowwise_transform", f"WITH {_E} SELECT i0, i1, round(v - avg(v) OVER (PARTITION BY i0), 9) + 0.0 AS v FROM E")(lambda d: rounded(R.transform_fibers(d.embeddings(), lambda x: x - x.mean(), 0), 9))
+query("colwise_transform", f"WITH {_E} SELECT i0, i1, round(sum(v) OVER (PARTITION BY i1 ORDER BY i0), 7) + 0.0 AS v FROM E")(lambda d: rounded(R.transform_fibers(d.embeddings(), np.cumsum, 1), 7))
+
+# ---------------------------------------------------------------- dense kernels
+
+
+def kernel(name: str, sql: str, schema: str, tall: bool = False):
+    """Register a kernel on the packed systems: fn(matrix) -> array of rows by columns, given back as cells."""
+
+    def put(fn):
+        def run(row: dict) -> dict:
+            out = np.atleast_2d(np.asarray(fn(D.matrix_of(row)), float))
+            return {"label": row["label"], "rows": out.shape[0], "cols": out.shape[1], "out": out.ravel().tolist()}
+
+        def build(d: Data) -> DataFrame:
+            found = D.per_row(d.tall() if tall else d.systems(), run, "label long, rows int, cols int, out array<double>")
+            cells = found.select("label", "cols", F.posexplode("out").alias("p", "v"))
+            at = cells.select("label", F.expr("p div cols").alias("i0"), (F.col("p") % F.col("cols")).cast("long").alias("i1"), "v")
+            return rounded(at.select(*schema.split(",")), 6)
+
+        query(name, sql)(build)
+        return fn
+
+    return put
+
+
+_MAT = f"WITH {_M} SELECT label, i0, i1, round(v, 6) + 0.0 AS v FROM M"
+_TALL = f"WITH {_T} SELECT label, i0, i1, round(v, 6) + 0.0 AS v FROM T"
+_EYE = f"WITH {_M} SELECT label, i0, i1, CASE WHEN i0 = i1 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS v FROM M"
+_EYE3 = f"WITH {_T} SELECT label, i0, i1, CASE WHEN i0 = i1 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS v FROM T WHERE i0 < 3"
+_ONES = f"WITH {_M} SELECT label, i0 AS i1, CAST(1 AS DOUBLE) AS v FROM M WHERE i1 = 0"
+_ONES3 = f"WITH {_T} SELECT label, i1, CAST(1 AS DOUBLE) AS v FROM T WHERE i0 = 0"
+_ALL = "label,i0,i1,v"
+_VEC = "label,i1,v"
+
+
+def _unpermuted(a):
+    lu = D.plu(a)
+    out = np.empty_like(lu.lower)
+    out[lu.order] = lu.lower @ lu.upper
+    return out
+
+
+def _lower_product(a):
+    lower, d = D.ldlt(a)
+    return lower @ np.diag(d) @ lower.T
+
+
+def _pivoted_product(a):
+    q, r, order = D.qr_col_pivot(a)
+    out = np.empty_like(a)
+    out[:, order] = q @ r
+    return out
+
+
+kernel("plu", _MAT, _ALL)(_unpermuted)
+kernel("llt", _MAT, _ALL)(lambda a: (f := D.llt(a)) @ f.T)
+kernel("ldlt", _MAT, _ALL)(_lower_product)
+kernel("qr", _TALL, _ALL, True)(lambda a: np.matmul(*D.qr(a)))
+kernel("qr_full", _TALL, _ALL, True)(lambda a: np.matmul(*D.qr_full(a)))
+kernel("qr_gram_schmidt", _TALL, _ALL, True)(lambda a: np.matmul(*D.qr_gram_schmidt(a)))
+kernel("qr_col_pivot", _TALL, _ALL, True)(_pivoted_product)
+kernel("gram_schmidt", _EYE3, _ALL, True)(lambda a: (q := D.gram_schmidt(a)).T @ q)
+kernel("svd", _TALL, _ALL, True)(lambda a: (f := D.svd(a))[0] @ np.diag(f[1]) @ f[2])
+kernel("polar", _MAT, _ALL)(lambda a: np.matmul(*D.polar(a)))
+kernel("schur", _MAT, _ALL)(lambda a: (f := D.schur(a))[0] @ f[1] @ f[0].T)
+kernel("hessenberg", _MAT, _ALL)(lambda a: (f := D.hessenberg_reduce(a))[0] @ f[1] @ f[0].T)
+kernel("symmetric_eigen", _MAT, _ALL)(lambda a: (f := D.symmetric_eigen(a))[1] @ np.diag(f[0]) @ f[1].T)
+kernel("inverse", _EYE, _ALL)(lambda a: a @ D.inverse(a))
+kernel("pseudoinverse", _EYE3, _ALL, True)(lambda a: D.pseudoinverse(a) @ a)
+kernel("cofactor", _EYE, _ALL)(lambda a: a @ D.cofactor(a).T / D.determinant(a))
+kernel("triangular_solve", _ONES, _VEC)(lambda a: D.triangular_solve(np.tril(a), np.tril(a).sum(axis=1), "lower"))
+kernel("plu_solve", _ONES, _VEC)(lambda a: D.plu_solve(a, a.sum(axis=1)))
+kernel("llt_solve", _ONES, _VEC)(lambda a: D.llt_solve(a, a.sum(axis=1)))
+kernel("ldlt_solve", _ONES, _VEC)(lambda a: D.ldlt_solve(a, a.sum(axis=1)))
+kernel("qr_solve", _ONES3, _VEC, True)(lambda a: D.qr_solve(a, a.sum(axis=1)))
+kernel("jacobi", _ONES, _VEC)(lambda a: I.jacobi(a, a.sum(axis=1)).x)
+kernel("gauss_seidel", _ONES, _VEC)(lambda a: I.gauss_seidel(a, a.sum(axis=1)).x)
+kernel("conjugate_gradient", _ONES, _VEC)(lambda a: I.conjugate_gradient(a, a.sum(axis=1)).x)
+kernel("pcg_jacobi", _ONES, _VEC)(lambda a: I.conjugate_gradient(a, a.sum(axis=1), preconditioner=I.JacobiPreconditioner(a)).x)
+kernel("pcg_ssor", _ONES, _VEC)(lambda a: I.conjugate_gradient(a, a.sum(axis=1), preconditioner=I.SsorPreconditioner(a)).x)
+kernel("gmres", _ONES, _VEC)(lambda a: I.gmres(a, a.sum(axis=1)).x)
+kernel("bicgstab", _ONES, _VEC)(lambda a: I.bicgstab(a, a.sum(axis=1)).x)
+kernel("arnoldi", _EYE, _ALL)(lambda a: np.pad(q @ q.T, (0, 4 - len(q))) + np.diag([0.0] * len(q) + [1.0] * (4 - len(q))) if len(q := np.array(I.arnoldi(a, np.arange(1.0, 5.0), 3)[0])) else a)
+kernel("determinant", f"WITH {_M} SELECT label, CAST(0 AS DOUBLE) AS v FROM M GROUP BY 1", "label,v")(lambda a: D.determinant(a) / np.prod(np.linalg.eigvalsh(a)) - 1)
+kernel("eigen_trace", f"WITH {_M} SELECT label, round(sum(v), 6) AS v FROM M WHERE i0 = i1 GROUP BY 1", "label,v")(lambda a: D.eigen(a)[0].sum().real)
+kernel("svd_energy", f"WITH {_T} SELECT label, round(sum(v * v), 6) AS v FROM T GROUP BY 1", "label,v", True)(lambda a: (D.svd(a)[1] ** 2).sum())
+kernel("rank", f"WITH {_T} SELECT label, CAST(3 AS DOUBLE) AS v FROM T GROUP BY 1", "label,v", True)(lambda a: D.rank(a))
+kernel("power_method", f"WITH {_M} SELECT label, CAST(0 AS DOUBLE) AS v FROM M GROUP BY 1", "label,v")(lambda a: I.power_method(a, np.array([1.0, 0.9, 0.8, 0.7]), tol=1e-9, max_iter=100_000)[0] / D.spectral_norm(a) - 1)
+kernel("condition_number", f"WITH {_M} SELECT label, CAST(0 AS DOUBLE) AS v FROM M GROUP BY 1", "label,v")(lambda a: D.condition_number(a) / np.linalg.cond(a) - 1)
+
+
+@query("multigrid", "SELECT range AS i0, CAST(1 AS DOUBLE) AS v FROM range(63)")
+def _(d):
+    def solve(row: dict) -> dict:
+        n = row["n"]
+        a = 2.0 * np.eye(n) - np.eye(n, k=1) - np.eye(n, k=-1)
+        return {"v": I.multigrid(I.build_hierarchy(a, 4), a.sum(axis=1)).x.tolist()}
+
+    rows = D.per_row(d.spark.createDataFrame([(63,)], "n int"), solve, "v array<double>")
+    return rounded(rows.select(F.posexplode("v").alias("i0", "v")).withColumn("i0", F.col("i0").cast("long")))
+
+
+def _chain_matrix(d: Data, n: int) -> Tensor:
+    """Sparse matrix with 4 on the diagonal and -1 beside it."""
+    rows = d.spark.range(n).select(F.col("id").alias("i0"), F.explode(F.expr("array(struct(id AS j, 4D AS v), struct(id - 1 AS j, -1D AS v), struct(id + 1 AS j, -1D AS v))")).alias("c"))
+    return Tensor(rows.select("i0", F.col("c.j").alias("i1"), F.col("c.v").alias("v")).where(f"i1 >= 0 AND i1 < {n}"), (n, n), sparse=True)
+
+
+@query("cg_spread", "SELECT range AS i0, CAST(1 AS DOUBLE) AS v FROM range(200)")
+def _(d):
+    a = _chain_matrix(d, 200)
+    b = P.matmul(a, S.ones(d.spark, (200,)))
+    return rounded(I.conjugate_gradient(a, b, tol=1e-3).x, 2)
+
+
+# ---------------------------------------------------------------- geometry
+
+
+def _points(d: Data) -> DataFrame:
+    return d.packed().select("vec_id", *(F.element_at("e", k + 1).alias(n) for k, n in enumerate(("x", "y", "z", "u", "p", "q", "r", "s"))))
+
+
+def _point_query(name: str, sql: str, columns, names: str = "xyz"):
+    @query(name, f"WITH {_X}, N AS (SELECT vec_id, e[1] AS x, e[2] AS y, e[3] AS z, e[4] AS u, e[5] AS p, e[6] AS q, e[7] AS r, e[8] AS s FROM X) SELECT vec_id, {sql} FROM N")
+    def _(d):
+        return rounded(_points(d).select("vec_id", *(c.alias(n) for c, n in zip(columns(), names, strict=True))), 8, *names)
+
+
+def _cells(**parts: str) -> str:
+    return ", ".join(f"round({v}, 8) + 0.0 AS {k}" for k, v in parts.items())
+
+
+_XYZ = lambda: (F.col("x"), F.col("y"), F.col("z"))
+_PQR = lambda: (F.col("p"), F.col("q"), F.col("r"))
+_QUAT = lambda: Q.quaternion(F.col("x"), F.col("y"), F.col("z"), F.col("u"))
+_QUAT2 = lambda: Q.quaternion(F.col("p"), F.col("q"), F.col("r"), F.col("s"))
+_LEN = "(x * x + y * y + z * z + u * u)"
+
+_point_query("translation", _cells(x="x + 1", y="y + 2", z="z + 3"), lambda: G.translation(1, 2, 3).apply(*_XYZ()))
+_point_query("scaling", _cells(x="x * 2", y="y * 3", z="z * 4"), lambda: G.scaling(2, 3, 4).apply(*_XYZ()))
+_point_query("rotation", _cells(x="x * cos(0.5) - y * sin(0.5)", y="x * sin(0.5) + y * cos(0.5)", z="z"), lambda: G.rotation(0.5, (0, 0, 2)).apply(*_XYZ()))
+_point_query("trs_apply", _cells(x="2 * x * cos(0.5) - 3 * y * sin(0.5) + 1", y="2 * x * sin(0.5) + 3 * y * cos(0.5) + 2", z="4 * z + 3"), lambda: (G.translation(1, 2, 3) @ G.rotation(0.5, (0, 0, 1)) @ G.scaling(2, 3, 4)).apply(*_XYZ()))
+_point_query("transform_inverse", _cells(x="x", y="y", z="z"), lambda: ((t := G.translation(1, 2, 3) @ G.rotation(0.5, (1, 2, 2)) @ G.scaling(2, 3, 4)).inverse() @ t).apply(*_XYZ()))
+_point_query("look_at", _cells(x="x", y="y", z="z - 5"), lambda: G.look_at((0, 0, 5), (0, 0, 0), (0, 1, 0)).apply(*_XYZ()))
+_point_query("ortho", _cells(x="x / 2", y="y / 3", z="-z * 2 / 9 - 11.0 / 9"), lambda: G.ortho(-2, 2, -3, 3, 1, 10).apply(*_XYZ()))
+_point_query("perspective", _cells(x="x / tan(0.5) / 1.5 / (5 - z)", y="y / tan(0.5) / (5 - z)", z="(11.0 / 9 * (5 - z) - 20.0 / 9) / (5 - z)"), lambda: (G.perspective(1.0, 1.5, 1, 10) @ G.look_at((0, 0, 5), (0, 0, 0), (0, 1, 0))).apply(*_XYZ()))
+_point_query("project_unproject", _cells(x="x", y="y", z="z"), lambda: G.unproject(G.project(_XYZ(), v := G.look_at((0, 0, 5), (0, 0, 0), (0, 1, 0)), f := G.perspective(1.0, 1.5, 1, 10), (0, 0, 640, 480)), v, f, (0, 0, 640, 480)))
+_point_query("distance", _cells(v="sqrt((x - p) * (x - p) + (y - q) * (y - q) + (z - r) * (z - r))"), lambda: (G.distance(_XYZ(), _PQR()),), ("v",))
+_point_query("reflect", _cells(x="x - 2 * 0.6 * (0.6 * x + 0.8 * y)", y="y - 2 * 0.8 * (0.6 * x + 0.8 * y)", z="z"), lambda: G.reflect(_XYZ(), (F.lit(0.6), F.lit(0.8), F.lit(0.0))))
+_point_query(
+    "refract",
+    _cells(**{c: f"CASE WHEN 1 - 2.25 * (1 - z * z) < 0 THEN 0 ELSE 1.5 * {c} - (1.5 * z + sqrt(greatest(1 - 2.25 * (1 - z * z), 0))) * {n} END" for c, n in (("x", 0), ("y", 0), ("z", 1))}),
+    lambda: G.refract(_XYZ(), (F.lit(0.0), F.lit(0.0), F.lit(1.0)), 1.5),
+)
+_point_query("face_forward", _cells(x="CASE WHEN x * p + y * q + z * r < 0 THEN x ELSE -x END", y="CASE WHEN x * p + y * q + z * r < 0 THEN y ELSE -y END", z="CASE WHEN x * p + y * q + z * r < 0 THEN z ELSE -z END"), lambda: G.face_forward(_XYZ(), _PQR(), _XYZ()))
+_point_query("quat_mul", _cells(w="x * p - y * q - z * r - u * s", x="x * q + y * p + z * s - u * r", y="x * r - y * s + z * p + u * q", z="x * s + y * r - z * q + u * p"), lambda: [Q.mul(_QUAT(), _QUAT2())[n] for n in "wxyz"], "wxyz")
+_point_query("quat_norm", _cells(n=f"sqrt{_LEN}", d="x * p + y * q + z * r + u * s"), lambda: (Q.norm(_QUAT()), Q.dot(_QUAT(), _QUAT2())), "nd")
+_point_query("quat_inverse", _cells(w=f"x / {_LEN}", x=f"-y / {_LEN}", y=f"-z / {_LEN}", z=f"-u / {_LEN}"), lambda: [Q.inverse(_QUAT())[n] for n in "wxyz"], "wxyz")
+
+
+@query("quat_rotation_matrix", f"WITH {_X} SELECT vec_id, CAST(1 AS DOUBLE) AS v FROM X")
+def _(d):
+    """A unit quaternion, its matrix, and back: the same rotation, so their dot product is 1 or -1."""
+    unit = _points(d).select("vec_id", Q.normalized(_QUAT()).alias("n"))
+    back = unit.select("vec_id", "n", Q.to_matrix(F.col("n")).alias("m")).select("vec_id", "n", Q.from_matrix(F.col("m")).alias("b"))
+    return rounded(back.select("vec_id", F.abs(Q.dot(F.col("n"), F.col("b"))).alias("v")), 8)
+
+
+_point_query("quat_rotate", _cells(x="x * cos(0.5) - y * sin(0.5)", y="x * sin(0.5) + y * cos(0.5)", z="z"), lambda: [F.get(Q.rotate(Q.angle_axis(F.lit(0.5), F.lit(0.0), F.lit(0.0), F.lit(1.0)), *_XYZ()), F.lit(k)) for k in range(3)])
+_point_query("euler_angles", _cells(x="x", y="y", z="z"), lambda: [Q.to_euler(Q.from_euler(*_XYZ()))[n] for n in ("pitch", "yaw", "roll")])
+_point_query("slerp", _cells(w="cos((0.25 + 0.3 * x) / 1)", z="sin(0.25 + 0.3 * x)"), lambda: [Q.slerp(Q.angle_axis(F.lit(0.5), F.lit(0.0), F.lit(0.0), F.lit(1.0)), Q.angle_axis(0.5 + 2 * F.col("x"), F.lit(0.0), F.lit(0.0), F.lit(1.0)), F.lit(0.3))[n] for n in "wz"], "wz")
+
+
+@query("trs_decompose", "SELECT * FROM (VALUES (CAST(0 AS BIGINT), CAST(1 AS DOUBLE), CAST(2 AS DOUBLE)), (1, CAST(2 AS DOUBLE), CAST(3 AS DOUBLE)), (2, CAST(3 AS DOUBLE), CAST(4 AS DOUBLE))) t(i0, shift, scale)")
+def _(d):
+    shift, _, scale = G.trs_decompose(G.translation(1, 2, 3) @ G.rotation(0.5, (1, 2, 2)) @ G.scaling(2, 3, 4))
+    return rounded(d.spark.createDataFrame(pd.DataFrame({"i0": np.arange(3), "shift": shift, "scale": scale})), 9, "shift", "scale")
+
+
+_DET2 = "D AS (SELECT l_suppkey, sum(l_quantity) AS a, sum(l_linenumber) AS b, sum(l_tax) AS c, sum(l_discount) AS d FROM lineitem GROUP BY 1)"
+
+
+@query("inv2", f"WITH {_DET2} SELECT l_suppkey, round(a * d - b * c, 4) + 0.0 AS det, round(d / (a * d - b * c), 6) + 0.0 AS i00 FROM D")
+def _(d):
+    sums = d.table("lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("a"), F.sum("l_linenumber").alias("b"), F.sum("l_tax").alias("c"), F.sum("l_discount").alias("d"))
+    det = F.col("a") * F.col("d") - F.col("b") * F.col("c")
+    return sums.select("l_suppkey", (F.round(det, 4) + 0.0).alias("det"), (F.round(ieee.div(F.col("d"), det), 6) + 0.0).alias("i00"))
+
+
+@query("grid", "SELECT a.range AS i0, b.range AS i1, c.range AS i2 FROM range(4) a, range(3) b, range(5) c")
+def _(d):
+    return grid(d.spark, (4, 3, 5))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
