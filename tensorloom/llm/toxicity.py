@@ -19,20 +19,21 @@ from ._spark import slices
 from ._words import NON_ALNUM, U64, Words, delimiter_mask, span_hashes
 
 #: Hash bits of the weights, and lengths in bytes of the word beginnings used beside whole words.
-BITS, BEGINNINGS = 18, (3, 4, 5, 6, 7)
+BITS, BEGINNINGS = 18, (3, 4, 5, 6)
 #: The bounded sample that the model is fitted on: documents of each label, and bytes of text in all.
-SAMPLE_DOCS, SAMPLE_BYTES = 4000, 24 << 20
+SAMPLE_DOCS, SAMPLE_BYTES = 4000, 16 << 20
 ENDS = delimiter_mask(b".!?\n")
 START_BIAS = -4.0
 
 
-def features(words: Words) -> np.ndarray:
-    """Feature numbers, one row per word: the word and its beginnings (of short words the word again, salted)."""
+def features(words: Words, picked: np.ndarray) -> np.ndarray:
+    """Feature numbers, a row for each picked word: the word and its beginnings, salted by length."""
     shift = U64(64 - BITS)
-    out = np.empty((len(words.start), 1 + len(BEGINNINGS)), np.int32)
-    out[:, 0] = span_hashes(words.data, words.start, words.end) >> shift
+    start, end = words.start[picked], words.end[picked]
+    out = np.empty((len(start), 1 + len(BEGINNINGS)), np.int32)
+    out[:, 0] = span_hashes(words.data, start, end) >> shift
     for k, size in enumerate(BEGINNINGS, 1):
-        part = span_hashes(words.data, words.start, np.minimum(words.end, words.start + size))
+        part = span_hashes(words.data, start, np.minimum(end, start + size))
         out[:, k] = (part * U64(0x9E3779B97F4A7C15 + 2 * size)) >> shift
     return out
 
@@ -49,6 +50,28 @@ def sentences(words: Words) -> np.ndarray:
     return np.cumsum(new) - 1
 
 
+class Sentences:
+    """Distinct words of each distinct sentence of each row.
+
+    picked: words that count (a word once in a sentence); which: their sentence; owner: row of
+    each sentence; once: false for sentences that their row holds before.
+    """
+
+    def __init__(self, words: Words):
+        which = sentences(words)
+        self.heads = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1]))) if len(which) else np.zeros(0, np.int64)
+        h = words.hashes()
+        key = (which.astype(U64) << U64(36)) | (h >> U64(28))
+        _, picked = np.unique(key, return_index=True)
+        self.picked = np.sort(picked)
+        self.which = which[self.picked]
+        self.owner = np.searchsorted(words.first, self.heads, side="right") - 1
+        mark = np.bincount(self.which, weights=(h[self.picked] >> U64(11)).astype(np.float64), minlength=len(self.heads))
+        order = np.lexsort((mark, self.owner))
+        self.once = np.ones(len(order), bool)
+        self.once[order[1:]] = (self.owner[order[1:]] != self.owner[order[:-1]]) | (mark[order[1:]] != mark[order[:-1]])
+
+
 def noisy_or(p: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """1 - product of (1 - p) by owner; 0 where there is none."""
     return -np.expm1(np.bincount(owner, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n))
@@ -62,16 +85,15 @@ class Model:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
 
-    def sentence_scores(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of each sentence, and the first word of each."""
-        which = sentences(words)
-        if not len(which):
-            return np.zeros(0), np.zeros(0, np.int64)
-        z = np.bincount(which, weights=self.weights[features(words)].sum(axis=1)) + self.bias
-        return _sigmoid(z), np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1])))
+    def scores(self, words: Words) -> tuple[np.ndarray, np.ndarray, Sentences]:
+        """Score of each row, and of each sentence."""
+        parts = Sentences(words)
+        z = np.bincount(parts.which, weights=self.weights[features(words, parts.picked)].sum(axis=1), minlength=len(parts.heads)) + self.bias
+        p = _sigmoid(z)
+        return noisy_or(p[parts.once], parts.owner[parts.once], len(words.first) - 1), p, parts
 
 
-def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, rounds: int = 12, rate: float = 0.15, decay: float = 1e-5, batch: int = 64, seed: int = 3) -> Model:
+def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, rounds: int = 14, rate: float = 0.15, decay: float = 1e-5, batch: int = 32, seed: int = 3) -> Model:
     """Gradient steps (each feature with its own rate) on the weighted log loss of the noisy-or.
 
     docs: features of each sentence's words, flat, and their sentence numbers (from 0).
@@ -105,17 +127,19 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights:
     return Model(w.astype(np.float32), float(bias))
 
 
-def _featurize(batches):
-    for batch in slices(batches, "text"):
-        words = Words(batch.column("text"))
-        feats, which = features(words), sentences(words)
-        rows = []
-        for a, b in zip(words.first[:-1], words.first[1:], strict=True):
-            own = which[a:b] - (which[a] if b > a else 0)
-            # A feature counts once in a sentence.
-            pairs = np.unique(own[:, None] * (1 << BITS) + feats[a:b])
-            rows.append(pairs.tobytes())
-        yield pa.record_batch([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array(rows, pa.binary())], names=["doc_id", "toxic", "pairs"])
+def featurized(texts: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For fit: the features of each text's distinct sentences, flat, and their sentence numbers."""
+    out = []
+    rows = pa.table({"text": texts}).to_batches()
+    for batch in slices(rows, "text"):
+        words = Words(batch.column("text"), NON_ALNUM)
+        parts = Sentences(words)
+        kept = parts.once[parts.which]
+        picked, which = parts.picked[kept], (np.cumsum(parts.once) - 1)[parts.which[kept]]
+        feats = features(words, picked)
+        for a, b in zip(*(np.searchsorted(picked, words.first[k:][: batch.num_rows]) for k in (0, 1)), strict=True):
+            out.append((feats[a:b].ravel(), np.repeat((which[a:b] - (which[a] if b > a else 0)).astype(np.int32), feats.shape[1])))
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
@@ -137,9 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS,
         return Model(np.zeros(1 << BITS, np.float32), START_BIAS)
     spark = docs.sparkSession
     ids = F.broadcast(spark.createDataFrame(sizes[["doc_id", "toxic"]].astype("int64")))
-    rows = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "toxic", "text").mapInArrow(_featurize, "doc_id long, toxic int, pairs binary").toArrow().sort_by("doc_id")
-    pairs = [np.frombuffer(x, np.int64) for x in rows.column("pairs").to_pylist()]
-    data = [((p & ((1 << BITS) - 1)).astype(np.int32), p >> BITS) for p in pairs]
+    rows = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "toxic", "text").toArrow().sort_by("doc_id")
+    data = featurized(rows.column("text"))
     y = rows.column("toxic").to_numpy().astype(np.int64)
     share = np.array([totals[0], totals[1]], float) / np.bincount(y, minlength=2)
     weights = share[y] / share[y].mean()
@@ -154,10 +177,9 @@ def _score(model: Model, columns: list[str], threshold: float):
     def run(batches):
         for batch in slices(batches, "text"):
             n = batch.num_rows
-            words = Words(batch.column("text"))
-            p, heads = model.sentence_scores(words)
-            owner = np.searchsorted(words.first, heads, side="right") - 1
-            scores = noisy_or(p, owner, n)
+            words = Words(batch.column("text"), NON_ALNUM)
+            scores, p, parts = model.scores(words)
+            owner, heads = parts.owner, parts.heads
             flags: list[list] = [[] for _ in range(n)]
             tails = np.append(heads[1:], len(words.start)) - 1
             for s in np.flatnonzero(p >= threshold):
@@ -191,9 +213,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFra
 
     def run(batches):
         for batch in slices(batches, "text"):
-            words = Words(batch.column("text"))
-            p, heads = model.sentence_scores(words)
-            scores = noisy_or(p, np.searchsorted(words.first, heads, side="right") - 1, batch.num_rows)
+            scores = model.scores(Words(batch.column("text"), NON_ALNUM))[0]
             yield batch.filter(pa.array(scores < threshold))
 
     return docs.select(*columns).mapInArrow(run, schema)
