@@ -230,7 +230,7 @@ def _census(n_buckets: int):
         order = np.argsort(home, kind="stable")
         home, keys, fps, df = home[order], keys[order], fps[order], df[order]
         heads = np.flatnonzero(np.diff(home, prepend=-1))
-        ends = np.append(heads[1:], len(home))
+        ends = np.append(heads, len(home))[1:]
         rows = [(int(home[a]), bucket, fps[a:b].tobytes(), keys[a:b].tobytes(), df[a:b].tobytes(), b"") for a, b in zip(heads, ends, strict=True)]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema) if rows else schema.empty_table()
 
@@ -369,8 +369,11 @@ _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 def _sets_of(k: int, columns: list[str]):
     def run(batches):
         for batch in slices(batches, "text"):
-            sets = [s.tobytes() for s in gram_sets(Words(batch.column("text")), k)]
-            yield pa.record_batch([*(batch.column(c) for c in columns), pa.array(sets, pa.binary())], names=[*columns, "grams"])
+            sets = list(gram_sets(Words(batch.column("text")), k))
+            # A doc_id that stands for two texts brings both: only the one with this fingerprint counts.
+            own = pa.array(np.array([fingerprint(s) for s in sets], np.int64) == batch.column("fp").to_numpy())
+            out = pa.record_batch([*(batch.column(c) for c in columns), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*columns, "grams"])
+            yield out.filter(own)
 
     return run
 
@@ -444,8 +447,8 @@ def _resolve_across(sets: DataFrame, sizes: DataFrame, links: DataFrame, ws: Wor
 def ngram_jaccard_join(docs: DataFrame, ngram: int = 5, percent: int = 80, *, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """Group documents whose sets of word n-grams have a Jaccard similarity of percent/100 or more.
 
-    docs: doc_id (integer, unique) and text; other columns are left out. Returns one
-    row per document: doc_id, n_shingles (set size) and component_id (smallest doc_id
+    docs: doc_id (integer) and text; other columns and rows of null doc_id are left out. Returns one
+    row per row: doc_id, n_shingles (set size) and component_id (smallest doc_id
     reachable by links, itself included). ASCII letters are lower-cased; words are
     runs of anything but ASCII white space; a text of fewer words than ngram is one gram.
     A null or empty text, or one of white space, has an empty set, which links with
@@ -453,7 +456,7 @@ def ngram_jaccard_join(docs: DataFrame, ngram: int = 5, percent: int = 80, *, bl
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "ngram-join")
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     profile = ws.table(docs.mapInArrow(_profile(ngram), "kind int, a long, b long, n long"))
     nodes = profile.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("fp"), "n")
     total = nodes.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("grams")).first()
@@ -486,7 +489,8 @@ def ngram_jaccard_join(docs: DataFrame, ngram: int = 5, percent: int = 80, *, bl
 
     found = components(links, ws).select(F.col("node").alias("fp"), F.col("root").alias("class"))
     classes = nodes.join(found, "fp", "left").withColumn("class", F.coalesce("class", "fp"))
-    least = classes.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
+    # A table of its own, so that the join below can split a large class.
+    least = ws.table(classes.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")))
     out = classes.join(least, "class", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -494,7 +498,7 @@ def ngram_jaccard_join(docs: DataFrame, ngram: int = 5, percent: int = 80, *, bl
 def keep_one(docs: DataFrame, ngram: int = 5, percent: int = 80) -> DataFrame:
     """docs without near duplicates: of each component the document of the smallest doc_id stays.
 
-    All columns of docs are kept. Rows of null doc_id are kept: they are no one's copy.
+    All columns of docs are kept. Rows of null doc_id stay, and rows of one doc_id stay or go together.
     """
-    drop = ngram_jaccard_join(docs.where("doc_id IS NOT NULL"), ngram, percent).where("doc_id <> component_id").select("doc_id")
+    drop = ngram_jaccard_join(docs, ngram, percent).where("doc_id <> component_id").select("doc_id")
     return docs.join(drop, "doc_id", "left_anti")
