@@ -68,6 +68,15 @@ _SENT = pa.schema([("target", pa.int32()), ("owners", pa.binary()), ("counts", p
 _SENT_SQL = "target int, owners binary, counts binary, keys binary, places binary, marks binary"
 
 
+def _distinct(keys: np.ndarray, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries in order of document and place; a row that is there twice says nothing twice."""
+    order = np.lexsort((places, ids))
+    keys, ids, places = keys[order], ids[order], places[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (places[1:] != places[:-1]) | (keys[1:] != keys[:-1])
+    return keys[new], ids[new], places[new]
+
+
 def _firsts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the first of each distinct key, in order of place, and how often each is there."""
     _, first, counts = np.unique(keys, return_index=True, return_counts=True)
@@ -81,7 +90,7 @@ def _send_suffixes(size: int, n_buckets: int):
         gathered = 0
 
         def flush():
-            keys, ids, places = (np.concatenate(c) for c in zip(*held, strict=True))
+            keys, ids, places = _distinct(*(np.concatenate(c) for c in zip(*held, strict=True)))
             first, counts = _firsts(keys)
             marks = (counts > 1).astype(np.uint8)
             rows = list(deal(bucket_of(keys[first], n_buckets), n_buckets, ids[first], keys[first].astype(np.uint32), places[first], marks))
@@ -147,7 +156,14 @@ def _compare(key_type, n_buckets: int):
         shared[:-1] |= same
         keys, places, ids = keys[shared], places[shared], ids[shared]
         order = np.lexsort((places, ids, keys))
-        keys, places, ids = keys[order], places[order], ids[order]
+        keys, places, ids, often = keys[order], places[order], ids[order], often[shared][order]
+        # A row that is there twice sends the same entry twice, which is no repeat.
+        again = np.zeros(len(keys), bool)
+        again[1:] = (keys[1:] == keys[:-1]) & (ids[1:] == ids[:-1]) & (places[1:] == places[:-1])
+        heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        real = np.add.reduceat((~again).astype(np.int64), heads) + np.add.reduceat(often.astype(np.int64), heads) > 1 if len(heads) else np.zeros(0, bool)
+        keep = ~again & np.repeat(real, np.diff(heads, append=len(keys)))
+        keys, places, ids = keys[keep], places[keep], ids[keep]
         first = np.ones(len(keys), np.uint8)
         first[1:] = keys[1:] != keys[:-1]
         return _to_homes(ids, places, first, n_buckets)
@@ -161,7 +177,7 @@ def _marked_suffixes(table: pa.Table) -> pa.Table:
     order = np.lexsort((places, ids))
     ids, places = ids[order], places[order]
     heads = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
-    ends = np.append(heads[1:], len(ids))
+    ends = np.append(heads, len(ids))[1:]
     return pa.table({"doc_id": pa.array(ids[heads], pa.int64()), "marked": pa.array([np.unique(places[a:b]).tobytes() for a, b in zip(heads, ends, strict=True)], pa.binary())})
 
 
@@ -171,9 +187,7 @@ def _send_windows(size: int, n_buckets: int):
         gathered = 0
 
         def flush():
-            keys, ids, places = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = np.lexsort((places, ids))
-            keys, ids, places = keys[order], ids[order], places[order]
+            keys, ids, places = _distinct(*(np.concatenate(c) for c in zip(*held, strict=True)))
             first, counts = _firsts(keys)
             marks = (counts > 1).astype(np.uint8)
             rows = list(deal(bucket_of(keys[first], n_buckets), n_buckets, ids[first], keys[first], places[first], marks))
@@ -218,7 +232,7 @@ def _passages(size: int):
         ids, starts, first = ids[order], starts[order], first[order]
         out = [[], [], [], []]
         heads = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
-        for a, b in zip(heads, np.append(heads[1:], len(ids)), strict=True):
+        for a, b in zip(heads, np.append(heads, len(ids))[1:], strict=True):
             at, kind = starts[a:b], first[a:b]
             length = int(at[-1]) + size
             cover = np.zeros((2, length + 1), np.int32)
@@ -241,7 +255,8 @@ def _passages(size: int):
 def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """Passages of min_words words or more that stand at two places or more, in one document or several.
 
-    docs: doc_id (integer, unique) and text; other columns and rows of null doc_id are left out.
+    docs: doc_id (integer) and text; other columns and rows of null doc_id are left out, and rows
+    of one doc_id with the same text are one.
     ASCII letters are lower-cased; words are runs of anything but ASCII white space.
     Returns a row for each run of repeated words: doc_id, start_word, end_word (exclusive),
     and kept: false where each word lies in a window that stands earlier too, by
@@ -272,7 +287,7 @@ def _cut(columns: list[str]):
             words = Words(batch.column("text"))
             texts = batch.column("text").cast(pa.large_binary()).to_pylist()
             out = []
-            for i, (text, cuts) in enumerate(zip(texts, batch.column("_cuts").to_pylist(), strict=True)):
+            for i, (text, cuts) in enumerate(zip(texts, batch.column("__cuts").to_pylist(), strict=True)):
                 if cuts:
                     base, at, parts = words.offsets[i], 0, []
                     for a, b in sorted((c["start_word"], c["end_word"]) for c in cuts):
@@ -293,10 +308,10 @@ def remove_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     The white space around a cut stays. n_chars, if docs has it, is set anew.
     """
     passages = Workspace(docs.sparkSession, "suffix-cuts").table(repeated_passages(docs, min_words).where("NOT kept"))
-    cuts = passages.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("_cuts"))
+    cuts = passages.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("__cuts"))
     columns = docs.columns
     schema = docs.schema
     if "n_chars" in columns:
         docs = docs.withColumn("n_chars", F.col("n_chars").cast("long"))
         schema = docs.schema
-    return docs.join(cuts, "doc_id", "left").select(*columns, "_cuts").mapInArrow(_cut(columns), schema)
+    return docs.join(cuts, "doc_id", "left").select(*columns, "__cuts").mapInArrow(_cut(columns), schema)
