@@ -116,26 +116,29 @@ def _merged(rows: DataFrame) -> DataFrame:
     return both.withColumn("spans", F.aggregate(F.array_sort("spans"), empty, add))
 
 
+def _groups(benchmark: DataFrame, automaton_words: int) -> list[list[tuple[str, str | None]]]:
+    """Benchmark items, in groups of which each fits an automaton."""
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item IS NOT NULL AND text IS NOT NULL")
+    # Every word takes two bytes at least, so this bounds the words of a group.
+    size = bench.agg(F.coalesce(F.sum(F.octet_length("text") / 2 + 1), F.lit(0.0))).first()[0]
+    groups = max(1, -(-int(size) // (3 * automaton_words)))
+    parts = [bench] if groups == 1 else [bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(groups)) == k) for k in range(groups)]
+    return [[(r["item"], r["text"]) for r in part.collect()] for part in parts]
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
     """Find benchmark text in documents.
 
-    docs: doc_id (integer, unique) and text; benchmark: item_id and text; other columns are left out.
+    docs: doc_id (integer; unique if the benchmark takes several automata) and text; benchmark: item_id and text; other columns are left out.
     A window is a run of ``window`` consecutive words of an item; an item of fewer words, but
     not none, is one window. Returns per document: doc_id, n_words, spans (ranges of
     words inside any window's occurrence, with their places in the text), and items
     (item_ids as strings, sorted, of which a window occurs). Nulls have no words; an
     empty benchmark hits nothing; items that repeat are each reported.
     """
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item IS NOT NULL AND text IS NOT NULL")
-    # Every word takes two bytes at least, so this bounds the words of a group.
-    size = bench.agg(F.coalesce(F.sum(F.octet_length("text") / 2 + 1), F.lit(0.0))).first()[0]
-    groups = max(1, -(-int(size) // (3 * automaton_words)))
     docs = docs.select("doc_id", "text")
-    found = []
-    for k in range(groups):
-        part = bench if groups == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(groups)) == k)
-        found.append(docs.mapInArrow(_scan([(r["item"], r["text"]) for r in part.collect()], window), f"doc_id bigint, n_words bigint, spans array<{_SPAN}>, items array<string>"))
-    if groups == 1:
+    found = [docs.mapInArrow(_scan(items, window), f"doc_id bigint, n_words bigint, spans array<{_SPAN}>, items array<string>") for items in _groups(benchmark, automaton_words)]
+    if len(found) == 1:
         return found[0]
     rows = found[0]
     for more in found[1:]:
@@ -143,7 +146,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, au
     return _merged(rows)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def _clean(items: list[tuple[str, str | None]], window: int):
+    def run(batches):
+        auto = Automaton(items, window)
+        for batch in slices(batches, "text"):
+            yield batch.filter(pa.array([not len(auto.scan(t)[1]) for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return run
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
     """docs, all columns, without the documents that hold a window of any benchmark item."""
-    hit = decontaminate(docs, benchmark, window).where(F.size("spans") > 0).select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti")
+    for items in _groups(benchmark, automaton_words):
+        docs = docs.mapInArrow(_clean(items, window), docs.schema)
+    return docs
