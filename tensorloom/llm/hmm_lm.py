@@ -24,7 +24,9 @@ from ._words import U64, Words
 
 #: Words with a symbol of their own, classes of the others, latent states, rounds of Baum-Welch.
 SYMBOLS, CLASSES, STATES, ROUNDS = 8192, 256, 8, 5
-FLUSH_WORDS, BUCKET_WORDS, CHUNK_TOKENS = 600_000, 2_000_000, 250_000
+FLUSH_WORDS, BUCKET_WORDS, CHUNK_TOKENS = 600_000, 2_000_000, 400_000
+#: Texts up to these numbers of tokens run side by side.
+LENGTHS = (512, 2048)
 #: Symbols in one row of expected counts.
 COUNT_BLOCK = 512
 
@@ -240,54 +242,74 @@ class Hmm:
         order = np.argsort(-sizes, kind="stable")
         ends = sizes[order]
         steps = int(ends[0]) if len(ends) else 0
+        if not steps:
+            nothing = np.zeros(len(texts))
+            return (nothing, np.zeros_like(self.start), np.zeros_like(self.move), np.zeros_like(self.emit)) if learn else nothing
         active = np.searchsorted(-ends, -np.arange(steps), side="left")
-        grid = np.concatenate([texts[i] for i in order]).astype(np.int64) if steps else np.zeros(0, np.int64)
-        first = np.cumsum(ends) - ends
         heads = np.concatenate(([0], np.cumsum(active)))
-        by_step = np.empty(len(grid), np.int64)
+        row = np.repeat(np.arange(len(ends)), ends)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(ends) - ends, ends)
+        place = heads[step] + row
+        by_step = np.empty(len(row), np.uint16)
+        by_step[place] = np.concatenate([texts[i] for i in order])
+        # Learning stores every step and is content with single precision; scores are not.
+        kind = np.float32 if learn else np.float64
+        move, one = self.move.astype(kind), np.ones(len(self.start), kind)
+        shown = self.emit.T.astype(kind)[by_step]
+        alpha = shown if not learn else shown.copy()
+        scale = np.empty(len(row), kind)
+        alpha[: heads[1]] *= self.start.astype(kind)
+        cuts = heads.tolist()
         for t in range(steps):
-            by_step[heads[t] : heads[t + 1]] = grid[first[: active[t]] + t]
-        shown = self.emit.T[by_step]
-        alpha = np.empty_like(shown)
-        scale = np.empty(len(grid))
-        now = None
-        for t in range(steps):
-            a, b = heads[t], heads[t + 1]
-            now = shown[a:b] * (self.start if t == 0 else now[: b - a] @ self.move)
-            c = now.sum(axis=1)
+            a, b = cuts[t], cuts[t + 1]
+            now = alpha[a:b]
+            if t:
+                now *= before[: b - a] @ move
+            c = now @ one
             now /= c[:, None]
-            alpha[a:b], scale[a:b] = now, c
-        logs = np.log(scale)
+            scale[a:b] = c
+            before = now
         likelihood = np.zeros(len(texts))
-        row = np.arange(len(grid)) - np.repeat(heads[:-1], active)
-        likelihood[order] = np.bincount(row, weights=logs, minlength=len(texts))
+        likelihood[order] = np.bincount(row, weights=np.log(scale.astype(np.float64))[place], minlength=len(texts))
         if not learn:
             return likelihood
-        moved = np.zeros_like(self.move)
-        beta = np.ones((0, len(self.start)))
-        for t in range(steps - 1, -1, -1):
-            a, b = heads[t], heads[t + 1]
-            # Texts that end at this step have beta 1; for the others it comes from the next step.
-            new = np.ones((b - a, len(self.start)))
-            if len(beta):
-                c, d = heads[t + 1], heads[t + 2]
-                ahead = shown[c:d] * beta / scale[c:d, None]
-                moved += alpha[a : a + d - c].T @ ahead
-                new[: d - c] = ahead @ self.move.T
-            beta = new
-            shown_now = alpha[a:b]
-            shown_now *= beta
-        moved *= self.move
-        alpha /= alpha.sum(axis=1, keepdims=True)
-        emitted = np.stack([np.bincount(by_step, weights=alpha[:, k], minlength=self.emit.shape[1]) for k in range(len(self.start))]) if steps else np.zeros_like(self.emit)
-        started = alpha[: heads[1]].sum(axis=0) if steps else np.zeros_like(self.start)
-        return likelihood, started, moved, emitted
+        # Of each step but the first: emission times beta over scale, which is what the step before sees ahead.
+        shown /= scale[:, None]
+        beta = np.ones_like(shown)
+        back = np.ascontiguousarray(move.T)
+        for t in range(steps - 1, 0, -1):
+            a, b = cuts[t], cuts[t + 1]
+            shown[a:b] *= beta[a:b]
+            np.matmul(shown[a:b], back, out=beta[cuts[t - 1] : cuts[t - 1] + b - a])
+        later = step > 0
+        moved = self.move * (alpha[place[later] - active[step[later] - 1]].T.astype(np.float64) @ shown[place[later]]) if later.any() else np.zeros_like(self.move)
+        alpha *= beta
+        alpha /= (alpha @ one)[:, None]
+        emitted = np.stack([np.bincount(by_step, weights=alpha[:, k], minlength=self.emit.shape[1]) for k in range(len(self.start))])
+        return likelihood, alpha[: heads[1]].sum(axis=0, dtype=np.float64), moved, emitted
 
 
 def _chunks(batches, column: str):
-    """Rows of about CHUNK_TOKENS symbols."""
+    """Rows of about CHUNK_TOKENS symbols, of texts of like length: the steps of a chunk are those of its longest text."""
+    pools: dict[int, list[pa.RecordBatch]] = {}
+    sizes: dict[int, int] = {}
+
+    def chunk(k: int):
+        table = pa.Table.from_batches(pools.pop(k)).combine_chunks()
+        sizes.pop(k)
+        for part in table.to_batches():
+            yield part, [np.frombuffer(x, np.uint16) for x in part.column(column).to_pylist()]
+
     for batch in slices(batches, column, 2 * CHUNK_TOKENS):
-        yield batch, [np.frombuffer(x, np.uint16) for x in batch.column(column).to_pylist()]
+        tokens = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False) // 2
+        kinds = np.searchsorted(LENGTHS, tokens)
+        for k in np.unique(kinds).tolist():
+            pools.setdefault(k, []).append(batch.filter(pa.array(kinds == k)))
+            sizes[k] = sizes.get(k, 0) + int(tokens[kinds == k].sum())
+            if sizes[k] >= CHUNK_TOKENS:
+                yield from chunk(k)
+    for k in list(pools):
+        yield from chunk(k)
 
 
 def _expect(model: Hmm):
