@@ -133,7 +133,8 @@ class Tensor:
 
     def format(self) -> str:
         """Text of a small tensor: [a, b] for vectors, [row;row] for matrices."""
-        rows = self.densify().df.orderBy(*self.idx).collect()
+        dense = self.densify().df
+        rows = (dense.orderBy(*self.idx) if self.rank else dense).collect()
         if self.rank == 0:
             return f"{rows[0]['v']:g}"
         if self.rank == 1:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from math import prod
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,8 +143,4 @@ def multigrid_sizes(n: int, levels: int) -> list[int]:
 
 def to_local(t: Tensor) -> Iterable:
     """Rows one after another, in row-major order."""
-    return t.df.orderBy(*t.idx).toLocalIterator()
-
-
-def cells(shape: tuple) -> int:
-    return prod(shape)
+    return (t.df.orderBy(*t.idx) if t.rank else t.df).toLocalIterator()
