@@ -18,10 +18,14 @@ from .hmm_lm import hmm_score
 from .license_scan import TEMPLATES, license_scan
 from .ngram_join import ngram_jaccard_join
 from .sharding import place
+from .sql import oracle_sql
 from .suffix_dedup import repeated_passages
 from .toxicity import score_toxicity, train
 
 
+__all__ = ["oracle_sql", "queries"]
+
+
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -132,7 +136,3 @@ _QUERIES = (op1_ngram_jaccard_join, op2_suffix_dedup, op3_hmm_lm, op4_embedding_
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in _QUERIES}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
