@@ -335,6 +335,10 @@ query("matmul_chain", f"WITH {_L}, {_LA}, Y AS (SELECT LA.i0, sum(LA.v * A.p_ret
 query("sparse_add", f"WITH {_LA}, {_LR} SELECT i0, i1, sum(v) AS v FROM (SELECT * FROM LA UNION ALL SELECT * FROM LR) GROUP BY 1, 2 HAVING sum(v) <> 0")(lambda d: A.combine("add", d.quantities("l_returnflag = 'A'"), d.quantities("l_returnflag = 'R'")).prune().df)
 query("sparse_sub", f"WITH {_LA}, {_LR} SELECT i0, i1, sum(v) AS v FROM (SELECT * FROM LA UNION ALL SELECT i0, i1, -v FROM LR) GROUP BY 1, 2 HAVING sum(v) <> 0")(lambda d: A.combine("sub", d.quantities("l_returnflag = 'A'"), d.quantities("l_returnflag = 'R'")).prune().df)
 query("sparse_hadamard", f"WITH {_LA}, {_LR} SELECT LA.i0, LA.i1, LA.v * LR.v AS v FROM LA JOIN LR ON LA.i0 = LR.i0 AND LA.i1 = LR.i1")(lambda d: A.combine("mul", d.quantities("l_returnflag = 'A'"), d.quantities("l_returnflag = 'R'")).df)
+query("to_packed", f"WITH {_E} SELECT i0, list(v ORDER BY i1) AS vector FROM E GROUP BY 1")(lambda d: S.to_packed(d.embeddings()))
+query("hamilton", f"WITH {_C}, p AS (SELECT i1 AS i, v FROM C WHERE i0 = 0 AND i1 < 4), q AS (SELECT i1 AS i, v FROM C WHERE i0 = 1 AND i1 < 4), u AS (SELECT p.i AS i, q.i AS j, p.v * q.v AS v FROM p, q) SELECT CAST(CASE WHEN i = 0 OR j = 0 THEN i + j WHEN i = j THEN 0 ELSE 6 - i - j END AS BIGINT) AS i0, round(sum(CASE WHEN i = 0 OR j = 0 THEN v WHEN i = j THEN -v WHEN (j - i + 3) % 3 = 1 THEN v ELSE -v END), 9) + 0.0 AS v FROM u GROUP BY 1")(
+    lambda d: rounded(X.head(X.row(c := d.centroids(), 0), 4).as_kind("quaternion") * X.head(X.row(c, 1), 4).as_kind("quaternion"), 9)
+)
 query("dot", f"WITH {_A}, {_B} SELECT round(sum(A.v * B.v), 2) AS v FROM A JOIN B ON A.i0 = B.i0")(lambda d: rounded(P.dot(d.price(), d.part_size()), 2))
 query("dot_pairs", f"WITH {_X} SELECT a.vec_id, round(list_dot_product(a.e, b.e), 9) + 0.0 AS v FROM X a JOIN X b ON b.vec_id = a.vec_id + 1")(
     lambda d: rounded(d.packed().alias("a").join(d.packed().alias("b"), F.col("b.vec_id") == F.col("a.vec_id") + 1).select("a.vec_id", packed.dot(F.col("a.e"), F.col("b.e")).alias("v")), 9)
@@ -471,6 +475,9 @@ kernel("rank", f"WITH {_T} SELECT label, CAST(3 AS DOUBLE) AS v FROM T GROUP BY
 kernel("power_method", f"WITH {_M} SELECT label, CAST(0 AS DOUBLE) AS v FROM M GROUP BY 1", "label,v")(lambda a: I.power_method(a, np.array([1.0, 0.9, 0.8, 0.7]), tol=1e-9, max_iter=100_000)[0] / D.spectral_norm(a) - 1)
 kernel("condition_number", f"WITH {_M} SELECT label, CAST(0 AS DOUBLE) AS v FROM M GROUP BY 1", "label,v")(lambda a: D.condition_number(a) / np.linalg.cond(a) - 1)
 
+kernel("lanczos", f"WITH {_M} SELECT label, i0, i1, CASE WHEN i0 = i1 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS v FROM M WHERE i0 < 3 AND i1 < 3", _ALL)(lambda a: (v := np.array(I.lanczos(a, np.array([0.5, -0.5, 0.5, 0.5]), 3)[0])) @ v.T)
+kernel("tridiagonal_eigen", f"WITH {_M} SELECT label, round(sum(v), 6) AS v FROM M WHERE i0 = i1 GROUP BY 1", "label,v")(lambda a: D.tridiagonal_eigen(np.diag(a), np.diag(a, 1))[0].sum())
+
 
 @query("multigrid", "SELECT range AS i0, CAST(1 AS DOUBLE) AS v FROM range(63)")
 def _(d):

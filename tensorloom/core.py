@@ -131,6 +131,86 @@ class Tensor:
     def nnz(self) -> int:
         return self.df.count()
 
+    # Operators follow the kind: * is element-wise on arrays, the matrix product on matrices, the
+    # outer product on tensors, a contraction on forms and the Hamilton product on quaternions.
+
+    def _arithmetic(self, op: str, other, swap: bool = False) -> Tensor:
+        from .operators.arithmetic import combine
+
+        return combine(op, other, self) if swap else combine(op, self, other)
+
+    def __add__(self, other):
+        return self._arithmetic("add", other)
+
+    def __radd__(self, other):
+        return self._arithmetic("add", other, True)
+
+    def __sub__(self, other):
+        return self._arithmetic("sub", other)
+
+    def __rsub__(self, other):
+        return self._arithmetic("sub", other, True)
+
+    def __neg__(self):
+        return self.values(-F.col("v"))
+
+    def __truediv__(self, other):
+        if isinstance(other, Tensor) and other.rank and self.kind != "array":
+            raise TypeError(f"a {self.kind} is divided by numbers only")
+        return self._arithmetic("div", other)
+
+    def __mod__(self, other):
+        if self.kind != "array":
+            raise TypeError(f"a {self.kind} has no remainder")
+        return self._arithmetic("mod", other)
+
+    def __mul__(self, other):
+        from .operators import products
+
+        if not isinstance(other, Tensor) or other.rank == 0 or self.rank == 0 or self.kind in ("array", "data"):
+            return self._arithmetic("mul", other)
+        rule = {"matrix": products.matmul, "tensor": products.outer, "form": products.form_times, "quaternion": products.hamilton}.get(self.kind)
+        if rule is None:
+            raise TypeError(f"a {self.kind} has no product with a {other.kind}; see dot, cross and outer")
+        return rule(self, other)
+
+    def __rmul__(self, other):
+        return self._arithmetic("mul", other, True)
+
+    def __matmul__(self, other):
+        from .operators.products import matmul
+
+        return matmul(self, other)
+
+    def __xor__(self, other):
+        from .operators.products import wedge
+
+        return wedge(self, other) if self.kind == "form" else self._arithmetic("xor", other)
+
+    def __and__(self, other):
+        return self._arithmetic("and", other)
+
+    def __or__(self, other):
+        return self._arithmetic("or", other)
+
+    def __lt__(self, other):
+        return self._arithmetic("lt", other)
+
+    def __le__(self, other):
+        return self._arithmetic("le", other)
+
+    def __gt__(self, other):
+        return self._arithmetic("gt", other)
+
+    def __ge__(self, other):
+        return self._arithmetic("ge", other)
+
+    @property
+    def T(self) -> Tensor:  # noqa: N802
+        from .operators.indexing import transpose
+
+        return transpose(self)
+
     def format(self) -> str:
         """Text of a small tensor: [a, b] for vectors, [row;row] for matrices."""
         dense = self.densify().df

@@ -106,3 +106,19 @@ def full_contract(t: Tensor) -> Tensor:
     for m in range(t.rank // 2):
         same = same & (F.col(f"i{m}") == F.col(f"i{t.rank - 1 - m}"))
     return Tensor(t.df.where(same).agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("v")), ())
+
+
+def hamilton(a: Tensor, b: Tensor) -> Tensor:
+    """Product of quaternions, scalar first: unit products are signed units, 16 in all."""
+    units = []
+    for i in range(4):
+        for j in range(4):
+            if i == 0 or j == 0:
+                units.append((i, j, i + j, 1.0))
+            elif i == j:
+                units.append((i, j, 0, -1.0))
+            else:
+                units.append((i, j, 6 - i - j, 1.0 if (j - i) % 3 == 1 else -1.0))
+    table = F.broadcast(a.spark.createDataFrame(units, "p long, q long, i0 long, sign double"))
+    pairs = table.join(_renamed(a, ["p"], "va"), "p").join(_renamed(b, ["q"], "vb"), "q")
+    return Tensor(pairs.groupBy("i0").agg(F.sum(F.col("sign") * F.col("va") * F.col("vb")).alias("v")), (4,), "quaternion", sparse=True)

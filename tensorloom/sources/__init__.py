@@ -133,6 +133,12 @@ def compressed(t: Tensor, layout: str = "row") -> DataFrame:
     return t.compress().df.groupBy(F.col(outer).alias("outer")).agg(pairs.alias("p")).select("outer", F.col("p.at").alias("indices"), F.col("p.v").alias("values"))
 
 
+def to_packed(t: Tensor) -> DataFrame:
+    """A row (i0, vector) per row of a matrix, zeros filled in; a row has to fit one task."""
+    pairs = F.array_sort(F.collect_list(F.struct("i1", "v")))
+    return t.densify().df.groupBy("i0").agg(pairs.alias("p")).select("i0", F.col("p.v").alias("vector"))
+
+
 def multigrid_sizes(n: int, levels: int) -> list[int]:
     """Sizes of a one-dimensional grid hierarchy: half of what lies between the ends."""
     out = [n]

@@ -216,3 +216,26 @@ def test_shapes(spark, vals):
         X.repeat_left(vals([1])).densify().size  # noqa: B018
     with pytest.raises(ValueError):
         Tensor(vals([1]).df, (1,), kind="other")
+
+
+def test_operators(vals):
+    a, b = vals([1, 2, 3]).as_kind("array"), vals([4, 5, 6]).as_kind("array")
+    assert rows(a + b) == [5, 7, 9]
+    assert rows(10 - a) == [9, 8, 7]
+    assert rows(a * b) == [4, 10, 18]
+    assert rows(b / a % 2) == [0, 0.5, 0]
+    assert rows(2 * a >= b) == [False, False, True]
+    m = vals([[1, 2], [3, 4]])
+    assert rows(m * m.T) == rows(m @ m.T) == [[5, 11], [11, 25]]
+    assert rows(-m) == [[-1, -2], [-3, -4]]
+    f = vals([1, 2]).as_kind("form")
+    assert rows(f * vals([3, 4])) == [11]
+    assert rows(f ^ vals([3, 5]).as_kind("form")) == [[0, -1], [1, 0]]
+    i, j = vals([0, 1, 0, 0]).as_kind("quaternion"), vals([0, 0, 1, 0]).as_kind("quaternion")
+    assert rows(i * j) == [0, 0, 0, 1]
+    assert rows(j * i) == [0, 0, 0, -1]
+    assert rows(i * i) == [-1, 0, 0, 0]
+    with pytest.raises(TypeError):
+        vals([1, 2]) * vals([1, 2])
+    with pytest.raises(TypeError):
+        m / m
