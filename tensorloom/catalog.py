@@ -210,6 +210,23 @@ def _(d):
     return X.slice_(d.embeddings(), [7, 3, 7, 0], slice(None)).df
 
 
+@query("gather_by_tensor", f"WITH {_E}, {_B} SELECT B.i0, E.i1, E.v FROM B JOIN E ON E.i0 = CAST(B.v AS BIGINT)")
+def _(d):
+    return X.slice_(d.embeddings(), d.part_size(), slice(None)).df
+
+
+@query("resize", f"WITH {_E} SELECT * FROM E WHERE i0 < 30 AND i1 < 7")
+def _(d):
+    return X.resize(d.embeddings(), 30, 7).df
+
+
+@query("dense_solve", f"WITH {_G}, n AS (SELECT i0 FROM G WHERE i0 = i1) SELECT i0, CAST(1 AS DOUBLE) AS v FROM n")
+def _(d):
+    """The Gram matrix, solved on the driver for the sum of its columns."""
+    g = S.to_numpy(gram_packed(d.table("embeddings"), "embedding", WIDTH)) + np.eye(WIDTH)
+    return rounded(S.from_numpy(d.spark, D.llt_solve(g, g.sum(axis=1))))
+
+
 @query("row", f"WITH {_E} SELECT i1 AS i0, v FROM E WHERE i0 = 5")
 def _(d):
     return X.row(d.embeddings(), 5).df

@@ -21,7 +21,7 @@ def strided(start: int, size: int, stride: int = 1) -> tuple[int, int, int]:
 
 def slice_(t: Tensor, *specs) -> Tensor:
     """One spec per dimension: slice(None) for all of it, an int (drops the dimension),
-    strided(...), or a list of indices in any order, with repeats."""
+    strided(...), a list of indices in any order, with repeats, or a vector tensor of them."""
     if len(specs) != t.rank:
         raise ValueError(f"{t.rank} specs are needed")
     df, columns, shape = t.df, [], []
@@ -45,6 +45,11 @@ def slice_(t: Tensor, *specs) -> Tensor:
                 df = df.where(F.pmod(col - start, F.lit(stride)) == 0)
             columns.append(F.expr(f"(i{k} - {start}) div {stride}"))
             shape.append(1 + (size - 1) // stride if size else 0)
+        elif isinstance(spec, Tensor):
+            # Indices that come as data are joined; those outside the extent find nothing.
+            df = df.join(spec.densify().df.select(F.col("i0").alias(f"g{k}"), F.col("v").cast("long").alias(f"i{k}")), f"i{k}")
+            columns.append(F.col(f"g{k}"))
+            shape.append(spec.shape[0])
         else:
             at = [int(x) for x in spec]
             if any(not 0 <= x < n for x in at):
@@ -193,6 +198,22 @@ def with_slice(t: Tensor, part: Tensor, *starts: int) -> Tensor:
     return t.with_(t.df.where(~inside).unionByName(moved), sparse=t.sparse or part.sparse)
 
 
+def fill(t: Tensor, value: float) -> Tensor:
+    """The same shape with one value everywhere."""
+    return Tensor(grid(t.spark, t.shape).withColumn("v", F.lit(float(value))), t.shape, t.kind) if value else t.with_(t.df.where("false"), sparse=True)
+
+
+def resize(t: Tensor, *shape: int) -> Tensor:
+    """Another shape of the same rank: cells outside it go, new ones are zeros."""
+    if len(shape) != t.rank:
+        raise ValueError("the rank stays")
+    inside = F.lit(True)
+    for k, n in enumerate(shape):
+        inside = inside & (F.col(f"i{k}") < n)
+    grown = any(m is not None and n > m for m, n in zip(t.shape, shape, strict=True))
+    return t.with_(t.df.where(inside), shape, sparse=t.sparse or grown)
+
+
 def coefficients(t: Tensor, places) -> Tensor:
     """Values at a frame of places (k, i0, ..): a vector by k; 0 where a sparse tensor has no row."""
     found = places.join(t.df, t.idx, "left").select(F.col("k").cast("long").alias("i0"), F.coalesce("v", F.lit(0.0)).alias("v"))

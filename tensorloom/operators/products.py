@@ -57,6 +57,9 @@ def outer(a: Tensor, b: Tensor) -> Tensor:
     return _result(out, [*left, *right], (*a.shape, *b.shape), "tensor" if a.rank + b.rank > 2 else None).with_(sparse=a.sparse or b.sparse)
 
 
+tensor_product = outer
+
+
 def form_times(f: Tensor, x: Tensor) -> Tensor:
     """A form on a vector (a number), a matrix (a form) or a tensor: sums over one index pair."""
     out = matmul(f, x)

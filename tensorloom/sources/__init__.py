@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,6 +141,23 @@ def to_packed(t: Tensor) -> DataFrame:
     return t.densify().df.groupBy("i0").agg(pairs.alias("p")).select("i0", F.col("p.v").alias("vector"))
 
 
+def to_numpy(t: Tensor, most: int = 4_000_000) -> np.ndarray:
+    """A tensor of at most ``most`` cells on the driver, for the dense kernels."""
+    if t.size > most:
+        raise ValueError(f"{t.size} cells are more than {most}")
+    out = np.zeros(t.shape)
+    rows = t.df.toPandas()
+    out[tuple(rows[c].to_numpy() for c in t.idx)] = rows["v"]
+    return out
+
+
+def from_numpy(spark: SparkSession, a: np.ndarray) -> Tensor:
+    """Dense tensor of an array on the driver."""
+    a = np.asarray(a, float)
+    columns = {f"i{k}": x.ravel() for k, x in enumerate(np.indices(a.shape))}
+    return Tensor(spark.createDataFrame(pd.DataFrame({**columns, "v": a.ravel()})), a.shape)
+
+
 def multigrid_sizes(n: int, levels: int) -> list[int]:
     """Sizes of a one-dimensional grid hierarchy: half of what lies between the ends."""
     out = [n]

@@ -239,3 +239,16 @@ def test_operators(vals):
         vals([1, 2]) * vals([1, 2])
     with pytest.raises(TypeError):
         m / m
+
+
+def test_numpy_fill_resize(vals, spark):
+    m = vals([[1, 2], [3, 4]])
+    assert S.to_numpy(m).tolist() == [[1, 2], [3, 4]]
+    assert rows(S.from_numpy(spark, S.to_numpy(m))) == rows(m)
+    with pytest.raises(ValueError):
+        S.to_numpy(m, most=3)
+    assert rows(X.fill(m, 7)) == [[7, 7], [7, 7]]
+    assert rows(X.fill(m, 0)) == [[0, 0], [0, 0]]
+    assert rows(X.resize(m, 1, 3)) == [[1, 2, 0]]
+    assert rows(X.slice_(m, vals([1, 0, 1]), 0)) == [3, 1, 3]
+    assert [tuple(r) for r in S.to_packed(m).orderBy("i0").collect()] == [(0, [1.0, 2.0]), (1, [3.0, 4.0])]
