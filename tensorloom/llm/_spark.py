@@ -24,6 +24,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Rows of an Arrow batch where the session sets none: documents are kilobytes each.
+BATCH_ROWS = 2000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small, unless the session says how large they are."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Workspace:
     """Intermediate tables of one run, under the shared folder.
 
@@ -32,6 +43,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        text_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._made = 0
@@ -122,18 +134,31 @@ def _bit_place(column: Column) -> tuple[Column, Column]:
     return F.pmod(h, F.lit(BITMAP_WORDS)), F.pmod(F.shiftright(h, 40), F.lit(64)).cast("int")
 
 
-def prefilter(big: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Rows of big whose key may be in wanted (one column of that name).
+def split(big: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of big whose key may be in wanted (one column of that name), and those whose key is not.
 
     The filter is a bitmap of fixed size (BITMAP_WORDS rows at most), whatever the
-    tables' sizes, so its broadcast has a proven bound. It lets some other rows
-    pass: an exact join has to follow. A full bitmap costs time, never rows.
+    tables' sizes, so its broadcast has a proven bound. Some keys that are not wanted
+    are among the first rows: an exact join has to follow, which then shuffles few rows. A full
+    bitmap costs time, never rows.
     """
     word, bit = _bit_place(F.col(key))
     one = F.expr("1L")
-    bits = wanted.select(word.alias("_word"), F.call_function("shiftleft", one, bit).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    found = big.withColumn("_word", word).join(F.broadcast(bits), "_word")
-    return found.where(F.col("_bits").bitwiseAND(F.call_function("shiftleft", one, bit)) != 0).drop("_word", "_bits")
+    bits = wanted.select(word.alias("__word"), F.call_function("shiftleft", one, bit).alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    marked = big.withColumn("__word", word).join(F.broadcast(bits), "__word", "left")
+    hit = F.coalesce(F.col("__bits").bitwiseAND(F.call_function("shiftleft", one, bit)) != 0, F.lit(False))
+    return tuple(marked.where(side).select(*big.columns) for side in (hit, ~hit))
+
+
+def prefilter(big: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of big that an inner join with wanted can need, and a few others."""
+    return split(big, key, wanted)[0]
+
+
+def without(big: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
+    """Rows of big whose key is not in dropped; rows of null key stay."""
+    maybe, rest = split(big, key, dropped)
+    return rest.unionByName(maybe.join(dropped.select(key).distinct(), key, "left_anti"))
 
 
 def components(edges: DataFrame, ws: Workspace) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._blobs import batch_of, bucket_of, deal, home_of, joined, owners_of, table_of
-from ._spark import Workspace, buckets_for, prefilter, release, slices
+from ._spark import Workspace, buckets_for, prefilter, release, slices, split
 from ._words import U64, Words, window_hashes
 
 #: Items of a bucket, and words that a mapper gathers before it sends.
@@ -314,4 +314,6 @@ def remove_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     if "n_chars" in columns:
         docs = docs.withColumn("n_chars", F.col("n_chars").cast("long"))
         schema = docs.schema
-    return docs.join(cuts, "doc_id", "left").select(*columns, "__cuts").mapInArrow(_cut(columns), schema)
+    maybe, rest = split(docs, "doc_id", passages.select("doc_id"))
+    joined_rows = maybe.join(cuts, "doc_id", "left").select(*columns, "__cuts").unionByName(rest.withColumn("__cuts", F.lit(None).cast(cuts.schema["__cuts"].dataType)))
+    return joined_rows.mapInArrow(_cut(columns), schema)
