@@ -11,6 +11,8 @@ whose bytes lie in several tokens comes back whole.
 from __future__ import annotations
 
 import base64
+import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -20,10 +22,11 @@ import tokenizers
 from pyspark.sql import DataFrame
 
 from ._blobs import extended
-from ._spark import slices
+from ._spark import release, slices
 
-#: Pieces that a task's table holds before it is emptied (about 100 MB).
-TABLE_PIECES = 400_000
+#: Pieces that each of a task's two tables holds (about 60 MB). A full table becomes the older
+#: one, from which pieces that come up again move to the new one.
+TABLE_PIECES = 300_000
 
 
 def byte_characters() -> list[str]:
@@ -62,11 +65,13 @@ class ByteBpe:
         self._model = tokenizers.Tokenizer(tokenizers.models.BPE(vocab=vocab, merges=merges, ignore_merges=True))
         self._pattern = regex.compile(pattern)
         back = {c: b for b, c in enumerate(chars)}
-        self._bytes: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        self.size = max(ranks.values()) + 1
+        self._bytes: list[bytes] = [b""] * self.size
         for token, rank in vocab.items():
             self._bytes[rank] = bytes(map(back.__getitem__, token))
         self._lengths = np.array([len(b) for b in self._bytes], np.int64)
         self._table: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def _learn(self, pieces: set[str]) -> None:
         new = list(pieces)
@@ -74,8 +79,7 @@ class ByteBpe:
         mapped = ["".join(map(chars.__getitem__, p.encode())) for p in new]
         for at in range(0, len(new), 4096):
             found = self._model.encode_batch_fast(mapped[at : at + 4096], add_special_tokens=False)
-            for piece, one in zip(new[at : at + 4096], found, strict=True):
-                self._table[piece] = np.array(one.ids, np.int32).tobytes()
+            self._table.update((piece, array("i", one.ids).tobytes()) for piece, one in zip(new[at : at + 4096], found, strict=True))
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text; none for a null or empty one."""
@@ -83,16 +87,23 @@ class ByteBpe:
             return np.zeros(0, np.int32)
         pieces = self._pattern.findall(text)
         table = self._table
-        if unseen := {p for p in pieces if p not in table}:
+        if unseen := set(pieces).difference(table):
             if len(table) + len(unseen) > TABLE_PIECES:
-                table.clear()
-                unseen = set(pieces)
-            self._learn(unseen)
+                self._older, self._table = table, {}
+                table, unseen = self._table, set(pieces)
+            older = self._older
+            table.update((p, older[p]) for p in unseen if p in older)
+            self._learn(unseen.difference(older))
         return np.frombuffer(b"".join(map(table.__getitem__, pieces)), np.int32)
 
+    def forget(self) -> None:
+        """Empty the tables, so that a worker that goes on to other work does not hold them."""
+        self._table, self._older = {}, {}
+        release()
+
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of the ids; characters that were split between tokens are whole again."""
-        return b"".join(map(self._bytes.__getitem__, ids.tolist()))
+        return b"".join([self._bytes[i] for i in ids.tolist()])
 
     def offsets(self, text: str | None, ids: np.ndarray) -> np.ndarray:
         """Where in the text (in characters) each token starts; a token that starts inside a
@@ -107,6 +118,8 @@ class ByteBpe:
 @lru_cache(maxsize=2)
 def load(path: str, pattern: str) -> ByteBpe:
     """The vocabulary at a path that every executor has (an installed package's file)."""
+    # A task has one core: threads of the library would only take turns on it.
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     with open(path, "rb") as f:
         return ByteBpe(read_ranks(f.read()), pattern)
 
@@ -117,11 +130,12 @@ def _list_of(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))
 
 
-def bpe_encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", offsets: bool = False) -> DataFrame:
+def bpe_encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text", offsets: bool = False, keep_tables: bool = True) -> DataFrame:
     """docs with ``ids`` (array<int>), and with ``offsets`` the place of each token in characters.
 
     Every column of docs stays but an old one named ids or offsets. A null or empty text
-    has no ids. No special tokens are added; their strings are ordinary text.
+    has no ids. No special tokens are added; their strings are ordinary text. keep_tables: workers keep
+    their tables of pieces for the next task; without, memory is free for other stages.
     """
     added = ["ids", "offsets"] if offsets else ["ids"]
     kept = [c for c in docs.columns if c not in added or c == text]
@@ -136,6 +150,8 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, *, text: str = "text",
             if offsets:
                 more.append(_list_of([bpe.offsets(t, i) for t, i in zip(texts, ids, strict=True)]))
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*kept, *added])
+        if not keep_tables:
+            bpe.forget()
 
     return docs.mapInArrow(run, extended(docs.schema, ", ".join(f"{name} array<int>" for name in added)))
 

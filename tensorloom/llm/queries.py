@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._spark import text_batches
 from .byte_bpe import bpe_encode, load, vocabulary
 from .chat_format import format_chat, parse, unescape
 from .decontamination import decontaminate
@@ -27,6 +28,7 @@ __all__ = ["oracle_sql", "queries"]
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -80,9 +82,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _bpe_digest(path: str, pattern: str):
     def run(batches):
         bpe = load(path, pattern)
+        names = [str(i) for i in range(bpe.size)]
         for batch in batches:
             ids = [np.asarray(x.values) for x in batch.column("ids")]
-            told = [hashlib.sha256(" ".join(map(str, x.tolist())).encode()).hexdigest() for x in ids]
+            told = [hashlib.sha256(" ".join([names[i] for i in x.tolist()]).encode()).hexdigest() for x in ids]
             decoded = [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]
             yield pa.record_batch([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(told, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
