@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tensorloom.llm._spark import Workspace
+from tensorloom.llm._spark import Workspace, text_batches
 from tensorloom.llm.byte_bpe import bpe_encode, vocabulary
 from tensorloom.llm.decontamination import drop_contaminated
 from tensorloom.llm.ngram_join import keep_one
@@ -18,35 +18,40 @@ from tensorloom.llm.toxicity import drop_toxic, train
 from tensorloom.session import share_package
 
 
+def _ready(spark: SparkSession) -> None:
+    share_package(spark)
+    text_batches(spark)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents whose toxicity is 0.3 or more, by a model of all labels."""
-    share_package(spark)
+    _ready(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return drop_toxic(docs, train(docs, labels), threshold=0.3)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates (five-word shingles, Jaccard 0.8)."""
-    share_package(spark)
+    _ready(spark)
     return keep_one(docs, ngram=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 50 words or more that stand elsewhere before."""
-    share_package(spark)
+    _ready(spark)
     return remove_repeats(docs, min_words=50)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that hold 10 consecutive words of a benchmark item."""
-    share_package(spark)
+    _ready(spark)
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text."""
-    share_package(spark)
-    return bpe_encode(docs, *vocabulary()).select("doc_id", "lang", "source", "ids")
+    _ready(spark)
+    return bpe_encode(docs, *vocabulary(), keep_tables=False).select("doc_id", "lang", "source", "ids")
 
 
 STAGES = [
