@@ -26,6 +26,8 @@ from ._spark import Workspace, components, runs
 
 #: Vectors that a run has on average, and that a block has at most on average.
 RUN, BLOCK = 64, 1024
+#: Crowded runs (24 bytes each) that are broadcast; more of them are joined.
+BROADCAST_RUNS = 50_000
 #: Chance that some pass brings a pair at the threshold together.
 RECALL = 0.999
 
@@ -44,38 +46,41 @@ def usable(column) -> F.Column:
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    """Rows scaled to length 1; the largest component first, so that squares stay finite."""
+    """Rows scaled to length 1, in double precision; the largest component first, so that squares stay finite."""
+    x = np.asarray(x, np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def _codes(bits: int, passes: int, seed: int):
+    """Codes of all passes; vectors travel as the table has them, in single or double precision."""
     planes: dict[int, np.ndarray] = {}
+    kind = np.int32 if bits <= 31 else np.int64
 
     def run(batches):
         for batch in batches:
             vectors = batch.column("vector")
             sizes = np.diff(np.asarray(vectors.offsets))
-            values = np.asarray(vectors.flatten(), np.float64)
+            values = np.asarray(vectors.flatten())
             ends = np.cumsum(sizes)
             for d in np.unique(sizes):
                 rows = np.flatnonzero(sizes == d)
-                x = unit(values[(ends[rows] - d)[:, None] + np.arange(d)])
+                x = values[(ends[rows] - d)[:, None] + np.arange(d)]
                 if d not in planes:
                     planes[d] = np.random.default_rng([seed, int(d)]).standard_normal((int(d), passes * bits))
-                signs = (x @ planes[d] > 0).reshape(len(rows), passes, bits)
-                codes = signs @ (1 << np.arange(bits, dtype=np.int64))
+                signs = (unit(x) @ planes[d] > 0).reshape(len(rows), passes, bits)
+                codes = (signs @ (1 << np.arange(bits, dtype=np.int64))).astype(kind)
                 n = len(rows)
                 ids, copies = (batch.column(c).to_numpy()[rows] for c in ("class", "copies"))
                 blob = pa.array([v.tobytes() for v in x], pa.binary())
-                own = pa.array([c.tobytes() for c in codes.astype(np.int64)], pa.binary())
+                own = pa.array([c.tobytes() for c in codes], pa.binary())
                 for p in range(passes):
-                    yield pa.record_batch({"pass": pa.array(np.full(n, p, np.int32)), "dim": pa.array(np.full(n, d, np.int32)), "code": pa.array(codes[:, p]), "class": pa.array(ids, pa.int64()), "copies": pa.array(copies, pa.int64()), "unit": blob, "codes": own})
+                    yield pa.record_batch({"pass": pa.array(np.full(n, p, np.int32)), "dim": pa.array(np.full(n, d, np.int32)), "code": pa.array(codes[:, p].astype(np.int64)), "class": pa.array(ids, pa.int64()), "copies": pa.array(copies, pa.int64()), "raw": blob, "codes": own})
 
     return run
 
 
-_CODES = "pass int, dim int, code long, class long, copies long, unit binary, codes binary"
+_CODES = "pass int, dim int, code long, class long, copies long, raw binary, codes binary"
 _FOUND = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -101,7 +106,7 @@ def _apart(i, j, root):
             yield from ((u, v) for v in near[first])
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, bits: int, dtype: str):
     """Of each pair of blocks: links of each vector, and a spanning forest."""
 
     def run(batches):
@@ -110,8 +115,8 @@ def _compare(threshold: float):
                 continue
             p, left, right = (table.column(c)[0].as_py() for c in ("pass", "left", "right"))
             ids, copies, side = (table.column(c).to_numpy() for c in ("class", "copies", "side"))
-            x = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(len(ids), -1)
-            codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.int64).reshape(len(ids), -1)[:, :p]
+            x = unit(np.frombuffer(b"".join(table.column("raw").to_pylist()), dtype).reshape(len(ids), -1))
+            codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.int32 if bits <= 31 else np.int64).reshape(len(ids), -1)[:, :p]
             same = left == right
             a = np.arange(len(ids)) if same else np.flatnonzero(side == 0)
             b = a if same else np.flatnonzero(side == 1)
@@ -150,23 +155,27 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.95, *, recall:
     """
     spark = vectors.sparkSession
     ws = Workspace(spark, "embedding-dedup")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    single = dict(vectors.dtypes)["embedding"] == "array<float>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("vector"))
     fine = rows.where(usable(F.col("vector")))
     classes = ws.table(fine.groupBy("vector").agg(F.min("vec_id").alias("class"), F.count("*").alias("copies")))
     bits, passes = plan(classes.count(), threshold, recall)
     keys = ["pass", "dim", "code"]
-    coded = ws.table(classes.mapInArrow(_codes(bits, passes, seed), _CODES))
+    # Made twice, for the sizes of runs and for the vectors: less to write than to hash again.
+    coded = classes.mapInArrow(_codes(bits, passes, seed), _CODES)
     crowded = coded.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    crowded = ws.table(crowded)
+    # Most data have few crowded runs; a small table of them spares the vectors a shuffle.
+    crowded = F.broadcast(crowded) if crowded.count() <= BROADCAST_RUNS else crowded
     # Crowded runs hold more than `block` rows each: at most rows / block of them.
     dealt = coded.join(crowded, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("at", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     right = dealt.withColumn("left", F.explode(F.expr("sequence(0, at)"))).withColumn("right", F.col("at")).withColumn("side", F.lit(1))
     left = dealt.where("at < blocks - 1").withColumn("right", F.explode(F.expr("sequence(at + 1, blocks - 1)"))).withColumn("left", F.col("at")).withColumn("side", F.lit(0))
-    columns = [*keys, "left", "right", "side", "class", "copies", "unit", "codes"]
+    columns = [*keys, "left", "right", "side", "class", "copies", "raw", "codes"]
     pairs = right.select(*columns).unionByName(left.select(*columns))
     order = [*keys, "left", "right"]
-    found = ws.table(pairs.repartition(*order).sortWithinPartitions(*order).mapInArrow(_compare(threshold), "kind int, a long, b long"))
-    ws.drop(coded)
+    found = ws.table(pairs.repartition(*order).sortWithinPartitions(*order).mapInArrow(_compare(threshold, bits, "float32" if single else "float64"), "kind int, a long, b long"))
     links = found.where("kind = 0").groupBy(F.col("a").alias("class")).agg(F.sum("b").alias("links"))
     joined = components(found.where("kind = 1").select("a", "b"), ws)
     named = classes.join(links, "class", "left").join(joined.select(F.col("node").alias("class"), "root"), "class", "left")
