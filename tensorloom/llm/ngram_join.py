@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import Workspace, buckets_for, components, prefilter, release, runs, slices
+from ._spark import Workspace, buckets_for, components, prefilter, release, runs, slices, without
 from ._words import U64, Words, gram_hashes, mix
 
 #: A gram is heavy in a batch if this part of its documents have it, and HEAVY_LEAST at least.
@@ -114,6 +114,20 @@ def _profile(k: int):
 _ROUTED = "target int, fps binary, counts binary, keys binary, extra binary"
 
 
+def _short(counts: np.ndarray) -> bytes:
+    """Counts in two bytes each where they fit, else in four; the number of owners tells which."""
+    return counts.astype(np.uint16 if counts.max(initial=0) < 65_536 else np.uint32).tobytes()
+
+
+def _owners(table: pa.Table) -> np.ndarray:
+    """Owner of each gram of dealt rows."""
+    parts = []
+    for fps, counts in zip(table.column("fps").to_pylist(), table.column("counts").to_pylist(), strict=True):
+        owners = np.frombuffer(fps, np.int64)
+        parts.append(np.repeat(owners, np.frombuffer(counts, np.uint16 if len(counts) == 2 * len(owners) else np.uint32)))
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> U64(32)) * U64(n) >> U64(32)).astype(np.int32)
 
@@ -162,8 +176,8 @@ def _route(k: int, percent: int, n_buckets: int, heavy_keys: np.ndarray, heavy_c
             if len(own):
                 mine = owner[own]
                 heads = np.flatnonzero(np.diff(mine, prepend=-1))
-                counts = np.diff(heads, append=len(mine)).astype(np.uint32)
-                yield b, fps[mine[heads]].tobytes(), counts.tobytes(), grams[own].astype(np.uint32).tobytes(), b""
+                counts = np.diff(heads, append=len(mine))
+                yield b, fps[mine[heads]].tobytes(), _short(counts), grams[own].astype(np.uint32).tobytes(), b""
 
     def batch_of(rows) -> pa.RecordBatch:
         target, fps, counts, keys, extra = zip(*rows, strict=True)
@@ -192,21 +206,21 @@ def _joined(table: pa.Table, name: str, dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
 
 
-_RETURNED = "home int, bucket int, fps binary, keys binary, dfs binary, extra binary"
+_RETURNED = "home int, bucket int, fps binary, counts binary, keys binary, dfs binary, extra binary"
 
 
 def _census(n_buckets: int):
     """Of one bucket: the grams that two sets or more hold, dealt out to the sets' homes."""
-    schema = pa.schema([("home", pa.int32()), ("bucket", pa.int32()), *((x, pa.binary()) for x in ("fps", "keys", "dfs", "extra"))])
+    schema = pa.schema([("home", pa.int32()), ("bucket", pa.int32()), *((x, pa.binary()) for x in ("fps", "counts", "keys", "dfs", "extra"))])
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("target")[0].as_py()
         if bucket < 0:
             n = table.num_rows
-            return pa.table([pa.array([-1 - bucket] * n, pa.int32()), pa.array([-1] * n, pa.int32()), table.column("fps"), table.column("counts"), pa.array([b""] * n, pa.binary()), table.column("extra")], schema=schema)
+            return pa.table([pa.array([-1 - bucket] * n, pa.int32()), pa.array([-1] * n, pa.int32()), table.column("fps"), pa.array([b""] * n, pa.binary()), table.column("counts"), pa.array([b""] * n, pa.binary()), table.column("extra")], schema=schema)
         release()
         keys = _joined(table, "keys", np.uint32)
-        fps = np.repeat(_joined(table, "fps", np.int64), _joined(table, "counts", np.uint32))
+        fps = _owners(table)
         order = np.argsort(keys)
         keys, fps = keys[order], fps[order]
         same = keys[1:] == keys[:-1]
@@ -223,15 +237,20 @@ def _census(n_buckets: int):
             return schema.empty_table()
         heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         counts = np.diff(heads, append=len(keys))
-        df = np.repeat(counts, counts).astype(np.uint32)
+        # Only the order matters, and it is the same everywhere: large counts may tie.
+        df = np.minimum(np.repeat(counts, counts), 65_535).astype(np.uint16)
         keep = df >= 2
         keys, fps, df = keys[keep], fps[keep], df[keep]
         home = _bucket(mix(fps.view(U64)), n_buckets)
-        order = np.argsort(home, kind="stable")
+        order = np.lexsort((fps, home))
         home, keys, fps, df = home[order], keys[order], fps[order], df[order]
         heads = np.flatnonzero(np.diff(home, prepend=-1))
         ends = np.append(heads, len(home))[1:]
-        rows = [(int(home[a]), bucket, fps[a:b].tobytes(), keys[a:b].tobytes(), df[a:b].tobytes(), b"") for a, b in zip(heads, ends, strict=True)]
+        rows = []
+        for a, b in zip(heads, ends, strict=True):
+            own = fps[a:b]
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            rows.append((int(home[a]), bucket, own[first].tobytes(), _short(np.diff(first, append=len(own))), keys[a:b].tobytes(), df[a:b].tobytes(), b""))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema) if rows else schema.empty_table()
 
     return run
@@ -254,8 +273,8 @@ def _prefixes(percent: int):
         ends = ends[first]
         need = n - (percent * n + 99) // 100 + 1
         keys = _joined(rest, "keys", np.uint32)
-        dfs = _joined(rest, "dfs", np.uint32)
-        holders = _joined(rest, "fps", np.int64)
+        dfs = _joined(rest, "dfs", np.uint16)
+        holders = _owners(rest)
         sizes = [len(x) // 4 for x in rest.column("keys").to_pylist()]
         bucket = np.repeat(rest.column("bucket").to_numpy().astype(np.int32), sizes) if sizes else np.zeros(0, np.int32)
         owner = np.searchsorted(fps, holders)
@@ -500,5 +519,5 @@ def keep_one(docs: DataFrame, ngram: int = 5, percent: int = 80) -> DataFrame:
 
     All columns of docs are kept. Rows of null doc_id stay, and rows of one doc_id stay or go together.
     """
-    drop = ngram_jaccard_join(docs, ngram, percent).where("doc_id <> component_id").select("doc_id")
-    return docs.join(drop, "doc_id", "left_anti")
+    found = ngram_jaccard_join(docs, ngram, percent).where("doc_id <> component_id").select("doc_id")
+    return without(docs, "doc_id", Workspace(docs.sparkSession, "near-copies").table(found))
