@@ -19,9 +19,9 @@ from ._spark import slices
 from ._words import NON_ALNUM, U64, Words, delimiter_mask, span_hashes
 
 #: Hash bits of the weights, and lengths in bytes of the word beginnings used beside whole words.
-BITS, BEGINNINGS = 18, (3, 4, 5, 6)
+BITS, BEGINNINGS = 18, (3, 4, 5, 6, 7)
 #: The bounded sample that the model is fitted on: documents of each label, and bytes of text in all.
-SAMPLE_DOCS, SAMPLE_BYTES = 4000, 16 << 20
+SAMPLE_DOCS, SAMPLE_BYTES = 4000, 24 << 20
 ENDS = delimiter_mask(b".!?\n")
 START_BIAS = -4.0
 
@@ -96,7 +96,7 @@ class Model:
 def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, rounds: int = 14, rate: float = 0.15, decay: float = 1e-5, batch: int = 32, seed: int = 3) -> Model:
     """Gradient steps (each feature with its own rate) on the weighted log loss of the noisy-or.
 
-    docs: features of each sentence's words, flat, and their sentence numbers (from 0).
+    docs: features of each sentence's words, a row for each word, and the words' sentence numbers (from 0).
     """
     w, bias = np.zeros(1 << BITS), START_BIAS
     squares, bias_squares = np.full(1 << BITS, 1e-2), 1.0
@@ -112,13 +112,13 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights:
             owner = np.repeat(np.arange(len(picked)), sizes)
             feats = np.concatenate([docs[i][0] for i in picked])
             which = np.concatenate([docs[i][1] + b for i, b in zip(picked, base, strict=True)])
-            p = _sigmoid(np.bincount(which, weights=w[feats], minlength=len(owner)) + bias)
+            p = _sigmoid(np.bincount(which, weights=w[feats].sum(axis=1), minlength=len(owner)) + bias)
             total = np.clip(noisy_or(p, owner, len(picked)), 1e-9, 1 - 1e-9)
             y, cost = labels[picked], weights[picked]
             # Of -log(total) by a sentence's logit: -(1 - total) / total * p; of -log(1 - total): p.
             slope = (cost * np.where(y > 0, -(1 - total) / total, 1.0))[owner] * p / len(picked)
             used, back = np.unique(feats, return_inverse=True)
-            g = np.bincount(back, weights=slope[which]) + decay * w[used]
+            g = np.bincount(back.ravel(), weights=np.repeat(slope[which], feats.shape[1])) + decay * w[used]
             squares[used] += g * g
             w[used] -= rate * g / np.sqrt(squares[used])
             gb = slope.sum()
@@ -128,7 +128,7 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights:
 
 
 def featurized(texts: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For fit: the features of each text's distinct sentences, flat, and their sentence numbers."""
+    """For fit: the features of each text's distinct sentences, a row for each word, and the words' sentence numbers."""
     out = []
     rows = pa.table({"text": texts}).to_batches()
     for batch in slices(rows, "text"):
@@ -138,7 +138,7 @@ def featurized(texts: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
         picked, which = parts.picked[kept], (np.cumsum(parts.once) - 1)[parts.which[kept]]
         feats = features(words, picked)
         for a, b in zip(*(np.searchsorted(picked, words.first[k:][: batch.num_rows]) for k in (0, 1)), strict=True):
-            out.append((feats[a:b].ravel(), np.repeat((which[a:b] - (which[a] if b > a else 0)).astype(np.int32), feats.shape[1])))
+            out.append((feats[a:b], (which[a:b] - (which[a] if b > a else 0)).astype(np.int32)))
     return out
 
 

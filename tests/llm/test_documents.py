@@ -402,3 +402,16 @@ def test_components_and_prefilter(spark):
     kept = {r.k for r in prefilter(big, "k", few).collect()}
     assert {5, 77} <= kept
     assert len(kept) < 50
+
+
+def test_toxicity_learns_from_the_whole_sample(spark):
+    assert toxicity.SAMPLE_BYTES == 24 << 20
+    # Words that agree in seven bytes share a feature that words agreeing in six do not have.
+    words = Words(pa.array(["abcdefgh abcdefgx abcdefxx"], pa.large_string()), NON_ALNUM)
+    f = toxicity.features(words, np.arange(3))
+    assert [len(set(f[0]) & set(f[k])) for k in (1, 2)] == [5, 4]
+    # Sentence numbers are held once for a word, not once for a feature.
+    (feats, which), = toxicity.featurized(pa.chunked_array([pa.array(["a b. c d."], pa.large_string())]))
+    assert feats.shape == (4, 1 + len(toxicity.BEGINNINGS))
+    assert feats.dtype == which.dtype == np.int32
+    assert which.tolist() == [0, 0, 1, 1]
