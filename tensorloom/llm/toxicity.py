@@ -142,13 +142,24 @@ def featurized(texts: pa.ChunkedArray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def fitting(sizes: np.ndarray, room: int) -> np.ndarray:
+    """Which texts are taken, in their order, if one that does not fit in what is left of room is passed over."""
+    out = np.zeros(len(sizes), bool)
+    for i, size in enumerate(sizes.tolist()):
+        if size <= room:
+            out[i] = True
+            room -= size
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fit on a bounded sample of labelled documents: the first sample_docs of each label in hash
-    order, as far as their texts fit in sample_bytes (half for each label).
+    order, but for texts that do not fit in what those before leave of sample_bytes (half for each label).
 
     docs: doc_id, text; labels: doc_id, toxic (0, 1; others are left out). The sample's labels
     are weighed by how many documents have them. Without a document of each label the model
-    gives every text of one sentence the chance of the starting bias.
+    gives every text of one sentence the chance of the starting bias; a sample that misses a label
+    which documents have raises ValueError.
     """
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -156,8 +167,14 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS,
     ranked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs) for y in (0, 1)]
     picked = F.broadcast(ranked[0].unionByName(ranked[1]))
     sizes = docs.select("doc_id", F.octet_length("text").alias("size")).join(picked, "doc_id").select("doc_id", "toxic", "size", F.xxhash64("doc_id").alias("h")).toPandas().sort_values(["h", "doc_id"])
-    sizes = sizes[sizes.groupby("toxic")["size"].transform(lambda s: s.fillna(0).cumsum()) <= sample_bytes // 2]
+    taken = np.zeros(len(sizes), bool)
+    for y in (0, 1):
+        at = np.flatnonzero(sizes["toxic"] == y)
+        taken[at] = fitting(sizes["size"].fillna(0).to_numpy(np.int64)[at], sample_bytes // 2)
+    sizes = sizes[taken]
     if sizes["toxic"].nunique() < 2:
+        if known.join(docs.select("doc_id"), "doc_id", "left_semi").agg(F.count_distinct("toxic")).first()[0] == 2:
+            raise ValueError("no text of one of the labels fits in the sample")
         return Model(np.zeros(1 << BITS, np.float32), START_BIAS)
     spark = docs.sparkSession
     ids = F.broadcast(spark.createDataFrame(sizes[["doc_id", "toxic"]].astype("int64")))

@@ -415,3 +415,19 @@ def test_toxicity_learns_from_the_whole_sample(spark):
     assert feats.shape == (4, 1 + len(toxicity.BEGINNINGS))
     assert feats.dtype == which.dtype == np.int32
     assert which.tolist() == [0, 0, 1, 1]
+
+
+def test_toxicity_passes_over_texts_that_do_not_fit(spark):
+    assert toxicity.fitting(np.array([50, 3, 8, 4, 3]), 10).tolist() == [False, True, False, True, True]
+    rows = toxic_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string, truth int")
+    room = 2 * max(sum(len(t) for _, t, y in rows if y == k) for k in (0, 1))
+    # A text of each label that is first in hash order and longer than the room.
+    first = df.selectExpr("min(xxhash64(doc_id))").first()[0]
+    early = [r.id for r in spark.range(1000, 200000).where(f"xxhash64(id) < {first}").limit(2).collect()]
+    both = df.unionByName(spark.createDataFrame([(i, "x" * room, y) for y, i in enumerate(early)], "doc_id long, text string, truth int"))
+    model = toxicity.train(both, both.selectExpr("doc_id", "truth AS toxic"), sample_bytes=room)
+    scores = {r.doc_id: r.score for r in toxicity.score_toxicity(df, model).collect()}
+    assert np.mean([(scores[i] >= 0.3) == bool(y) for i, _, y in rows]) > 0.9
+    with pytest.raises(ValueError, match="sample"):
+        toxicity.train(df, df.selectExpr("doc_id", "truth AS toxic"), sample_bytes=2)
