@@ -10,7 +10,9 @@ words. Every such block is found:
 * *length filter*: a text with fewer words than needed holds no block;
 * *positional filter*: a block whose rarest hit stands at rank r can hold at most ``size - r``
   of the words, and at most as many as it has places with any word of the template;
-* what is left is compared exactly.
+* a text that has fewer than the needed words of the template in all holds no block;
+* what is left is compared exactly, by the number of distinct words of every block, which is counted
+  from where each word stood before: a template has as many words as it likes.
 
 A phrase is a template whose words must all stand in order (threshold 1).
 """
@@ -25,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import slices
-from ._words import NON_ALNUM, U64, Words
+from ._words import NON_ALNUM, Words
+from .license_texts import CLAUSES
 
 # Base phrases, and opening words of common license notices.
 PHRASES = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
@@ -53,12 +56,28 @@ class Template:
 
 #: Short notices differ by a word (BY-NC, BY-SA), so they have to be nearly whole.
 TEMPLATES = (*(Template(label, text, 1.0, True) for label, text in PHRASES), *(Template(label, text, 0.8 if len(text) > 60 else 0.9) for label, text in NOTICES))
+#: Beside them, the clauses of whole licenses: a body counts without its title or opening words.
+ALL_TEMPLATES = (*TEMPLATES, *(Template(label, text) for label, text in CLAUSES))
 
 
 def _hashes(text: str) -> np.ndarray:
     return Words(pa.array([text], pa.large_string()), NON_ALNUM).hashes()
 
 
+def distinct_words(at: np.ndarray, width: int) -> np.ndarray:
+    """How many distinct words of a template (at: their numbers, or -1) each run of width places holds."""
+    places = np.flatnonzero(at >= 0)
+    order = np.argsort(at[places], kind="stable")
+    a, b = order[:-1], order[1:]
+    again = at[places[a]] == at[places[b]]
+    before = np.full(len(places), -1)
+    before[b[again]] = places[a[again]]
+    # A place counts in the runs that hold it and start after the place where its word stood before.
+    first = np.maximum(np.maximum(before, places - width) + 1, 0)
+    change = np.bincount(first, minlength=len(at) + 1) - np.bincount(places + 1, minlength=len(at) + 1)
+    return np.cumsum(change)[: len(at) - width + 1]
+
+
 class Plan:
     """Templates made ready: words, their order by frequency, and what each filter needs."""
 
@@ -77,17 +96,20 @@ class Plan:
             ids = np.searchsorted(self.vocabulary, sequence)
             own = np.unique(ids)
             own = own[np.argsort(rank[own])]
-            if len(own) > 63:
-                raise ValueError("a template has at most 63 distinct words")
             needed = max(1, int(np.ceil(template.threshold * len(own) - 1e-9)))
-            place = np.full(len(self.vocabulary) + 1, -1)
+            place = np.full(len(self.vocabulary) + 1, -1, np.int32)
             place[own] = np.arange(len(own))
             self.parts.append((template, ids, place, len(own), needed))
+        self.needed = np.array([needed for *_, needed in self.parts])
+        #: A row for each word of the vocabulary: the templates that have it.
+        self.having = np.ascontiguousarray(np.stack([place[:-1] >= 0 for _, _, place, _, _ in self.parts], axis=1))
 
     def find(self, ids: np.ndarray) -> list[tuple[int, int, int, float]]:
         """Blocks of one text (vocabulary number of each word, or -1): template, start, end, containment."""
         out = []
-        for number, (template, sequence, place, size, needed) in enumerate(self.parts):
+        held = self.having[np.unique(ids[ids >= 0])].sum(axis=0)
+        for number in np.flatnonzero(held >= self.needed).tolist():
+            template, sequence, place, size, needed = self.parts[number]
             width = len(sequence)
             if len(ids) < (width if template.phrase else needed):
                 continue
@@ -96,19 +118,15 @@ class Plan:
             if not len(hits):
                 continue
             width = min(width, len(ids))
-            starts = np.unique((hits[:, None] - np.arange(width)).ravel())
-            starts = starts[(starts >= 0) & (starts + width <= len(ids))]
-            filled = np.concatenate(([0], np.cumsum(at >= 0)))
-            starts = starts[filled[starts + width] - filled[starts] >= needed]
             if template.phrase:
+                starts = np.unique((hits[:, None] - np.arange(width)).ravel())
+                starts = starts[(starts >= 0) & (starts + width <= len(ids))]
                 found = starts[(ids[starts[:, None] + np.arange(width)] == sequence).all(axis=1)]
                 out.extend((number, int(s), int(s) + width, 1.0) for s in found)
                 continue
-            blocks = at[starts[:, None] + np.arange(width)]
-            bits = np.where(blocks >= 0, U64(1) << np.maximum(blocks, 0).astype(U64), U64(0))
-            overlap = np.bitwise_count(np.bitwise_or.reduce(bits, axis=1)).astype(np.int64)
-            good = overlap >= needed
-            out.extend((number, int(s), int(s) + width, n / size) for s, n in zip(starts[good], overlap[good], strict=True))
+            overlap = distinct_words(at, width)
+            good = np.flatnonzero(overlap >= needed)
+            out.extend((number, s, s + width, n / size) for s, n in zip(good.tolist(), overlap[good].tolist(), strict=True))
         return out
 
 
@@ -148,7 +166,7 @@ def _scan(plan: Plan):
     return run
 
 
-def license_scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
+def license_scan(docs: DataFrame, templates: tuple[Template, ...] = ALL_TEMPLATES) -> DataFrame:
     """Every text block that meets a template.
 
     docs: doc_id (integer) and text; other columns are left out. ASCII letters are lower-cased; words are

@@ -16,7 +16,7 @@ from .chat_format import format_chat, parse, unescape
 from .decontamination import decontaminate
 from .embedding_dedup import embedding_near_dedup
 from .hmm_lm import hmm_score
-from .license_scan import TEMPLATES, license_scan
+from .license_scan import ALL_TEMPLATES, license_scan
 from .ngram_join import ngram_jaccard_join
 from .sharding import place
 from .sql import oracle_sql
@@ -122,10 +122,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License phrases and notices in each document."""
+    """License phrases, notices and clauses in each document."""
     found = license_scan(_read(spark, sf_dir, "documents"))
-    label = F.array(*(F.lit(t.label) for t in TEMPLATES))
-    phrase = F.array(*(F.lit(t.phrase) for t in TEMPLATES))
+    label = F.array(*(F.lit(t.label) for t in ALL_TEMPLATES))
+    phrase = F.array(*(F.lit(t.phrase) for t in ALL_TEMPLATES))
     base = F.filter("matches", lambda m: F.get(phrase, m["template"]))
     names = lambda matches: F.array_join(F.array_sort(F.array_distinct(F.transform(matches, lambda m: F.get(label, m["template"])))), ",")
     return found.select(

@@ -299,6 +299,28 @@ def test_license_scan(spark):
     assert license_scan.license_scan(frame(spark, rows).limit(0)).collect() == []
 
 
+def test_license_bodies(spark):
+    clauses = {k: [t for label, t in license_scan.CLAUSES if label == k] for k in ("mit", "bsd", "apache", "gpl")}
+    # Warranty clauses and numbered conditions without the opening words, and a template of over 63 distinct words.
+    rows = ["some words " * 9 + clauses["mit"][-1], clauses["bsd"][1].upper(), clauses["apache"][20], clauses["gpl"][40], *(" ".join(VOCAB) + f" {i}" for i in range(4))]
+    long = license_scan.Template("long", " ".join(t for k in clauses.values() for t in k))
+    assert len(set(alnum(long.text))) > 63
+    rows.append(" ".join(long.text.split()[50:]))
+    templates = (*license_scan.ALL_TEMPLATES, long)
+    got = {r.doc_id: r for r in license_scan.license_scan(frame(spark, rows), templates).collect()}
+    labels = [{templates[m.template].label for m in got[i].matches} for i in range(len(rows))]
+    assert labels[:8] == [{"mit"}, {"bsd"}, {"apache"}, {"gpl"}, set(), set(), set(), set()]
+    assert "long" in labels[8]
+    for i in (0, 1, 2, 3):
+        w = alnum(rows[i])
+        for k, t in enumerate(templates):
+            own, width = set(alnum(t.text)), min(len(alnum(t.text)), len(w))
+            if not t.phrase:
+                n = [len(own & set(w[j : j + width])) for j in range(len(w) - width + 1)]
+                want = [(j, j + width, x / len(own)) for j, x in enumerate(n) if x >= max(1, math.ceil(t.threshold * len(own) - 1e-9))]
+                assert [(m.start_word, m.end_word, m.containment) for m in got[i].matches if m.template == k] == want
+
+
 def toxic_rows():
     rng = random.Random(4)
     bad = ["vile", "scummy", "rotten"]
