@@ -25,7 +25,7 @@ from .operators import indexing as X
 from .operators import iterative as I
 from .operators import products as P
 from .operators import reductions as R
-from .plans import chain, gram_packed
+from .plans import chain, cosine_search, gram_packed
 
 WIDTH = 64
 _QUERIES: dict[str, Callable] = {}
@@ -374,11 +374,15 @@ query("diagonal_pairing", f"WITH {_C} SELECT round(sum(v * v), 9) + 0.0 AS v FRO
 query("cosine_neighbours", f"WITH {_X}, N AS (SELECT b.vec_id AS q, a.vec_id, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS c FROM X a, X b WHERE b.vec_id < 5) SELECT q, vec_id, round(c, 6) + 0.0 AS v FROM N WHERE c >= 0.2")(
     lambda d: rounded(d.packed().alias("a").join(F.broadcast(d.packed().where("vec_id < 5").select(F.col("vec_id").alias("q"), F.col("e").alias("f")))).select("q", "a.vec_id", (packed.dot(F.col("a.e"), F.col("f")) / (packed.norm(F.col("a.e")) * packed.norm(F.col("f")))).alias("v")).where("v >= 0.2"))
 )
+query("cosine_search", f"WITH {_X}, N AS (SELECT b.vec_id AS q, a.vec_id, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS c FROM X a, X b WHERE b.vec_id % 50 = 0) SELECT q, vec_id, round(c, 6) + 0.0 AS v FROM N WHERE c >= 0.2")(
+    lambda d: rounded(cosine_search(d.packed(), "vec_id", "e", WIDTH, F.col("vec_id") % 50 == 0, 0.2))
+)
 
 # ---------------------------------------------------------------- reductions
 
 query("sum", f"WITH {_V} SELECT round(sum(v), 3) AS v FROM V")(lambda d: rounded(R.total(d.events()), 3))
 query("product_small", f"WITH {_V} SELECT round(product(1 + v / 1000), 4) AS v FROM V WHERE i0 < 100")(lambda d: rounded(R.product(A.unary_expr(X.head(d.events(), 100), lambda v: 1 + v / 1000)), 4))
+query("product", f"WITH {_V} SELECT round(product(1 + v / (100 * (SELECT count(*) FROM V))), 9) AS v FROM V")(lambda d: rounded(R.product(A.unary_expr(t := d.events(), lambda v: 1 + v / (100.0 * t.shape[0]))), 9))
 query("product_sparse", "SELECT CAST(0 AS DOUBLE) AS v")(lambda d: R.product(d.quantities()).df)
 query("any", f"WITH {_V} SELECT bool_or(v > 100) AS v FROM V")(lambda d: R.any_(A.combine("gt", d.events(), 100.0)).df)
 query("all", f"WITH {_V} SELECT bool_and(v > 0) AS v FROM V")(lambda d: R.all_(A.combine("gt", d.events(), 0.0)).df)

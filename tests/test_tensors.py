@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,3 +253,21 @@ def test_numpy_fill_resize(vals, spark):
     assert rows(X.resize(m, 1, 3)) == [[1, 2, 0]]
     assert rows(X.slice_(m, vals([1, 0, 1]), 0)) == [3, 1, 3]
     assert [tuple(r) for r in S.to_packed(m).orderBy("i0").collect()] == [(0, [1.0, 2.0]), (1, [3.0, 4.0])]
+
+
+def test_search_and_product_take_all_rows(spark, tmp_path):
+    from tensorloom.catalog import queries
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1201, 64))
+    spark.createDataFrame([(k, 0, e.tolist()) for k, e in enumerate(x)], "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    values = rng.uniform(0, 500, 1201)
+    spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    x = x.astype(np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    c = x[::50] @ x.T
+    got = {(r.q, r.vec_id): r.v for r in queries()["cosine_search"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(50 * i, j) for i, j in zip(*np.nonzero(c >= 0.2), strict=True)}
+    assert {q for q, _ in got} == set(range(0, 1201, 50))
+    assert all(abs(v - c[q // 50, j]) < 1e-6 for (q, j), v in got.items())
+    assert queries()["product"](spark, str(tmp_path)).first()["v"] == pytest.approx(np.prod(1 + values / (100 * len(values))), rel=1e-8)
