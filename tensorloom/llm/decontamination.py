@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import slices
+from ._spark import Workspace, slices
 from ._words import NON_ALNUM, Words
 
 #: Words of benchmark text in one automaton (about 65 bytes of patterns each). A larger
@@ -88,7 +88,7 @@ _SPAN = "struct<first_word:bigint,end_word:bigint,start:bigint,end:bigint>"
 _SPAN_TYPE = pa.struct([(x, pa.int64()) for x in ("first_word", "end_word", "start", "end")])
 
 
-def _scan(items: list[tuple[str, str | None]], window: int):
+def _scan(items: list[tuple[str, str | None]], window: int, keep: tuple[str, ...]):
     def run(batches):
         auto = Automaton(items, window)
         for batch in slices(batches, "text"):
@@ -98,14 +98,14 @@ def _scan(items: list[tuple[str, str | None]], window: int):
                 counts.append(n)
                 spans.append(_spans(text, starts, ends) if len(starts) else [])
                 names.append(sorted(found))
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(_SPAN_TYPE)), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
+            yield pa.record_batch([*(batch.column(c).cast(pa.int64()) for c in keep), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(_SPAN_TYPE)), pa.array(names, pa.list_(pa.string()))], names=[*keep, "n_words", "spans", "items"])
 
     return run
 
 
 def _merged(rows: DataFrame) -> DataFrame:
-    """One row per document out of one per document and automaton; spans that touch become one."""
-    both = rows.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    """One row per row number out of one per row number and automaton; spans that touch become one."""
+    both = rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     empty = F.expr(f"cast(array() as array<{_SPAN}>)")
 
     def add(done, x):
@@ -113,7 +113,7 @@ def _merged(rows: DataFrame) -> DataFrame:
         joined = F.struct(last["first_word"].alias("first_word"), F.greatest(last["end_word"], x["end_word"]).alias("end_word"), last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
         return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end_word"] >= x["first_word"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(x)))
 
-    return both.withColumn("spans", F.aggregate(F.array_sort("spans"), empty, add))
+    return both.withColumn("spans", F.aggregate(F.array_sort("spans"), empty, add)).drop("row")
 
 
 def _groups(benchmark: DataFrame, automaton_words: int) -> list[list[tuple[str, str | None]]]:
@@ -129,15 +129,20 @@ def _groups(benchmark: DataFrame, automaton_words: int) -> list[list[tuple[str,
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
     """Find benchmark text in documents.
 
-    docs: doc_id (integer; unique if the benchmark takes several automata) and text; benchmark: item_id and text; other columns are left out.
+    docs: doc_id (integer) and text; benchmark: item_id and text; other columns are left out.
     A window is a run of ``window`` consecutive words of an item; an item of fewer words, but
     not none, is one window. Returns per document: doc_id, n_words, spans (ranges of
     words inside any window's occurrence, with their places in the text), and items
-    (item_ids as strings, sorted, of which a window occurs). Nulls have no words; an
+    (item_ids as strings, sorted, of which a window occurs); rows of one doc_id, or of none, have a row of result each. Nulls have no words; an
     empty benchmark hits nothing; items that repeat are each reported.
     """
-    docs = docs.select("doc_id", "text")
-    found = [docs.mapInArrow(_scan(items, window), f"doc_id bigint, n_words bigint, spans array<{_SPAN}>, items array<string>") for items in _groups(benchmark, automaton_words)]
+    docs, keep = docs.select("doc_id", "text"), ("doc_id",)
+    groups = _groups(benchmark, automaton_words)
+    if len(groups) > 1:
+        # Row numbers have to be the same for every automaton, so they are written.
+        docs, keep = Workspace(docs.sparkSession, "decontamination").table(docs.withColumn("row", F.monotonically_increasing_id())), ("row", "doc_id")
+    schema = ", ".join([*(f"{c} bigint" for c in keep), f"n_words bigint, spans array<{_SPAN}>, items array<string>"])
+    found = [docs.mapInArrow(_scan(items, window, keep), schema) for items in groups]
     if len(found) == 1:
         return found[0]
     rows = found[0]

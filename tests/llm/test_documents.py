@@ -277,6 +277,16 @@ def test_decontaminate(spark, automaton_words):
     assert none.count() == len(rows)
 
 
+def test_decontaminate_rows_of_one_id(spark):
+    one, two = (f"w {t} w" for t in (ITEMS[0][1], "q1 q2 q3"))
+    rows = [(1, one), (1, two), (1, one), (None, one), (None, None), (None, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(ITEMS, "item_id int, text string")
+    found = [sorted(map(str, decontamination.decontaminate(df, bench, 10, automaton_words=n).collect())) for n in (200_000, 10)]
+    assert len(found[0]) == len(rows)
+    assert found[0] == found[1]
+
+
 def test_license_scan(spark):
     permission = license_scan.NOTICES[7][1]
     rows = [*texts(8, 10), "MIT\nlicense; mit license", "the General Public License", permission.upper(), permission.replace("obtaining", "getting") + " x", permission[:60], "Licensed under CC BY-NC 4.0.", "licensed under cc by-sa 4.0", "license mit"]
