@@ -1,20 +1,30 @@
 """Language-model scoring with a hidden Markov model.
 
-Training counts every word of the training documents (packed by hash, combined within a
-batch, merged in buckets). The SYMBOLS most frequent words are symbols of their own;
-each other word is the symbol of its class (by its first two bytes) and a draw from the
-add-one distribution of the words of that class, in which one place is for unseen
-words. Baum-Welch runs over all training documents: each partition adds up expected counts by
-forward and backward recursion, the counts are summed across partitions, and the
-driver normalises a matrix of fixed size. A text's score is its exact log10 likelihood by the scaled
-forward recursion, the end symbol included.
+1. *Counts* of every word of the training documents (packed by hash, combined within a
+   batch, merged in buckets). The SYMBOLS most frequent words are symbols of their own;
+   each other word belongs to the symbol of its class (by its first two bytes).
+2. *Baum-Welch* over all training documents and these symbols: each partition adds up expected
+   counts by forward and backward recursion, the counts are summed across partitions in two
+   levels, and the driver normalises a matrix of fixed size.
+3. *Words within classes*: the trained model's state posteriors are gathered for every other word of the
+   corpus, dealt to buckets by its hash and summed there, one round of expectation and maximisation.
+   A word's share of its class in a state is its add-one share times a ratio, which is
+   stored in a byte per state; one place of a class is for unseen words. What this
+   gathers grows with the vocabulary and no task or driver holds all of it: a bucket sends
+   each document the ratios of its words.
+4. A text's score is its exact log10 likelihood by the scaled forward recursion, the end symbol included.
+
+Learning (2 and the posteriors of 3) runs in single precision, sums of counts and scores in double.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +37,12 @@ SYMBOLS, CLASSES, STATES, ROUNDS = 8192, 256, 8, 5
 FLUSH_WORDS, BUCKET_WORDS, CHUNK_TOKENS = 600_000, 2_000_000, 400_000
 #: Texts up to these numbers of tokens run side by side.
 LENGTHS = (512, 2048)
-#: Symbols in one row of expected counts.
-COUNT_BLOCK = 512
+#: Symbols in one row of expected counts, and rows that one task of a level adds up.
+COUNT_BLOCK, FAN_IN = 512, 64
+#: Occurrences that pull a word's ratios towards 1, and steps of a ratio's natural logarithm in one unit.
+PULL, STEPS = 2.0, 16.0
+#: Ratios by their byte, from -128 on.
+RATIOS = np.exp(np.arange(-128, 128) / STEPS)
 
 
 def _classes(words: Words) -> np.ndarray:
@@ -97,17 +111,19 @@ def _most_frequent(n: int):
 
 # ---------------------------------------------------------------- encoding
 
-_ENCODED = "doc_id long, held_out boolean, n_tokens long, log_sum double, n_known long, class_log double, symbols binary, rare binary"
+_ENCODED = "row long, doc_id long, held_out boolean, n_tokens long, log_sum double, n_known long, class_log double, symbols binary, rare binary"
 
 
 def _encode(keys: np.ndarray, logs: np.ndarray, class_logs: np.ndarray, end_log: float, end_known: bool):
     """Symbols of each text, and what its frequent words add to its scores.
 
-    keys: the frequent words' hashes, sorted; logs: their log10(count + 1).
+    keys: the frequent words' hashes, sorted; logs: their log10(count + 1). Rows are numbered,
+    as several can have one doc_id.
     """
     end = len(keys) + CLASSES
 
     def run(batches):
+        number = TaskContext.get().partitionId() << 36
         for batch in slices(batches, "text"):
             words = Words(batch.column("text"))
             h = words.hashes()
@@ -116,13 +132,15 @@ def _encode(keys: np.ndarray, logs: np.ndarray, class_logs: np.ndarray, end_log:
             own = keys[at] == h if len(keys) else np.zeros(len(h), bool)
             symbols = np.where(own, at, len(keys) + classes.astype(np.int64)).astype(np.uint16)
             row = np.repeat(np.arange(batch.num_rows), words.counts())
-            per_row = lambda x: np.bincount(row, weights=x, minlength=batch.num_rows)  # noqa: E731, B023
+            per_row = lambda x: np.bincount(row, weights=x, minlength=batch.num_rows).astype(np.float64)  # noqa: E731, B023
             gain = per_row(np.where(own, logs[at] if len(keys) else 0.0, 0.0)) + end_log
             mass = per_row(np.where(own, 0.0, class_logs[classes]))
             known = per_row(own).astype(np.int64) + end_known
             bounds = list(zip(words.first[:-1], words.first[1:], strict=True))
+            rows = np.arange(number, number + batch.num_rows)
+            number += batch.num_rows
             yield pa.record_batch({
-                "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": pa.array(words.counts() + 1), "log_sum": pa.array(gain), "n_known": pa.array(known), "class_log": pa.array(mass),
+                "row": pa.array(rows, pa.int64()), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": pa.array(words.counts() + 1), "log_sum": pa.array(gain), "n_known": pa.array(known), "class_log": pa.array(mass),
                 "symbols": pa.array([np.append(symbols[a:b], np.uint16(end)).tobytes() for a, b in bounds], pa.binary()),
                 "rare": pa.array([h[a:b][~own[a:b]].tobytes() for a, b in bounds], pa.binary()),
             })
@@ -130,83 +148,6 @@ def _encode(keys: np.ndarray, logs: np.ndarray, class_logs: np.ndarray, end_log:
     return run
 
 
-_ASKED = pa.schema([("bucket", pa.int32()), ("owners", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary())])
-
-
-def _ask(n_buckets: int):
-    """Rare words by bucket, each with its document."""
-
-    def run(batches):
-        held, size = [], 0
-
-        def flush():
-            keys, ids = (np.concatenate(c) for c in zip(*held, strict=True))
-            return batch_of(list(deal(bucket_of(keys, n_buckets), n_buckets, ids, keys)), _ASKED)
-
-        for batch in slices(batches, "rare"):
-            for doc, rare in zip(batch.column("doc_id").to_pylist(), batch.column("rare").to_pylist(), strict=True):
-                keys = np.frombuffer(rare, U64)
-                held.append((keys, np.full(len(keys), doc, np.int64)))
-                size += len(keys)
-            if size >= FLUSH_WORDS:
-                yield flush()
-                held, size = [], 0
-                release()
-        if size:
-            yield flush()
-
-    return run
-
-
-def _retell(n_buckets: int):
-    """Merged counts by the buckets in which they are asked for."""
-
-    def run(batches):
-        for batch in batches:
-            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                keys, counts = np.frombuffer(keys, U64), np.frombuffer(counts, np.int64)
-                cuts = np.searchsorted(bucket_of(keys, n_buckets), np.arange(n_buckets + 1))
-                yield batch_of([(t, b"", counts[a:b].tobytes(), keys[a:b].tobytes()) for t, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a], _ASKED)
-
-    return run
-
-
-_ANSWER = pa.schema([("home", pa.int32()), ("owners", pa.binary()), ("counts", pa.binary()), ("sums", pa.binary()), ("known", pa.binary())])
-
-
-def _answer(n_buckets: int):
-    """Of one bucket: what its words add to each document that asked."""
-
-    def run(table: pa.Table) -> pa.Table:
-        release()
-        told = table.filter(table.column("told"))
-        asked = table.filter(pc.invert(table.column("told")))
-        keys, ids = joined(asked, "keys", U64), owners_of(asked)
-        if not len(keys):
-            return _ANSWER.empty_table()
-        have, counts = joined(told, "keys", U64), joined(told, "counts", np.int64)
-        order = np.argsort(have)
-        have, counts = have[order], counts[order]
-        at = np.minimum(np.searchsorted(have, keys), max(len(have) - 1, 0))
-        c = np.where(have[at] == keys, counts[at], 0) if len(have) else np.zeros(len(keys), np.int64)
-        order = np.argsort(ids, kind="stable")
-        ids, c = ids[order], c[order]
-        heads = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        sums = np.add.reduceat(np.log10(c + 1.0), heads)
-        known = np.add.reduceat((c > 0).astype(np.int64), heads).astype(np.uint32)
-        return table_of(list(deal(home_of(ids[heads], n_buckets), n_buckets, ids[heads], sums, known)), _ANSWER)
-
-    return run
-
-
-def _add_up(table: pa.Table) -> pa.Table:
-    ids, sums, known = owners_of(table), joined(table, "sums", np.float64), joined(table, "known", np.uint32)
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    heads = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-    return pa.table({"doc_id": pa.array(ids[heads]), "rare_sum": pa.array(np.add.reduceat(sums[order], heads)), "rare_known": pa.array(np.add.reduceat(known[order].astype(np.int64), heads))})
-
-
 # ---------------------------------------------------------------- hidden Markov model
 
 
@@ -232,18 +173,23 @@ class Hmm:
         prior = (weights + 1.0) / (weights + 1.0).sum()
         return Hmm(scale(start + 1.0), scale(move + 1.0), scale(emit + 0.002 * emit.sum(axis=1, keepdims=True) * prior + 1e-6))
 
-    def run(self, texts: list[np.ndarray], learn: bool = False):
-        """Natural-log likelihood of each text; with learn, the expected counts too.
+    def run(self, texts: list[np.ndarray], learn: bool = False, *, factors: tuple | None = None, posteriors: bool = False):
+        """Natural-log likelihood of each text; with learn, the expected counts too, and with
+        posteriors instead of them the states' probabilities at each token of all texts, one after another.
 
-        Texts run side by side, the longest first, so that those still running at a step
-        are the first rows. Forward variables are scaled to sum 1 at each step.
+        factors: which tokens of all texts have emissions of their own, and what theirs are times those of
+        their symbol (a row of all states for each). Texts run side by side, the longest first, so that
+        those still running at a step are the first rows. Forward variables are scaled to sum 1 at each step.
         """
-        sizes = np.array([len(t) for t in texts])
+        learn = learn or posteriors
+        sizes = np.array([len(t) for t in texts], np.int64)
         order = np.argsort(-sizes, kind="stable")
         ends = sizes[order]
         steps = int(ends[0]) if len(ends) else 0
         if not steps:
             nothing = np.zeros(len(texts))
+            if posteriors:
+                return np.zeros((0, len(self.start)), np.float32)
             return (nothing, np.zeros_like(self.start), np.zeros_like(self.move), np.zeros_like(self.emit)) if learn else nothing
         active = np.searchsorted(-ends, -np.arange(steps), side="left")
         heads = np.concatenate(([0], np.cumsum(active)))
@@ -256,6 +202,13 @@ class Hmm:
         kind = np.float32 if learn else np.float64
         move, one = self.move.astype(kind), np.ones(len(self.start), kind)
         shown = self.emit.T.astype(kind)[by_step]
+        # Of each token, in the order of texts: its row in the order of steps.
+        began = np.empty(len(texts), np.int64)
+        began[order] = np.cumsum(ends) - ends
+        spot = place[np.repeat(began, sizes) + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
+        if factors is not None:
+            own, times = factors
+            shown[spot[own]] *= times
         alpha = shown if not learn else shown.copy()
         scale = np.empty(len(row), kind)
         alpha[: heads[1]] *= self.start.astype(kind)
@@ -281,6 +234,10 @@ class Hmm:
             a, b = cuts[t], cuts[t + 1]
             shown[a:b] *= beta[a:b]
             np.matmul(shown[a:b], back, out=beta[cuts[t - 1] : cuts[t - 1] + b - a])
+        if posteriors:
+            alpha *= beta
+            alpha /= (alpha @ one)[:, None]
+            return alpha[spot]
         later = step > 0
         moved = self.move * (alpha[place[later] - active[step[later] - 1]].T.astype(np.float64) @ shown[place[later]]) if later.any() else np.zeros_like(self.move)
         alpha *= beta
@@ -312,8 +269,11 @@ def _chunks(batches, column: str):
         yield from chunk(k)
 
 
+_COUNTS = "part long, kind int, block int, counts binary"
+
+
 def _expect(model: Hmm):
-    """Expected counts of a partition: rows of (kind, block, values)."""
+    """Expected counts of a partition: rows of (partition, kind, block, values)."""
 
     def run(batches):
         total = None
@@ -325,23 +285,31 @@ def _expect(model: Hmm):
             start, move, emit, rest = total
             rows = [(-1, 0, np.concatenate((start, move.ravel(), rest)))]
             rows += [(k, b, emit[k, b * COUNT_BLOCK : (b + 1) * COUNT_BLOCK]) for k in range(len(emit)) for b in range(-(-emit.shape[1] // COUNT_BLOCK))]
-            yield pa.record_batch({"kind": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int32()), "counts": pa.array([r[2].astype(np.float64).tobytes() for r in rows], pa.binary())})
+            part = TaskContext.get().partitionId()
+            yield pa.record_batch({"part": pa.array([part] * len(rows), pa.int64()), "kind": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([r[1] for r in rows], pa.int32()), "counts": pa.array([r[2].astype(np.float64).tobytes() for r in rows], pa.binary())})
 
     return run
 
 
 def _sum_counts(table: pa.Table) -> pa.Table:
     total = sum(np.frombuffer(x, np.float64) for x in table.column("counts").to_pylist())
-    return table.slice(0, 1).set_column(2, "counts", pa.array([total.tobytes()], pa.binary()))
+    return pa.table({"part": pa.array([table.column("part")[0].as_py() // FAN_IN], pa.int64()), "kind": table.column("kind").slice(0, 1), "block": table.column("block").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def summed(parts: DataFrame) -> DataFrame:
+    """Sums by (kind, block), in two levels: no task takes a row from each task of the level before."""
+    near = parts.groupBy(F.expr(f"part div {FAN_IN}").alias("near"), "kind", "block").applyInArrow(_sum_counts, _COUNTS)
+    return near.groupBy("kind", "block").applyInArrow(_sum_counts, _COUNTS)
 
 
-def baum_welch(encoded: DataFrame, weights: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> tuple[Hmm, list[float]]:
-    """Model of all rows of encoded (symbols), and the log10 likelihood a token before each round."""
+def baum_welch(encoded: DataFrame, weights: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> tuple[Hmm, np.ndarray, list[float]]:
+    """Model of all rows of encoded (symbols), the share of each state in each symbol as the last round
+    expected it, and the log10 likelihood a token before each round."""
     model, n, history = Hmm.initial(weights, states), len(weights), []
+    shares = np.full((states, n), 1 / states)
     for _ in range(rounds):
-        parts = encoded.select("symbols").mapInArrow(_expect(model), "kind int, block int, counts binary")
         # states * symbols / COUNT_BLOCK rows reach the driver, however large the corpus is.
-        rows = parts.groupBy("kind", "block").applyInArrow(_sum_counts, "kind int, block int, counts binary").collect()
+        rows = summed(encoded.select("symbols").mapInArrow(_expect(model), _COUNTS)).collect()
         if not rows:
             break
         emit = np.zeros((states, n))
@@ -353,36 +321,196 @@ def baum_welch(encoded: DataFrame, weights: np.ndarray, states: int = STATES, ro
                 emit[r["kind"], r["block"] * COUNT_BLOCK : r["block"] * COUNT_BLOCK + len(values)] = values
         history.append(float(rest[0] / rest[1] / np.log(10)))
         model = Hmm.from_counts(start, move, emit, weights)
-    return model, history
+        smooth = emit + 1e-3 * emit.sum(axis=1, keepdims=True) / emit.sum() + 1e-9
+        shares = smooth / smooth.sum(axis=0)
+    return model, shares, history
 
 
-def _score(model: Hmm):
+# ---------------------------------------------------------------- words within classes
+
+_ASKED = pa.schema([("bucket", pa.int32()), ("owners", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("classes", pa.binary()), ("states", pa.binary())])
+_ASKED_SQL = "bucket int, owners binary, counts binary, keys binary, classes binary, states binary"
+
+
+def _ask(n_buckets: int, n_own: int, model: Hmm | None):
+    """Words of classes by bucket, each with its row; for training rows (model is given) with its posterior in bytes."""
+
     def run(batches):
+        held, size = [], 0
+
+        def flush():
+            keys, ids, classes, states = (np.concatenate(c) for c in zip(*held, strict=True))
+            return batch_of([(*row, b"") if model is None else row for row in deal(bucket_of(keys, n_buckets), n_buckets, ids, keys, classes, *([] if model is None else [states]))], _ASKED)
+
         for batch, texts in _chunks(batches, "symbols"):
-            rest = [batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "log_sum", "n_known", "class_log")]
-            yield pa.record_batch([*rest, pa.array(model.run(texts) / np.log(10))], names=["doc_id", "held_out", "n_tokens", "log_sum", "n_known", "class_log", "hmm"])
+            rare = [np.frombuffer(x, U64) for x in batch.column("rare").to_pylist()]
+            n = np.array([len(x) for x in rare])
+            if not n.sum():
+                continue
+            symbols = np.concatenate(texts)
+            inside = (symbols >= n_own) & (symbols < n_own + CLASSES)
+            states = np.zeros((int(n.sum()), 0), np.uint8) if model is None else np.rint(model.run(texts, posteriors=True)[inside] * 255).astype(np.uint8)
+            held.append((np.concatenate(rare), np.repeat(batch.column("row").to_numpy(), n), (symbols[inside] - n_own).astype(np.uint8), states))
+            size += len(held[-1][0])
+            if size >= FLUSH_WORDS:
+                yield flush()
+                held, size = [], 0
+                release()
+        if size:
+            yield flush()
 
     return run
 
 
-# ---------------------------------------------------------------- operator
+_TOLD = pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("owners", pa.binary()), ("counts", pa.binary()), ("sums", pa.binary()), ("known", pa.binary()), ("ratios", pa.binary())])
+_TOLD_SQL = "home int, bucket int, owners binary, counts binary, sums binary, known binary, ratios binary"
 
 
-def hmm_score(docs: DataFrame, held_out: F.Column, *, symbols: int = SYMBOLS, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
-    """Train on the rows of docs that are not held out, and score every row.
+def ratios_of(counts: np.ndarray, expected: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Bytes of a word's ratios: its expected share of each state over that of its class, pulled towards 1.
 
-    docs: doc_id (integer, unique) and text; other columns and rows of null doc_id are left out; held_out:
-    boolean column of docs. ASCII letters are lower-cased; a text's tokens are its words (runs
-    of anything but ASCII white space) and one end; a null or empty text is the end alone.
-    Returns doc_id, held_out, n_tokens, n_known (tokens that training has), train_tokens,
-    base_score (sum of log10((c + 1) / (N + V + 1)) by training counts) and score (log10
-    probability of the text under the model). Without training rows every word is unseen.
+    counts: occurrences of each word; expected: of them, by state; shares: states' shares in the word's class.
     """
-    if symbols + CLASSES + 1 > 65536:
-        raise ValueError("symbols are stored in 16 bits")
+    ratio = (expected + PULL * shares) / ((counts + PULL)[:, None] * shares)
+    return np.clip(np.rint(np.log(ratio) * STEPS), -128, 127).astype(np.int8)
+
+
+def _tell(n_homes: int, states: int, shares: np.ndarray):
+    """Of one bucket: counts and ratios of its words, to each row that has them in the order of its words; and
+    (home -1) what the words add to the masses of classes in each state. shares: states x classes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        release()
+        bucket = table.column("bucket")[0].as_py()
+        taught = pc.greater(pc.binary_length(table.column("states")), 0)
+        lessons = table.filter(taught)
+        keys = joined(lessons, "keys", U64)
+        words, first, at = np.unique(keys, return_index=True, return_inverse=True)
+        counts = np.bincount(at, minlength=len(words)).astype(np.int64)
+        classes = joined(lessons, "classes", np.uint8)[first]
+        given = joined(lessons, "states", np.uint8).reshape(-1, states)
+        expected = np.stack([np.bincount(at, weights=given[:, k], minlength=len(words)).astype(np.float64) for k in range(states)], axis=1)
+        expected *= (counts / np.maximum(expected.sum(axis=1), 1e-9))[:, None]
+        ratios = ratios_of(counts, expected, shares.T[classes]) if len(words) else np.zeros((0, states), np.int8)
+        mass = np.zeros((states, CLASSES))
+        for k in range(states):
+            mass[k] = np.bincount(classes, weights=(counts + 1) * RATIOS[ratios[:, k].astype(np.int64) + 128], minlength=CLASSES)
+        rows = [(-1, bucket, b"", b"", b"", b"", mass.tobytes())]
+
+        keys, ids = joined(table, "keys", U64), owners_of(table)
+        at = np.minimum(np.searchsorted(words, keys), max(len(words) - 1, 0))
+        known = words[at] == keys if len(words) else np.zeros(len(keys), bool)
+        c = np.where(known, counts[at], 0) if len(words) else np.zeros(len(keys), np.int64)
+        given = np.where(known[:, None], ratios[at], np.int8(0)) if len(words) else np.zeros((len(keys), states), np.int8)
+        order = np.argsort(ids, kind="stable")
+        ids, c, given = ids[order], c[order], given[order]
+        heads = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        sums, known = np.add.reduceat(np.log10(c + 1.0), heads), np.add.reduceat((c > 0).astype(np.int64), heads).astype(np.uint32)
+        number = np.repeat(np.arange(len(heads)), np.diff(heads, append=len(ids)))
+        for t, owners, numbers, ratios_, numbered in deal(home_of(ids, n_homes), n_homes, ids, given, number):
+            mine = np.frombuffer(numbered, np.int64)
+            mine = mine[np.concatenate(([True], mine[1:] != mine[:-1]))]
+            rows.append((t, bucket, owners, numbers, sums[mine].tobytes(), known[mine].tobytes(), ratios_))
+        return table_of(rows, _TOLD)
+
+    return run
+
+
+_DOC = pa.schema([*_TOLD, ("symbols", pa.binary()), ("asked", pa.binary()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_sum", pa.float64()), ("class_log", pa.float64())])
+_DOC_MORE = "symbols binary, asked binary, doc_id long, held_out boolean, n_tokens long, n_known long, log_sum double, class_log double"
+
+
+def _send_docs(n_homes: int, n_buckets: int):
+    """Rows to their homes, with the bucket in which each word of a class was asked for."""
+
+    def run(batches):
+        for batch in slices(batches, "symbols"):
+            ids = batch.column("row").to_numpy()
+            n = batch.num_rows
+            asked = [bucket_of(np.frombuffer(x, U64), n_buckets).tobytes() for x in batch.column("rare").to_pylist()]
+            blank = pa.array([b""] * n, pa.binary())
+            yield pa.record_batch([
+                pa.array(home_of(ids, n_homes)), pa.array([-1] * n, pa.int32()), pa.array([x.tobytes() for x in ids], pa.binary()), blank, blank, blank, blank,
+                batch.column("symbols"), pa.array(asked, pa.binary()), *(batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "log_sum", "class_log")),
+            ], schema=_DOC)
+
+    return run
+
+
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_sum", pa.float64()), ("score", pa.float64())])
+
+
+def _score(model: Hmm, masses: np.ndarray, n_own: int):
+    """Of one home: every row's likelihood, with the ratios of its words over their classes' masses (states x classes)."""
+    states = len(model.start)
+
+    def run(table: pa.Table) -> pa.Table:
+        release()
+        docs = table.filter(pc.less(table.column("bucket"), 0)).combine_chunks()
+        told = table.filter(pc.greater_equal(table.column("bucket"), 0)).sort_by("bucket")
+        ids = joined(docs, "owners", np.int64)
+        n = len(ids)
+        owners, counts = joined(told, "owners", np.int64), joined(told, "counts", np.uint32).astype(np.int64)
+        ratios = joined(told, "ratios", np.int8).reshape(-1, states)
+        order = np.argsort(ids)
+        at = order[np.searchsorted(ids[order], owners)] if len(owners) else np.zeros(0, np.int64)
+        sums = np.bincount(at, weights=joined(told, "sums", np.float64), minlength=n).astype(np.float64)
+        known = np.bincount(at, weights=joined(told, "known", np.uint32), minlength=n).astype(np.int64)
+        # All ratios by row, and within a row by bucket: each row's words sorted by bucket are in the same order.
+        ratios = ratios[np.argsort(np.repeat(at, counts), kind="stable")]
+        asked = [np.frombuffer(x, np.int32) for x in docs.column("asked").to_pylist()]
+        cuts = np.concatenate(([0], np.cumsum([len(x) for x in asked])))
+        likelihood = np.zeros(n)
+        texts = [np.frombuffer(x, np.uint16) for x in docs.column("symbols").to_pylist()]
+        for picked in _like_lengths(np.array([len(t) for t in texts], np.int64)):
+            mine = [texts[i] for i in picked]
+            symbols = np.concatenate(mine)
+            own = np.flatnonzero((symbols >= n_own) & (symbols < n_own + CLASSES))
+            given = np.empty((len(own), states), np.int8)
+            start = 0
+            for i in picked:
+                given[start + np.argsort(asked[i], kind="stable")] = ratios[cuts[i] : cuts[i + 1]]
+                start += len(asked[i])
+            times = RATIOS[given.astype(np.int64) + 128] / masses.T[symbols[own] - n_own]
+            likelihood[picked] = model.run(mine, factors=(own, times))
+        score = likelihood / np.log(10) + sums - docs.column("class_log").to_numpy()
+        return pa.table([docs.column("doc_id"), docs.column("held_out"), docs.column("n_tokens"), pa.array(docs.column("n_known").to_numpy() + known), pa.array(docs.column("log_sum").to_numpy() + sums), pa.array(score)], schema=_SCORED)
+
+    return run
+
+
+def _like_lengths(sizes: np.ndarray):
+    """Numbers of texts, in runs of like length of about CHUNK_TOKENS tokens."""
+    order = np.argsort(sizes, kind="stable")
+    ends = np.cumsum(sizes[order])
+    at = 0
+    while at < len(order):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_TOKENS, side="right")))
+        yield order[at:upto]
+        at = upto
+
+
+# ---------------------------------------------------------------- operator
+
+
+@dataclass
+class LanguageModel:
+    """keys: hashes of the words with symbols of their own, sorted; mass: of each class, the sum of
+    count + 1 of its words and 1; masses: the same by state, each word times its ratio."""
+
+    hmm: Hmm
+    keys: np.ndarray
+    tokens: int
+    distinct: int
+    mass: np.ndarray
+    masses: np.ndarray
+    history: list[float]
+
+
+def learn(docs: DataFrame, ws: Workspace, symbols: int = SYMBOLS, states: int = STATES, rounds: int = ROUNDS) -> tuple[LanguageModel, DataFrame, DataFrame, int, int]:
+    """Model of the rows of docs (doc_id, held_out, text) that are not held out, all rows encoded, what
+    they are told of their words, and the numbers of buckets and homes."""
     spark = docs.sparkSession
-    ws = Workspace(spark, "hmm")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text").where("doc_id IS NOT NULL")
     train = docs.where("NOT held_out")
     size = train.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count("*").alias("ends")).first()
     n_buckets = buckets_for(spark, size["bytes"] // 24, BUCKET_WORDS)
@@ -393,26 +521,47 @@ def hmm_score(docs: DataFrame, held_out: F.Column, *, symbols: int = SYMBOLS, st
     n, v = totals["tokens"] + ends, totals["distinct"] + (ends > 0)
     # `symbols` rows at most.
     top = counts.select("keys", "counts", "classes").mapInArrow(_most_frequent(symbols), "key long, n long, class int").orderBy(F.desc("n"), "key").limit(symbols).toPandas()
+    ws.drop(counts)
     keys = top["key"].to_numpy(np.int64).view(U64)
     order = np.argsort(keys)
     keys, own, classes = keys[order], top["n"].to_numpy(np.int64)[order], top["class"].to_numpy(np.int64)[order]
     mass = np.array([totals[f"c{c}"] for c in range(CLASSES)], np.float64) - np.bincount(classes, weights=own + 1, minlength=CLASSES)
     encoded = ws.table(docs.mapInArrow(_encode(keys, np.log10(own + 1.0), np.log10(mass + 1.0), float(np.log10(ends + 1.0)), ends > 0), _ENCODED))
 
-    rare = encoded.agg(F.coalesce(F.sum(F.octet_length("rare")), F.lit(0))).first()[0] // 8
-    n_rare = max(16, -(-rare // BUCKET_WORDS))
-    asked = encoded.select("doc_id", "rare").mapInArrow(_ask(n_rare), "bucket int, owners binary, counts binary, keys binary").withColumn("told", F.lit(False))
-    told = counts.select("bucket", "keys", "counts").mapInArrow(_retell(n_rare), "bucket int, owners binary, counts binary, keys binary").withColumn("told", F.lit(True))
-    answers = asked.unionByName(told).groupBy("bucket").applyInArrow(_answer(n_rare), "home int, owners binary, counts binary, sums binary, known binary")
-    sums = answers.groupBy("home").applyInArrow(_add_up, "doc_id long, rare_sum double, rare_known long")
-
     weights = np.concatenate((own, np.maximum(mass, 0.0), [float(ends)])).astype(np.float64)
-    model, _ = baum_welch(encoded.where("NOT held_out"), weights, states, rounds)
-    scored = encoded.mapInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, log_sum double, n_known long, class_log double, hmm double")
-    out = scored.join(sums, "doc_id", "left").withColumns({"rare_sum": F.coalesce("rare_sum", F.lit(0.0)), "rare_known": F.coalesce("rare_known", F.lit(0).cast("long"))})
-    log_sum = F.col("log_sum") + F.col("rare_sum")
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("rare_known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (log_sum - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1.0)))).alias("base_score"),
-        (F.col("hmm") + F.col("rare_sum") - F.col("class_log")).alias("score"),
-    )
+    model, shares, history = baum_welch(encoded.where("NOT held_out"), weights, states, rounds)
+
+    asks = encoded.agg(F.coalesce(F.sum(F.octet_length("rare")), F.lit(0)).alias("rare"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
+    n_rare, n_homes = max(16, -(-asks["rare"] // (8 * BUCKET_WORDS))), buckets_for(spark, asks["tokens"], BUCKET_WORDS)
+    columns = encoded.select("row", "held_out", "symbols", "rare")
+    taught, held = columns.where("NOT held_out"), columns.where("held_out")
+    asked = taught.mapInArrow(_ask(n_rare, len(keys), model), _ASKED_SQL).unionByName(held.mapInArrow(_ask(n_rare, len(keys), None), _ASKED_SQL))
+    told = ws.table(asked.groupBy("bucket").applyInArrow(_tell(n_homes, states, shares[:, len(keys) : len(keys) + CLASSES]), _TOLD_SQL))
+    parts = told.where("home < 0").select(F.col("bucket").cast("long").alias("part"), F.lit(0).alias("kind"), F.lit(0).alias("block"), F.col("ratios").alias("counts"))
+    found = summed(parts).first()
+    masses = (np.frombuffer(found["counts"], np.float64).reshape(states, CLASSES) if found else np.zeros((states, CLASSES))) + 1
+    masses = masses / (mass + 1)
+    return LanguageModel(model, keys, n, v, mass + 1, masses, history), encoded, told, n_rare, n_homes
+
+
+def hmm_score(docs: DataFrame, held_out: F.Column, *, symbols: int = SYMBOLS, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+    """Train on the rows of docs that are not held out, and score every row.
+
+    docs: doc_id (integer) and text; other columns and rows of null doc_id are left out; held_out:
+    boolean column of docs (null: not held out). ASCII letters are lower-cased; a text's tokens are its words (runs
+    of anything but ASCII white space) and one end; a null, empty or blank text is the end alone.
+    Returns a row per row: doc_id, held_out, n_tokens, n_known (tokens that training has), train_tokens,
+    base_score (sum of log10((c + 1) / (N + V + 1)) by training counts) and score (log10
+    probability of the text under the model). Rows of one doc_id are scored each by its own text. Without
+    training rows every word is unseen.
+    """
+    if symbols + CLASSES + 1 > 65536:
+        raise ValueError("symbols are stored in 16 bits")
+    ws = Workspace(docs.sparkSession, "hmm")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text").where("doc_id IS NOT NULL")
+    model, encoded, told, n_rare, n_homes = learn(docs, ws, symbols, states, rounds)
+    sent = encoded.mapInArrow(_send_docs(n_homes, n_rare), f"{_TOLD_SQL}, {_DOC_MORE}")
+    both = sent.unionByName(told.where("home >= 0"), allowMissingColumns=True)
+    scored = both.groupBy("home").applyInArrow(_score(model.hmm, model.masses, len(model.keys)), "doc_id long, held_out boolean, n_tokens long, n_known long, log_sum double, score double")
+    base = F.col("log_sum") - F.col("n_tokens") * F.lit(float(np.log10(model.tokens + model.distinct + 1.0)))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

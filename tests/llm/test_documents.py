@@ -165,21 +165,73 @@ def test_minimisers():
     assert len(suffix_dedup.minimisers(grams, 10)) == 0
 
 
-def test_hmm_score(spark):
-    rows = texts(3, 80)
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
-    got = {r.doc_id: r for r in hmm_lm.hmm_score(frame(spark, rows), held, symbols=20, states=3, rounds=3).collect()}
+def check_hmm(rows, got, held_out, states, symbols, rounds):
+    """Counts, base score and the score itself by a plain forward pass over words, one text after another."""
     tokens = [[*words(t), None] for t in rows]
-    train = Counter(w for i, ws in enumerate(tokens) for w in ws if zlib.crc32(str(i).encode()) % 7 != 2)
+    learned = [ws for ws, out in zip(tokens, held_out, strict=True) if not out]
+    train = Counter(w for ws in learned for w in ws)
     n, v = sum(train.values()), len(train)
+    key = lambda w: int(Words(pa.array([w.decode()])).hashes()[0])
+    own = sorted(sorted((w for w in train if w is not None), key=lambda w: (-train[w], np.int64(np.uint64(key(w)).view(np.int64))))[:symbols], key=key)
+    number = {w: i for i, w in enumerate(own)}
+    of_class = lambda w: (w[0] * 31 + w[min(1, len(w) - 1)]) % hmm_lm.CLASSES
+    number[None] = len(own) + hmm_lm.CLASSES
+    symbol = lambda w: number.get(w, len(own) + of_class(w) if w is not None else None)
+    rare = {w: c for w, c in train.items() if w is not None and w not in number}
+    mass = np.bincount([of_class(w) for w in rare], weights=[c + 1 for c in rare.values()], minlength=hmm_lm.CLASSES).astype(float)
+    weights = np.concatenate(([train[w] for w in own], mass, [train[None]]))
+    model, shares = hmm_lm.Hmm.initial(weights, states), np.full((states, len(weights)), 1 / states)
+    told = [np.array([symbol(w) for w in ws], np.uint16) for ws in learned]
+    for _ in range(rounds if told else 0):
+        _, start, move, emit = model.run(told, learn=True)
+        model = hmm_lm.Hmm.from_counts(start, move, emit, weights)
+        smooth = emit + 1e-3 * emit.sum(axis=1, keepdims=True) / emit.sum() + 1e-9
+        shares = smooth / smooth.sum(axis=0)
+    expected = {w: np.zeros(states) for w in rare}
+    posterior = model.run(told, posteriors=True)
+    for w, p in zip((w for ws in learned for w in ws), posterior, strict=True):
+        if w in expected:
+            expected[w] += np.rint(p * 255)
+    ratio = {}
+    for w, c in rare.items():
+        g = shares[:, len(own) + of_class(w)]
+        e = expected[w] * c / expected[w].sum()
+        ratio[w] = np.exp(np.clip(np.rint(16 * np.log((e + 2 * g) / ((c + 2) * g))), -128, 127) / 16)
+    masses = np.ones((states, hmm_lm.CLASSES))
+    for w, c in rare.items():
+        masses[:, of_class(w)] += (c + 1) * ratio[w]
+
+    def emission(w):
+        p = model.emit[:, symbol(w)]
+        if w is None or w in number:
+            return p
+        return p * (rare.get(w, 0) + 1) * ratio.get(w, np.ones(states)) / masses[:, of_class(w)]
+
+    # Each state's emissions are a distribution: words, the end, and a place of each class for unseen words.
+    whole = sum(emission(w) for w in train) + (model.emit[:, len(own) : -1] / masses).sum(axis=1)
+    if train:
+        assert np.allclose(whole, 1.0)
     assert len(got) == len(rows)
-    for i, ws in enumerate(tokens):
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 7 == 2, len(ws), sum(train[w] > 0 for w in ws), n)
-        assert math.isclose(r.base_score, sum(math.log10((train[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9)
-        assert r.score < 0
-    out = [r for r in got.values() if r.held_out]
-    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+    for ws, r in zip(tokens, got, strict=True):
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(train[w] > 0 for w in ws), n)
+        assert math.isclose(r.base_score, sum(math.log10((train[w] + 1) / (n + v + 1)) for w in ws), rel_tol=1e-9, abs_tol=1e-12)
+        alpha, score = model.start, 0.0
+        for k, w in enumerate(ws):
+            alpha = (alpha @ model.move if k else alpha) * emission(w)
+            score += math.log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+        assert math.isclose(r.score, score, rel_tol=1e-4), (r.score, score)
+
+
+def test_hmm_score(spark):
+    rows = texts(3, 80)
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
+    got = sorted(hmm_lm.hmm_score(frame(spark, rows), held, symbols=20, states=3, rounds=3).collect(), key=lambda r: r.doc_id)
+    out = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(rows))]
+    assert [r.held_out for r in got] == out
+    check_hmm(rows, got, out, 3, 20, 3)
+    told = [r for r in got if r.held_out]
+    assert sum(r.score for r in told) > sum(r.base_score for r in told)
 
 
 def test_hmm_score_odd_tables(spark):
@@ -190,6 +242,48 @@ def test_hmm_score_odd_tables(spark):
     assert math.isclose(r.base_score, 0.0, abs_tol=1e-12)
 
 
+def test_hmm_score_wordless_and_repeated_rows(spark):
+    blank = spark.createDataFrame([(1, None), (2, ""), (3, " \n")], "doc_id long, text string").repartition(2)
+    for out in (False, True):
+        got = hmm_lm.hmm_score(blank, F.lit(out), symbols=5, states=2, rounds=2).collect()
+        check_hmm([None] * 3, got, [out] * 3, 2, 5, 2)
+    # Blank rows with a partition to themselves, and several texts under one doc_id.
+    rows = [None, "", "one two two", "three", "two one rare0 rare1", "one"]
+    parts = spark.createDataFrame([(i, t) for i, t in enumerate(rows[:2])], "doc_id long, text string").coalesce(1)
+    rest = spark.createDataFrame([(7, t) for t in rows[2:]], "doc_id long, text string")
+    got = hmm_lm.hmm_score(parts.unionByName(rest), F.col("doc_id") == -1, symbols=2, states=2, rounds=2).collect()
+    assert sorted(r.doc_id for r in got) == [0, 1, 7, 7, 7, 7]
+    first = sorted((r for r in got if r.doc_id < 7), key=lambda r: r.doc_id)
+    rest = sorted((r for r in got if r.doc_id == 7), key=lambda r: (r.n_tokens, r.base_score))
+    by_size = sorted(rows[2:], key=lambda t: len(words(t)))
+    # "one" is the more frequent of the two texts of one word.
+    by_size[:2] = ["three", "one"]
+    check_hmm([*rows[:2], *by_size], [*first, *rest], [False] * 6, 2, 2, 2)
+
+
+def test_state_posteriors_match_enumeration():
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    model = hmm_lm.Hmm(np.array([0.6, 0.4]), np.array([[0.7, 0.3], [0.2, 0.8]]), rng.dirichlet(np.ones(5), 2))
+    told = [rng.integers(0, 5, n).astype(np.uint16) for n in (3, 5, 1)]
+    want = []
+    for x in told:
+        p = np.zeros((len(x), 2))
+        for z in product(range(2), repeat=len(x)):
+            q = model.start[z[0]] * model.emit[z[0], x[0]] * np.prod([model.move[a, b] * model.emit[b, c] for a, b, c in zip(z, z[1:], x[1:], strict=False)])
+            for t, s in enumerate(z):
+                p[t, s] += q
+        want.append(p / p.sum(axis=1, keepdims=True))
+    assert np.allclose(model.run(told, posteriors=True), np.concatenate(want), atol=1e-5)
+
+
+def test_counts_are_summed_in_levels(spark):
+    rows = [(p, k, b, np.array([p, k, b], float).tobytes()) for p in range(200) for k in (-1, 0) for b in range(2)]
+    got = hmm_lm.summed(spark.createDataFrame([(p, k, b, bytearray(c)) for p, k, b, c in rows], hmm_lm._COUNTS)).collect()
+    assert sorted((r.kind, r.block, *np.frombuffer(r.counts).tolist()) for r in got) == [(k, b, 19900.0, 200.0 * k, 200.0 * b) for k in (-1, 0) for b in range(2)]
+
+
 def test_hmm_is_a_distribution_and_counts_match_enumeration():
     from itertools import product
 
