@@ -18,12 +18,12 @@ def vectors(seed=0):
     return [*out, None, [], [0.0] * 16, [None] + [1.0] * 15, [float("nan")] * 16, [float("inf")] + [0.0] * 15, [1.0, 2.0]]
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_embedding_near_dedup(spark, monkeypatch, block):
-    monkeypatch.setattr(embedding_dedup, "RUN", 8)
+@pytest.mark.parametrize(("block", "window", "part_bytes"), [(1024, 1024, 1 << 24), (7, 8, 1 << 24), (64, 5, 3000)])
+def test_embedding_near_dedup(spark, monkeypatch, block, window, part_bytes):
+    monkeypatch.setattr(embedding_dedup, "PART_BYTES", part_bytes)
     rows = vectors()
     df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>").withColumn("class", F.lit("x")).repartition(4)
-    got = {r.vec_id: r for r in embedding_dedup.embedding_near_dedup(df, 0.95, recall=0.999999, block=block).collect()}
+    got = {r.vec_id: r for r in embedding_dedup.embedding_near_dedup(df, 0.95, recall=0.999999, window=window, block=block).collect()}
     n = len(rows)
     links = np.zeros((n, n), bool)
     for i, a in enumerate(rows[:-7]):
@@ -46,9 +46,45 @@ def test_embedding_odd_tables(spark):
 
 
 def test_plan():
-    bits, passes = embedding_dedup.plan(50_000, 0.95)
-    agree = (1 - np.arccos(0.95) / np.pi) ** bits
-    assert 1 - (1 - agree) ** passes >= embedding_dedup.RECALL
+    assert embedding_dedup.plan(1000, 0.95) == 1
+    agree = embedding_dedup.agreement(0.95) ** 6
+    assert 1 - (1 - agree) ** embedding_dedup.plan(50_000, 0.95) >= embedding_dedup.RECALL
+    # Vectors that crowd in the order need more bits, and so more passes.
+    assert embedding_dedup.passes_for({6: 50, 12: 50}, 0.95, 0.999) > embedding_dedup.passes_for({6: 100}, 0.95, 0.999)
+    assert embedding_dedup.passes_for({}, 0.95, 0.999) == 1
+
+
+def test_unite():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        i, j = rng.integers(0, 40, (2, 25))
+        label = np.arange(40)
+        embedding_dedup.unite(label, i, j)
+        want = np.arange(40)
+        for _ in range(40):
+            for a, b in zip(i, j, strict=True):
+                want[a] = want[b] = min(want[a], want[b])
+        assert (label == want).all()
+
+
+def test_crowded_vectors_are_all_counted(spark):
+    """A group of near copies much larger than a window, beside vectors of its cluster that are no copies."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=24)
+    group = [centre + rng.normal(scale=0.1, size=24) for _ in range(120)]
+    cluster = [centre + rng.normal(scale=0.8, size=24) for _ in range(120)]
+    rows = [[float(v) for v in x] for x in [*group, *cluster, *rng.normal(size=(60, 24))]]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: r for r in embedding_dedup.embedding_near_dedup(df, 0.95, window=6, block=16).collect()}
+    x = embedding_dedup.unit(np.array(rows))
+    near = x @ x.T >= 0.95
+    want = near.sum(axis=1) - 1
+    assert want[:120].min() > 60
+    # Pairs right at the threshold may be missed; all others are found, and none that is not there.
+    found = np.array([got[i].n_links for i in range(len(rows))])
+    assert (found <= want).all()
+    assert found.sum() >= 0.99 * want.sum()
+    assert (found[:120] == want[:120]).all()
 
 
 TURNS = [
