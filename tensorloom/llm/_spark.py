@@ -16,9 +16,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a new local one where none is set (tests)."""
+    """The shared folder named by the cluster; a new local one where none is set and executors are threads (tests).
+
+    Elsewhere a missing setting is an error: no other machine could read a local folder.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tensorloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -77,6 +77,18 @@ class Automaton:
         return len(words), edges[::2], edges[1::2], set().union(*(value[1] for _, value in found))
 
 
+_made: dict[tuple, Automaton] = {}
+
+
+def automaton_of(items: list[tuple[str, str | None]], window: int) -> Automaton:
+    """The automaton of these items, made once in each worker, which keeps the latest one."""
+    key = (window, tuple(items))
+    if key not in _made:
+        _made.clear()
+        _made[key] = Automaton(items, window)
+    return _made[key]
+
+
 def _spans(text: str, starts: np.ndarray, ends: np.ndarray) -> list[dict]:
     """Word ranges with their places in the original text, in characters."""
     words = Words(pa.array([text], pa.large_string()), NON_ALNUM)
@@ -90,7 +102,7 @@ _SPAN_TYPE = pa.struct([(x, pa.int64()) for x in ("first_word", "end_word", "sta
 
 def _scan(items: list[tuple[str, str | None]], window: int, keep: tuple[str, ...]):
     def run(batches):
-        auto = Automaton(items, window)
+        auto = automaton_of(items, window)
         for batch in slices(batches, "text"):
             counts, spans, names = [], [], []
             for text in batch.column("text").to_pylist():
@@ -153,7 +165,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, *, au
 
 def _clean(items: list[tuple[str, str | None]], window: int):
     def run(batches):
-        auto = Automaton(items, window)
+        auto = automaton_of(items, window)
         for batch in slices(batches, "text"):
             yield batch.filter(pa.array([not len(auto.scan(t)[1]) for t in batch.column("text").to_pylist()], pa.bool_()))
 

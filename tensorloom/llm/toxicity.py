@@ -74,7 +74,7 @@ class Sentences:
 
 def noisy_or(p: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """1 - product of (1 - p) by owner; 0 where there is none."""
-    return -np.expm1(np.bincount(owner, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n))
+    return 0.0 - np.expm1(np.bincount(owner, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:

@@ -459,6 +459,37 @@ def test_toxicity(spark):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.score < 0.3 and r.doc_id < 900}
 
 
+def plain_toxicity(model, text):
+    """Noisy-or of a text's distinct sentences, each a sum of weights over its distinct words, one by one."""
+    spans, said = [], lower(text)
+    for part in re.split(rb"[.!?\n]", said):
+        found = frozenset(re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", part))
+        if found and found not in spans:
+            spans.append(found)
+    clean = 1.0
+    for found in spans:
+        z = model.bias
+        for w in found:
+            one = Words(pa.array([w.decode()], pa.large_string()), NON_ALNUM)
+            z += sum(float(model.weights[f]) for f in toxicity.features(one, np.arange(1))[0])
+        clean *= 1 - min(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), 1 - 1e-12)
+    return 1 - clean
+
+
+def test_toxicity_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    model = toxicity.Model(rng.normal(scale=0.4, size=1 << toxicity.BITS).astype(np.float32), -1.5)
+    said = ["", None, "!?", "Vile. vile! clean words here\nclean words here. été ÉTÉ, Ünder", "no end", "a b a. b a! a b c", *texts(8, 20)]
+    rows = [*enumerate(said), (3, "another text of one doc_id. vile"), (None, "a row of null id. vile")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("toxic", F.lit(1)).repartition(3)
+    got = toxicity.score_toxicity(df, model, keep=["doc_id", "text"]).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(map(key, got)) == sorted(map(key, rows))
+    for r in got:
+        assert math.isclose(r.score, plain_toxicity(model, r.text), rel_tol=1e-5, abs_tol=1e-9)
+        assert math.copysign(1, r.score) == 1
+
+
 def test_toxicity_without_labels(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     model = toxicity.train(df, spark.createDataFrame([], "doc_id long, toxic int"))
@@ -466,6 +497,17 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score_toxicity(df.limit(0), model).collect() == []
 
 
+def test_license_scan_odd_tables(spark):
+    said = ["MIT License", None, "", "an mit license, and the MIT\tlicense", "apache license " * 3000]
+    rows = [*enumerate(said), (0, "no words of one"), (0, "MIT License"), (None, "MIT license")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("matches", F.lit("clash")).withColumn("n_words", F.lit(None).cast("int")).repartition(3)
+    got = license_scan.license_scan(df, license_scan.TEMPLATES).collect()
+    base = lambda r: sum(license_scan.TEMPLATES[m.template].phrase for m in r.matches)
+    found = sorted((r.doc_id is None, r.doc_id or 0, r.n_words, base(r)) for r in got)
+    assert found == sorted([(False, 0, 2, 1), (False, 0, 4, 0), (False, 0, 2, 1), (False, 1, 0, 0), (False, 2, 0, 0), (False, 3, 7, 2), (False, 4, 6000, 3000), (True, 0, 2, 1)])
+    assert license_scan.license_scan(df.limit(0), license_scan.TEMPLATES).collect() == []
+
+
 def test_repeats_do_not_add_up():
     model = toxicity.Model(np.zeros(1 << toxicity.BITS, np.float32), -2.0)
     score = lambda t: model.scores(Words(pa.array([t], pa.large_string()), NON_ALNUM))[0][0]
