@@ -124,6 +124,35 @@ class Tensor:
         found = self.df.where(" AND ".join(f"i{k} = {int(x)}" for k, x in enumerate(at)) or "true").agg(F.sum("v").alias("v")).first()["v"]
         return 0.0 if found is None else found
 
+    def coeff_ref(self, *at: int) -> float:
+        """The value of an entry that is there; KeyError where a sparse tensor stores none."""
+        self.check_index(at)
+        found = self.df.where(" AND ".join(f"i{k} = {int(x)}" for k, x in enumerate(at)) or "true").agg(F.sum("v").alias("v"), F.count("*").alias("n")).first()
+        if not found["n"]:
+            raise KeyError(f"no entry at {at}")
+        return found["v"]
+
+    def with_coeff(self, value: float, *at: int) -> Tensor:
+        """The same tensor with the value of an entry that is there; KeyError where a sparse tensor stores none."""
+        self.coeff_ref(*at)
+        here = F.lit(True)
+        for k, x in enumerate(at):
+            here = here & (F.col(f"i{k}") == int(x))
+        return self.values(F.when(here, F.lit(value)).otherwise(F.col("v")))
+
+    def as_extents(self, *shape: int | None) -> Tensor:
+        """The same cells under a shape that has to agree; None takes any extent."""
+        if len(shape) != self.rank or any(None not in (m, n) and m != n for m, n in zip(self.shape, shape, strict=True)):
+            raise ValueError(f"shape {self.shape} is not {shape}")
+        return self.with_(shape=tuple(m if n is None else n for m, n in zip(self.shape, shape, strict=True)))
+
+    def as_dynamic(self) -> Tensor:
+        """The same cells under the extents that the rows themselves show: a broadcast dimension gets one, others stay."""
+        if None not in self.shape:
+            return self
+        found = self.df.agg(*(F.coalesce(F.max(c) + 1, F.lit(0)).alias(c) for c in self.idx)).first()
+        return self.with_(shape=tuple(found[c] if n is None else n for c, n in zip(self.idx, self.shape, strict=True)))
+
     def check_index(self, at: tuple) -> None:
         if len(at) != self.rank or any(x < 0 or (n is not None and x >= n) for x, n in zip(at, self.shape, strict=False)):
             raise IndexError(f"index {at} is outside shape {self.shape}")
@@ -131,6 +160,11 @@ class Tensor:
     def nnz(self) -> int:
         return self.df.count()
 
+    def nnz_by(self, axis: int = 0) -> Tensor:
+        """Stored entries of each fiber along an axis."""
+        counts = self.df.groupBy(F.col(f"i{axis}").alias("i0")).agg(F.count("*").cast("double").alias("v"))
+        return Tensor(counts, (self.shape[axis],), sparse=True)
+
     # Operators follow the kind: * is element-wise on arrays, the matrix product on matrices, the
     # outer product on tensors, a contraction on forms and the Hamilton product on quaternions.
 

@@ -20,6 +20,14 @@ OPS: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
+#: Operators that are 0 (or false) at (0, 0): of two sparse operands only stored cells matter.
+ZERO_KEEPING = {"min", "max", "and", "or", "xor", "ne", "lt", "gt", "spaceship", "logical_and", "logical_or"}
+
+
+def _zero(t: Tensor) -> Column:
+    return F.lit(0).cast(dict(t.df.dtypes)["v"])
+
+
 def _pairs(a: Tensor, b: Tensor, how: str = "inner"):
     """Rows of both side by side, joined on their bounded dimensions."""
     shape = same_shape(a, b)
@@ -33,8 +41,8 @@ def _pairs(a: Tensor, b: Tensor, how: str = "inner"):
 def combine(op: str | Callable, a: Tensor | float, b: Tensor | float) -> Tensor:
     """op on each pair of cells; numbers and tensors of rank 0 go with every cell.
 
-    Sparse operands: sums and differences union the rows; products keep common rows;
-    everything else is not 0 at 0 and fills zeros in first.
+    Sparse operands: sums and differences union the rows; products keep common rows; operators that keep zeros
+    join all stored cells; with a dense operand its rows are all there is; everything else fills zeros in first.
     """
     fn = OPS[op] if isinstance(op, str) else op
     for x, other, left in ((a, b, True), (b, a, False)):
@@ -59,9 +67,17 @@ def combine(op: str | Callable, a: Tensor | float, b: Tensor | float) -> Tensor:
     if op == "mul" and (a.sparse or b.sparse):
         both, shape = _pairs(a, b)
         return Tensor(both.withColumn("v", F.col("va") * F.col("vb")), shape, a.kind, True)
-    a, b = (x if None in x.shape else x.densify() for x in (a, b))
-    both, shape = _pairs(a, b)
-    return Tensor(both.withColumn("v", fn(F.col("va"), F.col("vb"))), shape, a.kind)
+    if None in (*a.shape, *b.shape):
+        a, b = (x if None in x.shape else x.densify() for x in (a, b))
+        both, shape = _pairs(a, b)
+        return Tensor(both.withColumn("v", fn(F.col("va"), F.col("vb"))), shape, a.kind)
+    keeps = a.sparse and b.sparse and op in ZERO_KEEPING
+    if a.sparse and b.sparse and not keeps:
+        a = a.densify()
+    how = "full_outer" if keeps else "left" if b.sparse else "right" if a.sparse else "inner"
+    zeros = _zero(a), _zero(b)
+    both, shape = _pairs(a, b, how)
+    return Tensor(both.withColumn("v", fn(*(F.coalesce(c, z) for c, z in zip(("va", "vb"), zeros, strict=True)))), shape, a.kind, keeps)
 
 
 def negate(t: Tensor) -> Tensor:
@@ -96,7 +112,7 @@ def equals(a: Tensor, b: Tensor) -> bool:
     if a.shape != b.shape:
         return False
     both = a.df.select(*a.idx, F.col("v").alias("va")).join(b.df.select(*b.idx, F.col("v").alias("vb")), a.idx, "full_outer") if a.rank else a.densify().df.select(F.col("v").alias("va")).join(b.densify().df.select(F.col("v").alias("vb")))
-    same = ieee.equal(F.coalesce("va", F.lit(0.0)), F.coalesce("vb", F.lit(0.0)))
+    same = ieee.equal(F.coalesce("va", _zero(a)), F.coalesce("vb", _zero(b)))
     return both.where(~same).isEmpty()
 
 

@@ -44,6 +44,33 @@ class Transform:
     def translation(self) -> np.ndarray:
         return self.matrix[:-1, -1]
 
+    @property
+    def vector(self) -> np.ndarray:
+        """Of a translation."""
+        return self.translation
+
+    @property
+    def factors(self) -> np.ndarray:
+        """Of a scaling."""
+        return np.diag(self.linear).copy()
+
+    @property
+    def angle(self) -> float:
+        """Of a rotation in space, from 0 to pi."""
+        turn = self.linear - self.linear.T
+        return float(np.arctan2(np.sqrt((turn * turn).sum() / 2), np.trace(self.linear) - 1))
+
+    @property
+    def axis(self) -> np.ndarray:
+        """Of a rotation in space: a unit vector; of no rotation at all the first axis."""
+        turn = np.array([self.linear[2, 1] - self.linear[1, 2], self.linear[0, 2] - self.linear[2, 0], self.linear[1, 0] - self.linear[0, 1]])
+        if (size := np.linalg.norm(turn)) > 1e-12:
+            return turn / size
+        # Half a turn (or none): the outer product of the axis is left.
+        whole = (self.linear + np.eye(3)) / 2
+        best = int(np.argmax(np.diag(whole)))
+        return whole[:, best] / np.linalg.norm(whole[:, best])
+
     def __matmul__(self, other: Transform) -> Transform:
         return Transform(self.matrix @ other.matrix, Mode(min(self.mode, other.mode)))
 

@@ -16,16 +16,24 @@ def _result(df, names: list[str], shape: tuple, kind=None) -> Tensor:
     return Tensor(df.select(*(F.col(n).alias(f"i{k}") for k, n in enumerate(names)), "v"), shape, kind, sparse=True)
 
 
-def matmul(a: Tensor, b: Tensor) -> Tensor:
+def matmul(a: Tensor, b: Tensor, chunk: int | None = None) -> Tensor:
     """Sum over the last index of a and the first of b; exact zeros are left out of sparse results.
 
-    The join's products are summed on the map side before the shuffle on (row, column).
+    The join's products are summed on the map side before the shuffle on (row, column). With chunk, the
+    entries of b under one index are dealt to chunks of about that many, and the entries of a under it go to each:
+    an index that a large part of all entries share is then many tasks' work.
     """
     if a.shape[-1] != b.shape[0]:
         raise ValueError(f"shapes {a.shape} and {b.shape} do not agree")
     left = [f"l{k}" for k in range(a.rank - 1)]
     right = [f"r{k}" for k in range(1, b.rank)]
-    pairs = _renamed(a, [*left, "k"], "va").join(_renamed(b, ["k", *right], "vb"), "k")
+    one, two, on = _renamed(a, [*left, "k"], "va"), _renamed(b, ["k", *right], "vb"), ["k"]
+    if chunk and right:
+        chunks = two.groupBy("k").agg(F.ceil(F.count("*") / chunk).cast("int").alias("c"))
+        one = one.join(chunks, "k").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).drop("c")
+        two = two.join(chunks, "k").withColumn("part", F.pmod(F.xxhash64(*right), F.col("c")).cast("int")).drop("c")
+        on = ["k", "part"]
+    pairs = one.join(two, on)
     names = [*left, *right]
     out = pairs.groupBy(*names).agg(F.sum(F.col("va") * F.col("vb")).alias("v")) if names else pairs.agg(F.coalesce(F.sum(F.col("va") * F.col("vb")), F.lit(0.0)).alias("v"))
     result = _result(out, names, (*a.shape[:-1], *b.shape[1:]))
@@ -90,12 +98,12 @@ def wedge(a: Tensor, b: Tensor) -> Tensor:
     return combine("sub", forward.with_(sparse=True), swapped)
 
 
-def contract(t: Tensor, a: int, b: int) -> Tensor:
-    """Trace over one pair of dimensions."""
-    if t.shape[a] != t.shape[b]:
-        raise ValueError("the dimensions differ in extent")
-    rest = [k for k in range(t.rank) if k not in (a, b)]
-    same = t.df.where(F.col(f"i{a}") == F.col(f"i{b}"))
+def contract(t: Tensor, *dims: int) -> Tensor:
+    """Trace over dimensions, two or more: sums of the cells whose indices there are all alike."""
+    if len(dims) < 2 or len(set(dims)) < len(dims) or len({t.shape[k] for k in dims}) > 1:
+        raise ValueError("two dimensions or more, all different and of one extent, are needed")
+    rest = [k for k in range(t.rank) if k not in dims]
+    same = t.df.where(" AND ".join(f"i{dims[0]} = i{k}" for k in dims[1:]))
     names = [f"i{k}" for k in rest]
     out = same.groupBy(*names).agg(F.sum("v").alias("v")) if rest else same.agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("v"))
     return _result(out, names, tuple(t.shape[k] for k in rest))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import prod
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..core import Tensor
 from ..functions import ieee
+from .indexing import linear
 
 
 def _scalar(t: Tensor, value: Column) -> Tensor:
@@ -73,10 +75,13 @@ def mean(t: Tensor) -> Tensor:
 
 
 def _extreme(t: Tensor, least: bool) -> Tensor:
-    t = _filled(t)
+    """Of the stored cells, and of a zero if a sparse tensor stores fewer than it has."""
     fine = F.when(~F.isnan(F.col("v")), F.col("v"))
     empty = F.lit(1.7976931348623157e308 if least else -1.7976931348623157e308)
-    return _scalar(t, F.coalesce(F.min(fine) if least else F.max(fine), empty))
+    best = F.min(fine) if least else F.max(fine)
+    if t.sparse:
+        best = F.when(F.count("*") < t.size, F.coalesce((F.least if least else F.greatest)(best, F.lit(0.0)), F.lit(0.0))).otherwise(best)
+    return _scalar(t, F.coalesce(best, empty))
 
 
 def min_coeff(t: Tensor) -> Tensor:
@@ -89,16 +94,53 @@ def max_coeff(t: Tensor) -> Tensor:
 
 
 def extreme_with_index(t: Tensor, least: bool = True):
-    """One row (v, i0, ..): the value and its first place in row-major order."""
-    t = _filled(t)
+    """One row (v, i0, ..): the value and its first place in row-major order; NaN is passed over."""
     key = F.col("v") if least else -F.col("v")
-    best = t.df.where(~F.isnan(F.col("v"))).agg(F.min(F.struct(key.alias("k"), *t.idx)).alias("m"))
-    return best.select((F.col("m.k") if least else -F.col("m.k")).alias("v"), *(F.col(f"m.{c}").alias(c) for c in t.idx))
-
-
-def reduce_dims(t: Tensor, dims: tuple[int, ...], agg: Callable[[Column], Column], filled: bool = False) -> Tensor:
-    """Any aggregate over some dimensions; with filled, zeros of a sparse tensor take part."""
-    t = _filled(t) if filled else t
+    cells = t.df.where(~F.isnan(F.col("v"))).select(key.alias("k"), *t.idx)
+    if t.sparse and t.rank:
+        cells = cells.unionByName(first_absent(t).select(F.lit(0.0).alias("k"), *t.idx))
+    best = cells.agg(F.min(F.struct("k", *t.idx)).alias("m"))
+    return best.select(((F.col("m.k") if least else -F.col("m.k")) + F.lit(0.0)).alias("v"), *(F.col(f"m.{c}").alias(c) for c in t.idx))
+
+
+def first_absent(t: Tensor) -> DataFrame:
+    """Indices of the first cell, in row-major order, that a sparse tensor stores no row for (at most one row).
+
+    It is the place 0 or one behind a stored cell, so a join of the stored cells finds it and no grid is made.
+    """
+    stored = t.df.select(linear(t.shape).alias("at"))
+    behind = stored.select((F.col("at") + 1).alias("at")).unionByName(t.spark.range(1).select(F.col("id").alias("at"))).where(F.col("at") < t.size)
+    first = behind.join(stored, "at", "left_anti").agg(F.min("at").alias("at")).where("at IS NOT NULL")
+    columns, step = [], 1
+    for k in reversed(range(t.rank)):
+        place = F.expr(f"at div {step}")
+        columns.insert(0, (F.pmod(place, F.lit(t.shape[k])) if k else place).cast("long").alias(f"i{k}"))
+        step *= t.shape[k]
+    return first.select(*columns)
+
+
+def _with_zeros(agg: Callable, n: int) -> Callable[[Column], Column] | None:
+    """An aggregate of stored cells that is that of all n cells of a fiber, by how many are stored; None if there is none."""
+    fewer = F.count("*") < n
+    by_count = {
+        F.max: lambda v: F.when(fewer, F.greatest(F.max(v), F.lit(0.0))).otherwise(F.max(v)),
+        F.min: lambda v: F.when(fewer, F.least(F.min(v), F.lit(0.0))).otherwise(F.min(v)),
+        F.avg: lambda v: F.sum(v) / n, F.mean: lambda v: F.sum(v) / n,
+        F.product: lambda v: F.when(fewer, F.lit(0.0)).otherwise(F.product(v)),
+    }
+    return agg if agg in ZERO_FREE else by_count.get(agg)
+
+
+def reduce_dims(t: Tensor, dims: tuple[int, ...], agg: Callable[[Column], Column], filled: bool | None = None) -> Tensor:
+    """Any aggregate over some dimensions, zeros of a sparse tensor included.
+
+    Sums, norms, extremes, means and products need stored cells only; any other aggregate of a sparse tensor
+    fills zeros in first, unless filled is false: then the caller says that zeros change nothing.
+    """
+    n = prod(t.shape[k] for k in dims)
+    if t.sparse and filled is not False:
+        counted = None if filled else _with_zeros(agg, n)
+        t, agg = (t.densify(), agg) if counted is None else (t, counted)
     rest = [k for k in range(t.rank) if k not in dims]
     out = t.df.groupBy(*(F.col(f"i{k}").alias(f"i{n}") for n, k in enumerate(rest))).agg(agg(F.col("v")).alias("v"))
     return Tensor(out, tuple(t.shape[k] for k in rest), sparse=t.sparse)
@@ -114,18 +156,26 @@ def colwise(t: Tensor, agg: Callable[[Column], Column]) -> Tensor:
     return reduce_dims(t, (0,), agg)
 
 
+def l1(v: Column) -> Column:
+    return F.sum(F.abs(v))
+
+
 def l2(v: Column) -> Column:
     return F.sqrt(F.sum(v * v))
 
 
+#: Aggregates that zeros do not change.
+ZERO_FREE = (F.sum, F.bool_or, l1, l2)
+
+
 def one_norm(t: Tensor) -> Tensor:
     """Largest sum of absolute values of a column."""
-    return _scalar(colwise(t, lambda v: F.sum(F.abs(v))), F.coalesce(F.max(F.col("v")), F.lit(0.0)))
+    return _scalar(colwise(t, l1), F.coalesce(F.max(F.col("v")), F.lit(0.0)))
 
 
 def inf_norm(t: Tensor) -> Tensor:
     """Largest sum of absolute values of a row."""
-    return _scalar(rowwise(t, lambda v: F.sum(F.abs(v))), F.coalesce(F.max(F.col("v")), F.lit(0.0)))
+    return _scalar(rowwise(t, l1), F.coalesce(F.max(F.col("v")), F.lit(0.0)))
 
 
 def normalize_fibers(t: Tensor, axis: int = 0) -> Tensor:
@@ -134,10 +184,30 @@ def normalize_fibers(t: Tensor, axis: int = 0) -> Tensor:
     return t.values(ieee.div(F.col("v"), F.sqrt(F.sum(F.col("v") * F.col("v")).over(w))))
 
 
+#: Cells of a fiber that is handed to a function as one array: 32 MB.
+LONGEST_FIBER = 4_000_000
+
+
+def scan_fibers(t: Tensor, fn: Callable[[Column, WindowSpec], Column], axis: int = 0, within: int | None = None) -> Tensor:
+    """A window expression along each row (axis 0) or column (axis 1): fn(v, window).
+
+    The window runs over a fiber in order, up to each cell; within: over that many cells before it only. No fiber
+    is held as an array, so its length has no bound. Zeros of a sparse tensor are filled in.
+    """
+    outer, inner = f"i{axis}", f"i{1 - axis}"
+    window = Window.partitionBy(outer).orderBy(inner).rowsBetween(Window.unboundedPreceding if within is None else -within, Window.currentRow)
+    return _filled(t).values(fn(F.col("v"), window))
+
+
 def transform_fibers(t: Tensor, fn: Callable[[np.ndarray], np.ndarray], axis: int = 0) -> Tensor:
-    """fn on each row (axis 0) or column (axis 1) as one array; it must keep the length."""
+    """fn on each row (axis 0) or column (axis 1) as one array; it must keep the length.
+
+    A fiber of more than LONGEST_FIBER cells is refused, as one task would have to hold it: see scan_fibers.
+    """
     outer, inner = f"i{axis}", f"i{1 - axis}"
     n = t.shape[1 - axis]
+    if n > LONGEST_FIBER:
+        raise ValueError(f"fibers of {n} cells are longer than {LONGEST_FIBER}")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         fiber = np.zeros(n)

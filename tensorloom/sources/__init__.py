@@ -75,9 +75,16 @@ def random(spark: SparkSession, shape: tuple, seed: int, distribution: str = "un
     return Tensor(grid(spark, shape).withColumn("v", value), shape)
 
 
-def random_column(seed: int, distribution: str = "uniform") -> Column:
-    """An unbounded random source: a value for each row it is put beside."""
-    return {"uniform": F.rand, "normal": F.randn}[distribution](seed)
+def random_column(seed: int, distribution: str = "uniform", *, by: list[str] | None = None) -> Column:
+    """An unbounded random source: a value for each row it is put beside.
+
+    by: columns that name a row; the value then depends on them and the seed alone. Without them
+    it follows partitions, and another plan gives other values.
+    """
+    if not by:
+        return {"uniform": F.rand, "normal": F.randn}[distribution](seed)
+    u, w = (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), *by), F.lit(1 << 53)) / F.lit(float(1 << 53)) for salt in (0, 1))
+    return u if distribution == "uniform" else F.sqrt(-2 * F.ln(1 - u)) * F.cos(w * 6.283185307179586)
 
 
 def from_rows(df: DataFrame, indices: list[str], value: str | Column, shape: tuple, kind: str | None = None) -> Tensor:
