@@ -34,9 +34,11 @@ from ._words import U64, Words
 
 #: Words with a symbol of their own, classes of the others, latent states, rounds of Baum-Welch.
 SYMBOLS, CLASSES, STATES, ROUNDS = 8192, 256, 8, 5
-FLUSH_WORDS, BUCKET_WORDS, CHUNK_TOKENS = 600_000, 2_000_000, 400_000
+FLUSH_WORDS, BUCKET_WORDS, CHUNK_TOKENS = 600_000, 2_000_000, 300_000
 #: Texts up to these numbers of tokens run side by side.
 LENGTHS = (512, 2048)
+#: Tokens whose moves are added up at once.
+MOVE_BLOCK = 1 << 16
 #: Symbols in one row of expected counts, and rows that one task of a level adds up.
 COUNT_BLOCK, FAN_IN = 512, 64
 #: Occurrences that pull a word's ratios towards 1, and steps of a ratio's natural logarithm in one unit.
@@ -238,8 +240,13 @@ class Hmm:
             alpha *= beta
             alpha /= (alpha @ one)[:, None]
             return alpha[spot]
-        later = step > 0
-        moved = self.move * (alpha[place[later] - active[step[later] - 1]].T.astype(np.float64) @ shown[place[later]]) if later.any() else np.zeros_like(self.move)
+        # Tokens that follow another, in blocks: sums in double precision without a copy of all of it.
+        moved = np.zeros_like(self.move)
+        for at in range(int(heads[1]), len(by_step), MOVE_BLOCK):
+            places = np.arange(at, min(at + MOVE_BLOCK, len(by_step)))
+            which = np.searchsorted(heads, places, side="right") - 1
+            moved += alpha[places - active[which - 1]].T.astype(np.float64) @ shown[places]
+        moved *= self.move
         alpha *= beta
         alpha /= (alpha @ one)[:, None]
         emitted = np.stack([np.bincount(by_step, weights=alpha[:, k], minlength=self.emit.shape[1]) for k in range(len(self.start))])
@@ -252,6 +259,7 @@ def _chunks(batches, column: str):
     sizes: dict[int, int] = {}
 
     def chunk(k: int):
+        release()
         table = pa.Table.from_batches(pools.pop(k)).combine_chunks()
         sizes.pop(k)
         for part in table.to_batches():
@@ -532,7 +540,7 @@ def learn(docs: DataFrame, ws: Workspace, symbols: int = SYMBOLS, states: int =
     model, shares, history = baum_welch(encoded.where("NOT held_out"), weights, states, rounds)
 
     asks = encoded.agg(F.coalesce(F.sum(F.octet_length("rare")), F.lit(0)).alias("rare"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
-    n_rare, n_homes = max(16, -(-asks["rare"] // (8 * BUCKET_WORDS))), buckets_for(spark, asks["tokens"], BUCKET_WORDS)
+    n_rare, n_homes = max(16, -(-asks["rare"] // (4 * BUCKET_WORDS))), buckets_for(spark, asks["tokens"], BUCKET_WORDS)
     columns = encoded.select("row", "held_out", "symbols", "rare")
     taught, held = columns.where("NOT held_out"), columns.where("held_out")
     asked = taught.mapInArrow(_ask(n_rare, len(keys), model), _ASKED_SQL).unionByName(held.mapInArrow(_ask(n_rare, len(keys), None), _ASKED_SQL))
