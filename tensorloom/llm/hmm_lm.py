@@ -204,10 +204,11 @@ class Hmm:
         kind = np.float32 if learn else np.float64
         move, one = self.move.astype(kind), np.ones(len(self.start), kind)
         shown = self.emit.T.astype(kind)[by_step]
-        # Of each token, in the order of texts: its row in the order of steps.
-        began = np.empty(len(texts), np.int64)
-        began[order] = np.cumsum(ends) - ends
-        spot = place[np.repeat(began, sizes) + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
+        if factors is not None or posteriors:
+            # Of each token, in the order of texts: its row in the order of steps.
+            began = np.empty(len(texts), np.int64)
+            began[order] = np.cumsum(ends) - ends
+            spot = place[np.repeat(began - np.cumsum(sizes) + sizes, sizes) + np.arange(len(row))]
         if factors is not None:
             own, times = factors
             shown[spot[own]] *= times
@@ -259,7 +260,6 @@ def _chunks(batches, column: str):
     sizes: dict[int, int] = {}
 
     def chunk(k: int):
-        release()
         table = pa.Table.from_batches(pools.pop(k)).combine_chunks()
         sizes.pop(k)
         for part in table.to_batches():
@@ -289,6 +289,7 @@ def _expect(model: Hmm):
             likelihood, *counts = model.run(texts, learn=True)
             counts.append(np.array([likelihood.sum(), sum(map(len, texts))]))
             total = counts if total is None else [a + b for a, b in zip(total, counts, strict=True)]
+        release()
         if total is not None:
             start, move, emit, rest = total
             rows = [(-1, 0, np.concatenate((start, move.ravel(), rest)))]
@@ -366,6 +367,7 @@ def _ask(n_buckets: int, n_own: int, model: Hmm | None):
                 release()
         if size:
             yield flush()
+        release()
 
     return run
 
