@@ -18,8 +18,12 @@ sets reaches a threshold. The join is exact for sets of 64-bit gram hashes:
    exactly. Blocks of one group share pivots; what they leave apart is compared in
    a second traversal, block against block.
 4. *Components* over the verified links.
+5. *Links*: two linked sets are in one component, so the links of each set are counted exactly among the
+   sets of its component, block against block, by products of incidence matrices.
 
-Links leave a tree as a spanning forest, never as all pairs of a group.
+Links leave a tree as a spanning forest, and what is counted as a number per set, never as all pairs of a group.
+Grams are dealt in one step while buckets are few, and in two when there are more than DEALT: a mapper deals
+to ranges of buckets, and tasks that hold one range of many mappers deal on, so that blobs stay long.
 """
 
 from __future__ import annotations
@@ -38,7 +42,11 @@ from ._words import U64, Words, gram_hashes, mix
 #: A gram is heavy in a batch if this part of its documents have it, and HEAVY_LEAST at least.
 HEAVY_SHARE, HEAVY_LEAST = 1 / 128, 32
 #: Grams of one routing bucket, of one mapper flush, and of one block of a signature tree.
-BUCKET_GRAMS, FLUSH_GRAMS, BLOCK_GRAMS = 2_000_000, 600_000, 1_000_000
+BUCKET_GRAMS, FLUSH_GRAMS, BLOCK_GRAMS = 2_000_000, 600_000, 400_000
+#: Buckets that a mapper deals to at most.
+DEALT = 4096
+#: Columns of an incidence matrix that are multiplied at once.
+INCIDENCE = 8192
 LEAF, FANOUT, BITS, PIVOTS = 16, 8, 2048, 16
 
 
@@ -112,11 +120,17 @@ def _profile(k: int):
 # ---------------------------------------------------------------- routing
 
 _ROUTED = "target int, fps binary, counts binary, keys binary, extra binary"
+_ROUTED_TYPE = pa.schema([("target", pa.int32()), *((x, pa.binary()) for x in ("fps", "counts", "keys", "extra"))])
 
 
 def _short(counts: np.ndarray) -> bytes:
-    """Counts in two bytes each where they fit, else in four; the number of owners tells which."""
-    return counts.astype(np.uint16 if counts.max(initial=0) < 65_536 else np.uint32).tobytes()
+    """Counts in one byte each where they fit, else in two or four; the number of owners tells which."""
+    most = counts.max(initial=0)
+    return counts.astype(np.uint8 if most < 256 else np.uint16 if most < 65_536 else np.uint32).tobytes()
+
+
+def _long(counts: bytes, owners: int) -> np.ndarray:
+    return np.frombuffer(counts, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(counts) // max(owners, 1)] if owners else np.uint8)
 
 
 def _owners(table: pa.Table) -> np.ndarray:
@@ -124,7 +138,7 @@ def _owners(table: pa.Table) -> np.ndarray:
     parts = []
     for fps, counts in zip(table.column("fps").to_pylist(), table.column("counts").to_pylist(), strict=True):
         owners = np.frombuffer(fps, np.int64)
-        parts.append(np.repeat(owners, np.frombuffer(counts, np.uint16 if len(counts) == 2 * len(owners) else np.uint32)))
+        parts.append(np.repeat(owners, _long(counts, len(owners))))
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
@@ -132,8 +146,45 @@ def _bucket(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> U64(32)) * U64(n) >> U64(32)).astype(np.int32)
 
 
+def _merged(grams: np.ndarray, owner: np.ndarray, n_buckets: int, n_owners: int) -> np.ndarray:
+    """How many grams of each set fall together with another one of it by bucket and low 32 bits, which is all that is sent."""
+    key = mix(((_bucket(grams, n_buckets).astype(U64) << U64(32)) | (grams & U64(0xFFFFFFFF))) + owner.astype(U64) * U64(0x9E3779B97F4A7C15))
+    order = np.argsort(key)
+    again = order[1:][key[order][1:] == key[order][:-1]]
+    return np.bincount(owner[again], minlength=n_owners)
+
+
+def _gram_rows(target: np.ndarray, n: int, fps: np.ndarray, owner: np.ndarray, grams: np.ndarray, wide: bool):
+    """Rows of dealt grams by target; wide: whole grams, as they will be dealt on."""
+    order = np.argsort(target.astype(np.uint16) if n <= 65535 else target, kind="stable")
+    sent = target[order]
+    heads = np.flatnonzero(np.concatenate(([True], sent[1:] != sent[:-1]))) if len(sent) else ()
+    for a, b in zip(heads, np.append(heads[1:], len(sent)) if len(sent) else (), strict=True):
+        own = order[a:b]
+        mine = owner[own]
+        starts = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1])))
+        yield int(sent[a]), fps[mine[starts]].tobytes(), _short(np.diff(starts, append=len(mine))), (grams[own] if wide else grams[own].astype(np.uint32)).tobytes(), b""
+
+
+def _home_rows(target: np.ndarray, fps: np.ndarray, counts: np.ndarray, extra: list[np.ndarray]):
+    """Rows of what sets have besides, by home."""
+    order = np.argsort(target, kind="stable")
+    sent = target[order]
+    heads = np.flatnonzero(np.concatenate(([True], sent[1:] != sent[:-1]))) if len(sent) else ()
+    for a, b in zip(heads, np.append(heads[1:], len(sent)) if len(sent) else (), strict=True):
+        own = order[a:b]
+        yield -1 - int(sent[a]), fps[own].tobytes(), counts[:, own].astype(np.int32).tobytes(), b"", np.concatenate([extra[i] for i in own]).tobytes()
+
+
+def _range(bucket: np.ndarray, n_buckets: int, n_ranges: int) -> np.ndarray:
+    """Range of each bucket, of n_ranges as many."""
+    return (bucket.astype(np.int64) * n_ranges // n_buckets).astype(np.int32)
+
+
 def _route(k: int, percent: int, n_buckets: int, heavy_keys: np.ndarray, heavy_counts: np.ndarray):
-    """Blobs of grams by bucket; and, as targets below zero, what a set has besides."""
+    """Blobs of grams by bucket (or range of buckets); and, as targets below zero, what a set has besides."""
+    n_ranges = min(n_buckets, DEALT)
+    wide = n_ranges < n_buckets
 
     def flush(held: dict[int, np.ndarray]):
         if not held:
@@ -143,45 +194,27 @@ def _route(k: int, percent: int, n_buckets: int, heavy_keys: np.ndarray, heavy_c
         owner = np.repeat(np.arange(len(fps)), sizes)
         grams = np.concatenate(list(held.values()))
         light = np.ones(len(grams), bool)
-        extra: dict[int, np.ndarray] = {}
+        extra = [np.zeros(0, U64)] * len(fps)
         if len(heavy_keys):
             at = np.minimum(np.searchsorted(heavy_keys, grams), len(heavy_keys) - 1)
             light = heavy_keys[at] != grams
-            n_light = np.bincount(owner[light], minlength=len(fps))
+        n_light = np.bincount(owner[light], minlength=len(fps)) - _merged(grams[light], owner[light], n_buckets, len(fps))
+        if not light.all():
             ends = np.cumsum(sizes)
-            for i in np.flatnonzero(n_light < sizes):
+            for i in np.unique(owner[~light]).tolist():
                 need = prefix_length(int(sizes[i]), percent) - int(n_light[i])
                 if need > 0:
                     own = slice(ends[i] - sizes[i], ends[i])
                     places = at[own][~light[own]]
-                    extra[int(i)] = heavy_keys[places[np.lexsort((heavy_keys[places], heavy_counts[places]))[:need]]]
-        else:
-            n_light = sizes
+                    extra[i] = heavy_keys[places[np.lexsort((heavy_keys[places], heavy_counts[places]))[:need]]]
         # What each set has besides: its size and light grams, and heavy ones of its prefix.
-        home = _bucket(mix(fps.view(U64)), n_buckets)
-        order = np.argsort(home, kind="stable")
-        cuts = np.searchsorted(home[order], np.arange(n_buckets + 1))
-        for b in range(n_buckets):
-            own = order[cuts[b] : cuts[b + 1]]
-            if len(own):
-                more = [extra.get(int(i), np.zeros(0, U64)) for i in own]
-                counts = np.stack([sizes[own], n_light[own], [len(x) for x in more]]).astype(np.int32)
-                yield -1 - b, fps[own].tobytes(), counts.tobytes(), b"", np.concatenate(more).tobytes()
+        home = _range(_bucket(mix(fps.view(U64)), n_buckets), n_buckets, n_ranges)
+        yield from _home_rows(home, fps, np.stack([sizes, n_light, [len(x) for x in extra]]), extra)
         grams, owner = grams[light], owner[light]
-        target = _bucket(grams, n_buckets)
-        order = np.argsort(target.astype(np.uint16) if n_buckets <= 65535 else target, kind="stable")
-        cuts = np.searchsorted(target[order], np.arange(n_buckets + 1))
-        for b in range(n_buckets):
-            own = order[cuts[b] : cuts[b + 1]]
-            if len(own):
-                mine = owner[own]
-                heads = np.flatnonzero(np.diff(mine, prepend=-1))
-                counts = np.diff(heads, append=len(mine))
-                yield b, fps[mine[heads]].tobytes(), _short(counts), grams[own].astype(np.uint32).tobytes(), b""
+        yield from _gram_rows(_range(_bucket(grams, n_buckets), n_buckets, n_ranges), n_ranges, fps, owner, grams, wide)
 
     def batch_of(rows) -> pa.RecordBatch:
-        target, fps, counts, keys, extra = zip(*rows, strict=True)
-        return pa.record_batch({"target": pa.array(target, pa.int32()), "fps": pa.array(fps, pa.binary()), "counts": pa.array(counts, pa.binary()), "keys": pa.array(keys, pa.binary()), "extra": pa.array(extra, pa.binary())})
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ROUTED_TYPE.types, strict=True)], schema=_ROUTED_TYPE)
 
     def run(batches):
         held: dict[int, np.ndarray] = {}
@@ -201,6 +234,29 @@ def _route(k: int, percent: int, n_buckets: int, heavy_keys: np.ndarray, heavy_c
     return run
 
 
+def _deal_on(n_buckets: int):
+    """Of one range of buckets, and a part of the mappers: the same rows by bucket."""
+
+    def run(table: pa.Table) -> pa.Table:
+        release()
+        if table.column("target")[0].as_py() < 0:
+            fps = _joined(table, "fps", np.int64)
+            counts = np.concatenate([np.frombuffer(x, np.int32).reshape(3, -1) for x in table.column("counts").to_pylist()], axis=1)
+            extra = np.split(_joined(table, "extra", U64), np.cumsum(counts[2])[:-1])
+            rows = list(_home_rows(_bucket(mix(fps.view(U64)), n_buckets), fps, counts, extra))
+        else:
+            grams, fps = _joined(table, "keys", U64), _owners(table)
+            # Sets that several mappers hold are told once.
+            order = np.lexsort((grams, fps))
+            grams, fps = grams[order], fps[order]
+            new = np.concatenate(([True], (grams[1:] != grams[:-1]) | (fps[1:] != fps[:-1])))
+            grams, fps = grams[new], fps[new]
+            rows = list(_gram_rows(_bucket(grams, n_buckets), n_buckets, *np.unique(fps, return_inverse=True), grams, False))
+        return pa.Table.from_batches([pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ROUTED_TYPE.types, strict=True)], schema=_ROUTED_TYPE)])
+
+    return run
+
+
 def _joined(table: pa.Table, name: str, dtype) -> np.ndarray:
     parts = [np.frombuffer(x, dtype) for x in table.column(name).to_pylist() if x]
     return np.concatenate(parts) if parts else np.zeros(0, dtype)
@@ -460,18 +516,81 @@ def _resolve_across(sets: DataFrame, sizes: DataFrame, links: DataFrame, ws: Wor
     return pairs.repartition("grp", "left", "right").sortWithinPartitions("grp", "left", "right", "side").mapInArrow(_across(percent), "a long, b long")
 
 
+# ---------------------------------------------------------------- links
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Grams that each set of a shares with each of b, by products of incidence matrices over the grams of both."""
+    keys, owner = [np.concatenate(x) for x in (a, b)], [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b)]
+    both = np.intersect1d(*keys)
+    out = np.zeros((len(a), len(b)))
+    places = [np.searchsorted(both, k) for k in keys]
+    held = [p < len(both) for p in places]
+    held = [h & (both[np.minimum(p, max(len(both) - 1, 0))] == k) if len(both) else h for h, p, k in zip(held, places, keys, strict=True)]
+    for at in range(0, len(both), INCIDENCE):
+        sides = []
+        for size, h, p, o in zip((len(a), len(b)), held, places, owner, strict=True):
+            own = h & (p >= at) & (p < at + INCIDENCE)
+            m = np.zeros((size, min(INCIDENCE, len(both) - at)), np.float32)
+            m[o[own], p[own] - at] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _count_links(percent: int):
+    """Of each pair of blocks of a component: links of each set, copies of the other set counted."""
+
+    def run(batches):
+        for table in runs(batches, ["root", "left", "right"]):
+            release()
+            fps, copies, side = (table.column(c).to_numpy() for c in ("fp", "copies", "side"))
+            sets = [np.frombuffer(g, U64) for g in table.column("grams").to_pylist()]
+            same = table.column("left")[0] == table.column("right")[0]
+            a = np.arange(len(fps)) if same else np.flatnonzero(side == 0)
+            b = a if same else np.flatnonzero(side == 1)
+            links = np.zeros(len(fps), np.int64)
+            if len(a) and len(b):
+                x, y = ([sets[i] for i in at] for at in (a, b))
+                both = overlaps(x, y)
+                near = 100 * both >= percent * (np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y]) - both)
+                if same:
+                    np.fill_diagonal(near, False)
+                links[a] += near @ copies[b]
+                if not same:
+                    links[b] += copies[a] @ near
+            yield pa.record_batch({"fp": pa.array(fps), "links": pa.array(links)})
+
+    return run
+
+
+def _links(sets: DataFrame, found: DataFrame, nodes: DataFrame, percent: int, block_grams: int) -> DataFrame:
+    """Linked rows (those of other sets) of each set that has some."""
+    copies = nodes.groupBy("fp").agg(F.count("*").alias("copies"))
+    members = sets.select("fp", "n", "grams").dropDuplicates(["fp"]).join(found.select("fp", F.col("class").alias("root")), "fp").join(copies, "fp")
+    sizes = members.groupBy("root").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("blocks"))
+    members = members.join(sizes, "root").withColumn("at", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    right = members.withColumn("left", F.explode(F.expr("sequence(0, at)"))).withColumn("right", F.col("at")).withColumn("side", F.lit(1))
+    left = members.where("at < blocks - 1").withColumn("right", F.explode(F.expr("sequence(at + 1, blocks - 1)"))).withColumn("left", F.col("at")).withColumn("side", F.lit(0))
+    keys = ["root", "left", "right"]
+    pairs = right.unionByName(left).select(*keys, "side", "fp", "copies", "grams")
+    counted = pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_count_links(percent), "fp long, links long")
+    return counted.groupBy("fp").agg(F.sum("links").alias("links"))
+
+
 # ---------------------------------------------------------------- operator
 
 
-def ngram_jaccard_join(docs: DataFrame, ngram: int = 5, percent: int = 80, *, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, ngram: int = 5, percent: int = 80, *, links: bool = False, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """Group documents whose sets of word n-grams have a Jaccard similarity of percent/100 or more.
 
     docs: doc_id (integer) and text; other columns and rows of null doc_id are left out. Returns one
     row per row: doc_id, n_shingles (set size) and component_id (smallest doc_id
-    reachable by links, itself included). ASCII letters are lower-cased; words are
+    reachable by links, itself included); with links also n_links (other rows linked directly), for which all sets of a
+    component are compared: of m different ones m * m / 2 pairs. ASCII letters are lower-cased; words are
     runs of anything but ASCII white space; a text of fewer words than ngram is one gram.
     A null or empty text, or one of white space, has an empty set, which links with
-    nothing. Repeated texts link with each other.
+    nothing. Repeated texts link with each other. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "ngram-join")
@@ -485,6 +604,9 @@ def ngram_jaccard_join(docs: DataFrame, ngram: int = 5, percent: int = 80, *, bl
     order = np.argsort(keys)
     n_buckets = buckets_for(spark, total["grams"], BUCKET_GRAMS)
     routed = docs.mapInArrow(_route(ngram, percent, n_buckets, keys[order], heavy["c"].to_numpy(np.int64)[order]), _ROUTED)
+    if n_buckets > DEALT:
+        lanes = -(-n_buckets // DEALT)
+        routed = routed.withColumn("lane", F.spark_partition_id() % lanes).groupBy("target", "lane").applyInArrow(_deal_on(n_buckets), _ROUTED)
     census = routed.groupBy("target").applyInArrow(_census(n_buckets), _RETURNED)
     prefixes = ws.table(census.groupBy("home").applyInArrow(_prefixes(percent), "bucket int, gram long, fp long, n long"))
 
@@ -502,16 +624,23 @@ def ngram_jaccard_join(docs: DataFrame, ngram: int = 5, percent: int = 80, *, bl
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     blocks = F.when((F.col("blocks") > 1) & F.array_contains(pivot, F.col("fp")), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))
     placed = placed.select("grp", F.explode(blocks).alias("block"), "fp", "grams")
-    links = ws.table(placed.repartition("grp", "block").sortWithinPartitions("grp", "block").mapInArrow(_in_blocks(percent), "a long, b long"))
+    edges = ws.table(placed.repartition("grp", "block").sortWithinPartitions("grp", "block").mapInArrow(_in_blocks(percent), "a long, b long"))
     if not sizes.where("blocks > 1").isEmpty():
-        links = links.unionByName(ws.table(_resolve_across(sets, sizes, links, ws, percent, block_grams)))
+        edges = edges.unionByName(ws.table(_resolve_across(sets, sizes, edges, ws, percent, block_grams)))
 
-    found = components(links, ws).select(F.col("node").alias("fp"), F.col("root").alias("class"))
+    found = components(edges, ws).select(F.col("node").alias("fp"), F.col("root").alias("class"))
     classes = nodes.join(found, "fp", "left").withColumn("class", F.coalesce("class", "fp"))
     # A table of its own, so that the join below can split a large class.
     least = ws.table(classes.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least")))
     out = classes.join(least, "class", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")]
+    if links:
+        # Of equal sets each row links with all others; their number is a table, so that the join can split a large set.
+        same = nodes.where("n > 0").groupBy("fp").agg((F.count("*") - 1).alias("copies"))
+        told = ws.table(same.join(_links(sets, found, nodes, percent, block_grams), "fp", "left").select("fp", (F.col("copies") + F.coalesce("links", F.lit(0))).alias("n_links")))
+        out = out.join(told, "fp", "left")
+        columns.append(F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(*columns)
 
 
 def keep_one(docs: DataFrame, ngram: int = 5, percent: int = 80) -> DataFrame:

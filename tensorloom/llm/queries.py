@@ -37,8 +37,8 @@ def _fold(n: int) -> Column:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes of documents whose 4-word shingles have a Jaccard similarity of 0.85 or more."""
-    return ngram_jaccard_join(_read(spark, sf_dir, "documents"), ngram=4, percent=85)
+    """Classes of documents whose 4-word shingles have a Jaccard similarity of 0.85 or more, with the number of links of each."""
+    return ngram_jaccard_join(_read(spark, sf_dir, "documents"), ngram=4, percent=85, links=True)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

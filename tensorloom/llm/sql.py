@@ -26,7 +26,7 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
 e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
-SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1) c LEFT JOIN n ON n.doc_id = c.doc_id
+SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, coalesce(k.k, 0) AS n_links FROM (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY 1) c LEFT JOIN n ON n.doc_id = c.doc_id LEFT JOIN (SELECT a, count(*) AS k FROM e GROUP BY 1) k ON k.a = c.doc_id
 """
 
 OP2 = f"""

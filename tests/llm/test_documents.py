@@ -75,14 +75,30 @@ def jaccard_classes(rows, k, percent):
     return [len(s) for s in sets], roots(len(rows), links)
 
 
-@pytest.mark.parametrize(("ngram", "percent", "block", "heavy"), [(4, 85, 1_000_000, 32), (2, 60, 500, 3), (3, 70, 300, 2), (1, 50, 400, 4)])
-def test_ngram_join(spark, monkeypatch, ngram, percent, block, heavy):
+def jaccard_links(rows, k, percent):
+    sets = [frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if len(w := words(t)) >= k else frozenset([tuple(w)] if w else []) for t in rows]
+    return [sum(bool(a) and i != j and 100 * len(a & b) >= percent * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+
+
+@pytest.mark.parametrize(("ngram", "percent", "block", "heavy", "dealt"), [(4, 85, 1_000_000, 32, 4096), (2, 60, 500, 3, 4096), (3, 70, 300, 2, 3), (1, 50, 400, 4, 7)])
+def test_ngram_join(spark, monkeypatch, ngram, percent, block, heavy, dealt):
     monkeypatch.setattr(ngram_join, "HEAVY_LEAST", heavy)
     monkeypatch.setattr(ngram_join, "FLUSH_GRAMS", 2000)
+    monkeypatch.setattr(ngram_join, "DEALT", dealt)
+    monkeypatch.setattr(ngram_join, "BUCKET_GRAMS", 1500)
+    monkeypatch.setattr(ngram_join, "INCIDENCE", 50)
     rows = texts(ngram)
-    got = ngram_join.ngram_jaccard_join(frame(spark, rows), ngram, percent, block_grams=block).collect()
+    got = ngram_join.ngram_jaccard_join(frame(spark, rows), ngram, percent, links=True, block_grams=block).collect()
     sizes, least = jaccard_classes(rows, ngram, percent)
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(zip(range(len(rows)), sizes, least, strict=True))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == sorted(zip(range(len(rows)), sizes, least, jaccard_links(rows, ngram, percent), strict=True))
+    plain = ngram_join.ngram_jaccard_join(frame(spark, rows), ngram, percent, block_grams=block)
+    assert plain.columns == ["doc_id", "n_shingles", "component_id"]
+
+
+def test_grams_that_fall_together_are_counted_once():
+    grams = np.array([5, (9 << 40) | 7, (9 << 40) | (3 << 32) | 7, (200 << 55) | 7], np.uint64)
+    assert ngram_join._merged(grams, np.array([0, 0, 0, 0]), 4, 2).tolist() == [1, 0]
+    assert ngram_join._merged(grams, np.array([0, 0, 1, 1]), 4, 2).tolist() == [0, 0]
 
 
 def test_ngram_join_odd_tables(spark):
