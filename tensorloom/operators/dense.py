@@ -1,23 +1,68 @@
 """Small dense kernels: factorisations and solves of one matrix that fits a row.
 
 They work on numpy arrays; ``per_row`` runs one on every row of a packed frame in Arrow
-batches, so that many small systems spread over the cluster without a shuffle.
+batches, and ``per_stack`` on all matrices of a batch that have one shape, so that many small systems spread over
+the cluster without a shuffle. Results are named tuples.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..core import SolverError
+from ..core import SolverError, Tensor
 
 EPS = np.finfo(float).eps
 
 
+class Ldlt(NamedTuple):
+    lower: np.ndarray
+    diagonal: np.ndarray
+
+
+class Qr(NamedTuple):
+    q: np.ndarray
+    r: np.ndarray
+
+
+class PivotedQr(NamedTuple):
+    q: np.ndarray
+    r: np.ndarray
+    order: np.ndarray
+
+
+class Svd(NamedTuple):
+    u: np.ndarray
+    values: np.ndarray
+    vt: np.ndarray
+
+
+class Polar(NamedTuple):
+    rotation: np.ndarray
+    stretch: np.ndarray
+
+
+class Schur(NamedTuple):
+    u: np.ndarray
+    t: np.ndarray
+
+
+class Eigen(NamedTuple):
+    values: np.ndarray
+    vectors: np.ndarray
+
+
+class Hessenberg(NamedTuple):
+    q: np.ndarray
+    h: np.ndarray
+
+
 @dataclass
 class Lu:
     order: np.ndarray
@@ -89,7 +134,7 @@ def llt_solve(a, b):
     return triangular_solve(lower.T, triangular_solve(lower, b, "lower"), "upper")
 
 
-def ldlt(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def ldlt(a: np.ndarray) -> Ldlt:
     """Unit lower factor and diagonal; a zero pivot leaves its column empty."""
     rest = np.tril(np.array(a, float))
     n = len(rest)
@@ -100,7 +145,7 @@ def ldlt(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             continue
         lower[k + 1 :, k] = rest[k + 1 :, k] / d[k]
         rest[k + 1 :, k + 1 :] -= np.tril(np.outer(lower[k + 1 :, k], rest[k + 1 :, k]))
-    return lower, d
+    return Ldlt(lower, d)
 
 
 def ldlt_solve(a, b):
@@ -111,14 +156,14 @@ def ldlt_solve(a, b):
     return triangular_solve(lower.T, (y.T / d).T, "unit_upper")
 
 
-def _signed(q: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _signed(q: np.ndarray, r: np.ndarray) -> Qr:
     """The same product with a diagonal of r that is not negative."""
-    k = min(r.shape)
-    s = np.where(np.diag(r)[:k] < 0, -1.0, 1.0)
+    k = min(r.shape[-2:])
+    s = np.where(np.diagonal(r, axis1=-2, axis2=-1) < 0, -1.0, 1.0)
     q, r = q.copy(), r.copy()
-    q[:, :k] *= s
-    r[:k] *= s[:, None]
-    return q, r
+    q[..., :k] *= s[..., None, :]
+    r[..., :k, :] *= s[..., None]
+    return Qr(q, r)
 
 
 def qr(a):
@@ -143,7 +188,7 @@ def gram_schmidt(a: np.ndarray) -> np.ndarray:
 
 def qr_gram_schmidt(a):
     q = gram_schmidt(a)
-    return q, np.triu(q.T @ np.asarray(a, float))
+    return Qr(q, np.triu(q.T @ np.asarray(a, float)))
 
 
 def qr_solve(a, b):
@@ -154,10 +199,17 @@ def qr_solve(a, b):
     return triangular_solve(r, q.T @ np.asarray(b, float), "upper")
 
 
-qr_solve_full = qr_solve
+def qr_solve_full(a, b):
+    """Least squares by the complete factors: the rows of R below the last column are zero and left out."""
+    a = np.asarray(a, float)
+    q, r = qr_full(a)
+    n = a.shape[1]
+    if (np.abs(np.diag(r)) <= EPS * max(1.0, np.abs(r).max(initial=0))).any():
+        raise SolverError("breakdown", "the columns depend on each other")
+    return triangular_solve(r[:n], (q.T @ np.asarray(b, float))[:n], "upper")
 
 
-def qr_col_pivot(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def qr_col_pivot(a: np.ndarray) -> PivotedQr:
     """Q, R and column order; each step takes the column with the most left outside."""
     r = np.array(a, float)
     m, n = r.shape
@@ -173,7 +225,7 @@ def qr_col_pivot(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         v /= np.linalg.norm(v)
         r[k:] -= 2 * np.outer(v, v @ r[k:])
         q[:, k:] -= 2 * np.outer(q[:, k:] @ v, v)
-    return q, np.triu(r), order
+    return PivotedQr(q, np.triu(r), order)
 
 
 def rank(a, tol: float = 1e-10) -> int:
@@ -187,7 +239,7 @@ def rank(a, tol: float = 1e-10) -> int:
 
 def svd(a):
     """Thin factors, singular values falling."""
-    return np.linalg.svd(np.asarray(a, float), full_matrices=False)
+    return Svd(*np.linalg.svd(np.asarray(a, float), full_matrices=False))
 
 
 def spectral_norm(a) -> float:
@@ -203,39 +255,80 @@ def condition_number(a) -> float:
     return float("inf") if s[-1] <= np.finfo(float).tiny else float(s[0] / s[-1])
 
 
-def polar(f) -> tuple[np.ndarray, np.ndarray]:
+def polar(f) -> Polar:
     """Rotation (determinant 1) and symmetric factor; a matrix that is not square stays whole."""
     f = np.asarray(f, float)
     if f.shape[0] != f.shape[1]:
-        return np.eye(f.shape[0]), f
+        return Polar(np.eye(f.shape[0]), f)
     u, s, vt = svd(f)
     if np.linalg.det(u @ vt) < 0:
         u[:, -1], s[-1] = -u[:, -1], -s[-1]
-    return u @ vt, vt.T @ np.diag(s) @ vt
+    return Polar(u @ vt, vt.T @ np.diag(s) @ vt)
+
+
+#: Shifts of the iteration for the Schur form: both eigenvalues of the last block of 2 at once, or the nearer one.
+STRATEGIES = ("francis", "wilkinson")
+
+
+def _last_block(h: np.ndarray, end: int) -> tuple[float, float]:
+    """Trace and determinant of the block of 2 that ends at a row."""
+    m = h[end - 1 : end + 1, end - 1 : end + 1]
+    return m[0, 0] + m[1, 1], m[0, 0] * m[1, 1] - m[0, 1] * m[1, 0]
+
 
+def _turn(block: np.ndarray, trace: float, det: float, strategy: str, odd: bool) -> np.ndarray:
+    """Orthogonal matrix that turns an active block once. odd: an unusual shift, as the usual ones led nowhere."""
+    if odd:
+        size = np.abs(np.diag(block, -1)).sum()
+        trace, det = 1.5 * size, size * size
+    elif (strategy == "wilkinson" or len(block) == 2) and trace * trace >= 4 * det:
+        gap = np.sqrt(trace * trace / 4 - det)
+        shift = min((trace / 2 + gap, trace / 2 - gap), key=lambda x: abs(x - block[-1, -1]))
+        return np.linalg.qr(block - shift * np.eye(len(block)))[0]
+    # Both shifts at once: the first column of the polynomial decides, and the Hessenberg form is restored from there.
+    column = block @ block[:, 0] - trace * block[:, 0]
+    column[0] += det
+    first = np.linalg.qr(column[:, None], mode="complete")[0]
+    return first @ hessenberg_reduce(first.T @ block @ first).q
 
-def schur(a) -> tuple[np.ndarray, np.ndarray]:
+
+def schur(a, max_iter: int = 1000, strategy: str = "francis") -> Schur:
     """Orthogonal U and block-triangular T with a = U T Uᵀ; blocks of 2 hold complex pairs.
 
-    One invariant direction (or plane, of a complex pair) at a time is turned to the front.
+    The Hessenberg form is turned by shifted QR steps until an entry below the diagonal vanishes; blocks
+    that are done are left out of further steps. Steps beyond max_iter raise 'diverged'.
     """
     t = np.array(a, float)
-    if t.shape[0] != t.shape[1]:
+    if t.ndim != 2 or t.shape[0] != t.shape[1]:
         raise SolverError("breakdown", "only a square matrix has a Schur form")
-    n, at = len(t), 0
-    u = np.eye(n)
-    while at < n:
-        values, vectors = np.linalg.eig(t[at:, at:])
-        pick = int(np.argmin(np.abs(values.imag)))
-        real = abs(values[pick].imag) <= 1e-12 * max(1.0, abs(values[pick]))
-        basis = vectors[:, [pick]].real if real else np.stack((vectors[:, pick].real, vectors[:, pick].imag), axis=1)
-        q = np.eye(n)
-        q[at:, at:] = np.linalg.qr(basis, mode="complete")[0]
-        t, u = q.T @ t @ q, u @ q
-        step = basis.shape[1]
-        t[at + step :, at : at + step] = 0.0
-        at += step
-    return u, t
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy}")
+    u, t = hessenberg_reduce(t)
+    end, steps, here = len(t) - 1, 0, 0
+    while end > 0:
+        below = np.abs(np.diag(t, -1)[:end])
+        small = below <= EPS * (np.abs(np.diag(t)[:end]) + np.abs(np.diag(t)[1 : end + 1]) + np.finfo(float).tiny)
+        t[np.flatnonzero(small) + 1, np.flatnonzero(small)] = 0.0
+        split = np.flatnonzero(small)
+        start = int(split[-1]) + 1 if len(split) else 0
+        if start == end:
+            end, here = end - 1, 0
+            continue
+        trace, det = _last_block(t, end)
+        if start == end - 1 and trace * trace < 4 * det:
+            end, here = end - 2, 0
+            continue
+        if steps >= max_iter:
+            raise SolverError("diverged", f"no Schur form in {max_iter} steps")
+        steps, here = steps + 1, here + 1
+        own = slice(start, end + 1)
+        q = _turn(t[own, own], trace, det, strategy, here % 10 == 0)
+        t[own, :] = q.T @ t[own, :]
+        t[:, own] = t[:, own] @ q
+        u[:, own] = u[:, own] @ q
+        # Rounding below the second diagonal.
+        t[own, own] = np.triu(t[own, own], -1)
+    return Schur(u, t)
 
 
 def eigenvalues_of_schur(t) -> np.ndarray:
@@ -250,7 +343,7 @@ def eigenvalues_of_schur(t) -> np.ndarray:
 
 def symmetric_eigen(a):
     """Rising eigenvalues and orthonormal columns."""
-    return np.linalg.eigh(np.asarray(a, float))
+    return Eigen(*np.linalg.eigh(np.asarray(a, float)))
 
 
 def tridiagonal_eigen(diagonal, off):
@@ -267,13 +360,13 @@ def hessenberg_reduce(a):
         p[k + 1 :, k + 1 :] = np.linalg.qr(h[k + 1 :, [k]], mode="complete")[0]
         h, q = p.T @ h @ p, q @ p
         h[k + 2 :, k] = 0.0
-    return q, h
+    return Hessenberg(q, h)
 
 
 def eigen(a):
     """Eigenvalues and Schur vectors of a general matrix."""
     u, t = schur(a)
-    return eigenvalues_of_schur(t), u
+    return Eigen(eigenvalues_of_schur(t), u)
 
 
 def determinant(a) -> float:
@@ -320,23 +413,89 @@ def givens(a: float, b: float) -> tuple[float, float]:
     return a / r, b / r
 
 
-def per_row(df: DataFrame, fn: Callable[[pd.Series], dict], schema: str) -> DataFrame:
-    """fn on each row of a packed frame; a kernel that breaks down leaves its row out unless fn handles it."""
+def per_row(df: DataFrame, fn: Callable[[dict], dict], schema: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """fn on each row of a packed frame, with the columns to keep beside what it gives.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A row whose kernel raises SolverError is left out; if the schema has a column status, it stays instead, with
+    the kind of the error there ('ok' elsewhere) and nulls in what fn would give.
+    """
+    told = "status" in [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [fn(row) for row in batch.to_dict("records")]
+            rows = []
+            for row in batch.to_pylist():
+                kept = {c: row[c] for c in keep}
+                try:
+                    rows.append(kept | fn(row) | ({"status": "ok"} if told else {}))
+                except SolverError as e:
+                    if told:
+                        rows.append(kept | {"status": e.kind})
             if rows:
-                yield pd.DataFrame(rows)
+                yield from pa.Table.from_pylist(rows, arrow).to_batches()
+
+    arrow = _arrow_schema(df, schema)
+    return df.mapInArrow(run, schema)
+
+
+def _arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def per_stack(df: DataFrame, fn: Callable[[np.ndarray], dict[str, np.ndarray]], schema: str, keep: tuple[str, ...], name: str = "a") -> DataFrame:
+    """fn on all matrices of a batch that have one shape, as one array of three dimensions.
+
+    df: nrow, ncol and a row-major array. fn gives an array by name of schema, its first dimension that of the
+    matrices; what is left of each is a row-major array (or a number). Columns to keep stand beside.
+    """
+    arrow = _arrow_schema(df, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shapes = np.stack([batch.column(c).to_numpy() for c in ("nrow", "ncol")], axis=1)
+            for shape in np.unique(shapes, axis=0):
+                part = batch.filter(pa.array((shapes == shape).all(axis=1)))
+                stack = np.asarray(part.column(name).flatten(), float).reshape(part.num_rows, *shape)
+                columns = [part.column(c) for c in keep]
+                for value in fn(stack).values():
+                    value = np.asarray(value)
+                    flat = value.reshape(part.num_rows, -1)
+                    columns.append(pa.array(list(flat)) if value.ndim > 1 else pa.array(value))
+                yield pa.record_batch([c.cast(t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
+def llt_stack(stack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower factors of a stack of matrices, and which of them are positive definite; the others' factors are NaN."""
+    rest, out = np.tril(stack), np.zeros_like(stack, float)
+    fine = np.ones(len(stack), bool)
+    for k in range(stack.shape[1]):
+        pivot = rest[:, k, k]
+        fine &= pivot > 0
+        out[:, k:, k] = rest[:, k:, k] / np.sqrt(np.where(pivot > 0, pivot, np.nan))[:, None]
+        rest[:, k + 1 :, k + 1 :] -= np.tril(out[:, k + 1 :, k, None] * out[:, None, k + 1 :, k])
+    return out, fine
+
+
+DIRECT = {"plu": plu_solve, "llt": llt_solve, "ldlt": ldlt_solve, "qr": qr_solve, "qr_full": qr_solve_full}
 
-    return df.mapInPandas(run, schema)
+
+def solve(a: Tensor, b: Tensor, solver: str | Callable[[np.ndarray, np.ndarray], np.ndarray] = "plu") -> Tensor:
+    """Solve one system of coordinate tensors by a direct solver: a name of DIRECT, or any function of (matrix, right side).
+
+    The system is gathered, so it has to fit the driver (to_numpy refuses larger ones); see the
+    iterative solvers for spread ones.
+    """
+    from ..sources import from_numpy, to_numpy
+
+    x = (DIRECT[solver] if isinstance(solver, str) else solver)(to_numpy(a), to_numpy(b))
+    return from_numpy(a.spark, x)
 
 
 def matrix_of(row: dict, name: str = "a") -> np.ndarray:
     """Row-major packed matrix of a row (nrow, ncol and the array)."""
     return np.asarray(row[name], float).reshape(int(row["nrow"]), int(row["ncol"]))
-
-
-# Direct solves of sparse matrices, which are filled in: they share the dense kernels.
-cholmod_solve, umfpack_solve, spqr_solve, spqr_rank, spqr_qr = llt_solve, plu_solve, qr_solve, rank, qr_col_pivot
-cholmod_factor, umfpack_factor, spqr_factor = llt, plu, qr_col_pivot

@@ -15,6 +15,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..core import SolverError, Tensor
+from ..tables import Tables
 from .dense import givens, plu_solve, triangular_solve
 from .products import matmul
 
@@ -52,17 +53,14 @@ class Local:
 
 
 class Spread:
-    """A matrix of coordinate rows; vectors are written as tables under the checkpoint folder."""
+    """A matrix of coordinate rows; it and each new vector are written as tables under the shared folder."""
 
     def __init__(self, a: Tensor):
-        self.a = a
-        self.a.df.cache()
+        self.tables = Tables(a.spark, "spread")
+        self.a = self._keep(a)
 
     def _keep(self, t: Tensor) -> Tensor:
-        return t.with_(t.df.checkpoint() if self._can_checkpoint() else t.df.cache())
-
-    def _can_checkpoint(self) -> bool:
-        return self.a.spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+        return t.with_(self.tables.put(t.df))
 
     def apply(self, v):
         return self._keep(matmul(self.a, v).with_(kind="vector"))
