@@ -21,6 +21,8 @@ from ._words import NON_ALNUM, Words
 #: Words of benchmark text in one automaton (about 65 bytes of patterns each). A larger
 #: benchmark is dealt to several automata, each of which reads the documents once.
 AUTOMATON_WORDS = 200_000
+#: Bytes of benchmark text that are taken to the driver and sent to every worker; more are refused.
+MOST_BYTES = 256 << 20
 
 
 def _table() -> bytes:
@@ -129,10 +131,12 @@ def _merged(rows: DataFrame) -> DataFrame:
 
 
 def _groups(benchmark: DataFrame, automaton_words: int) -> list[list[tuple[str, str | None]]]:
-    """Benchmark items, in groups of which each fits an automaton."""
+    """Benchmark items, in groups of which each fits an automaton. A benchmark of more than MOST_BYTES raises ValueError."""
     bench = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item IS NOT NULL AND text IS NOT NULL")
     # Every word takes two bytes at least, so this bounds the words of a group.
-    size = bench.agg(F.coalesce(F.sum(F.octet_length("text") / 2 + 1), F.lit(0.0))).first()[0]
+    size, large = bench.agg(F.coalesce(F.sum(F.octet_length("text") / 2 + 1), F.lit(0.0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    if large > MOST_BYTES:
+        raise ValueError(f"a benchmark of {large} bytes is larger than {MOST_BYTES}: scan for its parts one after another")
     groups = max(1, -(-int(size) // (3 * automaton_words)))
     parts = [bench] if groups == 1 else [bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(groups)) == k) for k in range(groups)]
     return [[(r["item"], r["text"]) for r in part.collect()] for part in parts]

@@ -45,8 +45,8 @@ HEAVY_SHARE, HEAVY_LEAST = 1 / 128, 32
 BUCKET_GRAMS, FLUSH_GRAMS, BLOCK_GRAMS = 2_000_000, 600_000, 400_000
 #: Buckets that a mapper deals to at most.
 DEALT = 4096
-#: Columns of an incidence matrix that are multiplied at once.
-INCIDENCE = 8192
+#: Sets of a block whose links are counted, and columns of an incidence matrix that are multiplied at once.
+LINK_SETS, INCIDENCE = 1024, 4096
 LEAF, FANOUT, BITS, PIVOTS = 16, 8, 2048, 16
 
 
@@ -568,7 +568,7 @@ def _links(sets: DataFrame, found: DataFrame, nodes: DataFrame, percent: int, bl
     """Linked rows (those of other sets) of each set that has some."""
     copies = nodes.groupBy("fp").agg(F.count("*").alias("copies"))
     members = sets.select("fp", "n", "grams").dropDuplicates(["fp"]).join(found.select("fp", F.col("class").alias("root")), "fp").join(copies, "fp")
-    sizes = members.groupBy("root").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("blocks"))
+    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / block_grams), F.ceil(F.count("*") / LINK_SETS)).cast("int").alias("blocks"))
     members = members.join(sizes, "root").withColumn("at", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     right = members.withColumn("left", F.explode(F.expr("sequence(0, at)"))).withColumn("right", F.col("at")).withColumn("side", F.lit(1))
     left = members.where("at < blocks - 1").withColumn("right", F.explode(F.expr("sequence(at + 1, blocks - 1)"))).withColumn("left", F.col("at")).withColumn("side", F.lit(0))

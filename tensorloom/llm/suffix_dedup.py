@@ -7,12 +7,16 @@ places. Two passes:
 
 1. The kept suffixes are dealt out by ranges of the hash of their first k words and
    sorted: the buckets in order are the sparse suffix array. Neighbours that agree in
-   these words mark both suffixes.
+   these words mark both suffixes. (The order is that of the hash of the first k words: an order by the words
+   themselves would deal all suffixes that begin with a frequent word to one task.)
 2. From each marked suffix matches are extended to the left and to the right: every window
    that the suffix is the minimiser of (it starts up to min_words - k words to the left
    and ends as many to the right) is hashed whole, sorted, and compared with its
    neighbours. The first place of a window in the order of (doc_id, word) is kept,
-   later ones are repeats; overlapping windows join into maximal passages.
+   later ones are repeats; overlapping windows join into maximal passages. (Comparing the words beside all suffixes
+   of one k-run with each other, in one place, would gather every document that quotes a passage in one task, as
+   what stands around a quotation differs; windows that lie within it are alike and combine, those that cross
+   its end are dealt apart.)
 
 Both passes combine within a batch before they shuffle: of a suffix or window that a
 batch holds often, one entry is sent. So a passage that a third of all documents

@@ -387,6 +387,15 @@ def test_decontaminate(spark, automaton_words):
     assert none.count() == len(rows)
 
 
+def test_benchmark_too_large(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "MOST_BYTES", 10)
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "eleven bytes")], "item_id long, text string")
+    for run in (decontamination.decontaminate, decontamination.drop_contaminated):
+        with pytest.raises(ValueError, match="larger"):
+            run(docs, bench)
+
+
 def test_decontaminate_rows_of_one_id(spark):
     one, two = (f"w {t} w" for t in (ITEMS[0][1], "q1 q2 q3"))
     rows = [(1, one), (1, two), (1, one), (None, one), (None, None), (None, "w")]
