@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,7 +15,7 @@ class Tables:
     def __init__(self, spark: SparkSession, name: str):
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not spark.sparkContext.master.startswith("local["):
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="tensorloom-")
         self.spark, self.made = spark, 0

@@ -224,3 +224,13 @@ def test_accessors_and_sources(spark):
     one, two = (spark.range(100).repartition(k).select("id", S.random_column(1, "normal", by=["id"]).alias("v")).orderBy("id").collect() for k in (2, 5))
     assert one == two
     assert X.lift(S.from_values(spark, [1, 2])).shape == (2, None)
+
+
+def test_tables_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tensorloom.tables import Tables
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        Tables(session, "x")
