@@ -624,3 +624,13 @@ def test_toxicity_passes_over_texts_that_do_not_fit(spark):
     assert np.mean([(scores[i] >= 0.3) == bool(y) for i, _, y in rows]) > 0.9
     with pytest.raises(ValueError, match="sample"):
         toxicity.train(df, df.selectExpr("doc_id", "truth AS toxic"), sample_bytes=2)
+
+
+def test_tables_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tensorloom.llm._spark import shared_dir
+
+    for master in ("spark://host:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master)))
