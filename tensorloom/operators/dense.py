@@ -12,7 +12,6 @@ from dataclasses import dataclass
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -434,11 +433,11 @@ def per_row(df: DataFrame, fn: Callable[[dict], dict], schema: str, keep: tuple[
             if rows:
                 yield from pa.Table.from_pylist(rows, arrow).to_batches()
 
-    arrow = _arrow_schema(df, schema)
+    arrow = _arrow_schema(schema)
     return df.mapInArrow(run, schema)
 
 
-def _arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
+def _arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -451,7 +450,7 @@ def per_stack(df: DataFrame, fn: Callable[[np.ndarray], dict[str, np.ndarray]],
     df: nrow, ncol and a row-major array. fn gives an array by name of schema, its first dimension that of the
     matrices; what is left of each is a row-major array (or a number). Columns to keep stand beside.
     """
-    arrow = _arrow_schema(df, schema)
+    arrow = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
