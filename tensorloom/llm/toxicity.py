@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._blobs import extended
-from ._spark import slices
+from ._spark import release, slices
 from ._words import NON_ALNUM, U64, Words, delimiter_mask, span_hashes
 
 #: Hash bits of the weights, and lengths in bytes of the word beginnings used beside whole words.
@@ -183,7 +183,12 @@ def train(docs: DataFrame, labels: DataFrame, *, sample_docs: int = SAMPLE_DOCS,
     y = rows.column("toxic").to_numpy().astype(np.int64)
     share = np.array([totals[0], totals[1]], float) / np.bincount(y, minlength=2)
     weights = share[y] / share[y].mean()
-    return fit(data, y, weights)
+    del rows
+    model = fit(data, y, weights)
+    # The driver has more to do: what the sample took goes back to the system.
+    del data
+    release()
+    return model
 
 
 _FLAGGED = "array<struct<start:bigint,end:bigint,score:double>>"
