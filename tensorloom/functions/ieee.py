@@ -16,9 +16,11 @@ def div(a: Column, b: Column) -> Column:
 
 
 def _log(fn):
+    """fn where Spark has a value; 0 gives -inf, values below it and NaN give NaN, and NULL stays."""
+
     def run(x: Column) -> Column:
         x = x.cast("double")
-        return F.when(x == 0, F.lit(-INF)).when((x < 0) | F.isnan(x), F.lit(NAN)).otherwise(fn(F.when(x > 0, x).otherwise(F.lit(1.0))))
+        return F.when(x == 0, F.lit(-INF)).when((x < 0) | F.isnan(x), F.lit(NAN)).otherwise(fn(F.when(x <= 0, F.lit(1.0)).otherwise(x)))
 
     return run
 

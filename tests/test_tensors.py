@@ -65,6 +65,23 @@ def test_ieee(vals):
     assert rows(A.combine("max", vals([1, 1]), nan)) == [1, 1]
 
 
+def _logs_of_odd_values(spark, name):
+    """Logarithms of NULL, zeros of both signs, -1, NaN, both infinities, 1 and 8, as told by SQL."""
+    odd = [None, 0.0, -0.0, -1.0, math.nan, math.inf, -math.inf, 1.0, 8.0]
+    df = spark.createDataFrame(list(enumerate(odd)), "i0 long, v double")
+    return [r["v"] for r in A.math(Tensor(df, (len(odd),)), name).df.orderBy("i0").collect()]
+
+
+def _same_logs(got, of_8):
+    want = [None, -math.inf, -math.inf, math.nan, math.nan, math.inf, math.nan, 0.0]
+    assert list(map(repr, got[:-1])) == list(map(repr, want))
+    assert math.isclose(got[-1], of_8, rel_tol=1e-15)
+
+
+def test_log_keeps_nulls(spark):
+    _same_logs(_logs_of_odd_values(spark, "log"), math.log(8))
+
+
 def test_selection(vals):
     a, b = vals([1, 5, 3, 7]), vals([2, 3, 3, 1])
     pick = A.select_order(A.combine("spaceship", a, b), vals([-10, -20, -30, -40]), vals([0] * 4), vals([10, 20, 30, 40]))
