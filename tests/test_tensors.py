@@ -86,6 +86,10 @@ def test_log2_keeps_nulls(spark):
     _same_logs(_logs_of_odd_values(spark, "log2"), 3.0)
 
 
+def test_log10_keeps_nulls(spark):
+    _same_logs(_logs_of_odd_values(spark, "log10"), math.log10(8))
+
+
 def test_selection(vals):
     a, b = vals([1, 5, 3, 7]), vals([2, 3, 3, 1])
     pick = A.select_order(A.combine("spaceship", a, b), vals([-10, -20, -30, -40]), vals([0] * 4), vals([10, 20, 30, 40]))
