@@ -76,6 +76,24 @@ class Workspace:
             path.getFileSystem(self._conf()).delete(path, True)
 
 
+@contextlib.contextmanager
+def without_old_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of an action made within go when it ends, and not when the driver next collects garbage.
+
+    For steps whose results are written or collected: nothing reads their shuffles again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

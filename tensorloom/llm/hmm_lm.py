@@ -10,8 +10,9 @@
    corpus, dealt to buckets by its hash and summed there, one round of expectation and maximisation.
    A word's share of its class in a state is its add-one share times a ratio, which is
    stored in a byte per state; one place of a class is for unseen words. What this
-   gathers grows with the vocabulary and no task or driver holds all of it: a bucket sends
-   each document the ratios of its words.
+   gathers grows with the vocabulary and no task or driver holds all of it. Documents are
+   kept in blocks of about BLOCK_TOKENS tokens: a block adds up the posteriors of each of its words and
+   sends them once, and a bucket sends each block the ratios of its words once, however often they occur.
 4. A text's score is its exact log10 likelihood by the scaled forward recursion, the end symbol included.
 
 Learning (2 and the posteriors of 3) runs in single precision, sums of counts and scores in double.
@@ -28,15 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._blobs import batch_of, bucket_of, deal, home_of, joined, owners_of, table_of
-from ._spark import Workspace, buckets_for, release, slices
+from ._blobs import batch_of, bucket_of, joined, table_of
+from ._spark import Workspace, buckets_for, release, slices, without_old_shuffles
 from ._words import U64, Words
 
 #: Words with a symbol of their own, classes of the others, latent states, rounds of Baum-Welch.
 SYMBOLS, CLASSES, STATES, ROUNDS = 8192, 256, 8, 5
 FLUSH_WORDS, BUCKET_WORDS, CHUNK_TOKENS = 600_000, 2_000_000, 300_000
-#: Texts up to these numbers of tokens run side by side.
-LENGTHS = (512, 2048)
+#: Tokens of a block of documents, unless one document has more.
+BLOCK_TOKENS = 3_000_000
 #: Tokens whose moves are added up at once.
 MOVE_BLOCK = 1 << 16
 #: Symbols in one row of expected counts, and rows that one task of a level adds up.
@@ -113,19 +114,43 @@ def _most_frequent(n: int):
 
 # ---------------------------------------------------------------- encoding
 
-_ENCODED = "row long, doc_id long, held_out boolean, n_tokens long, log_sum double, n_known long, class_log double, symbols binary, rare binary"
+#: A row per block: of its documents one after another doc_id, held_out, tokens, sums and symbols; the hashes of
+#: its words without a symbol, sorted, and their classes; and of each place of such a word the word's number among them.
+_BLOCK = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("doc_ids", "held_out", "sizes", "log_sum", "n_known", "class_log", "symbols", "keys", "classes", "places"))])
+_BLOCK_SQL = "block long, doc_ids binary, held_out binary, sizes binary, log_sum binary, n_known binary, class_log binary, symbols binary, keys binary, classes binary, places binary"
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on as their lowest bytes, then their next ones, as far as any number has them."""
+    low = x.astype("<u8").view(np.uint8).reshape(-1, 8)
+    return low[:, : int(np.flatnonzero(low.any(axis=0)).max(initial=0)) + 1].T.tobytes()
+
+
+def numbers(data: bytes, n: int) -> np.ndarray:
+    """The n numbers of planes."""
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        given = np.frombuffer(data, np.uint8).reshape(-1, n)
+        out[:, : len(given)] = given.T
+    return out.view("<u8").ravel().astype(np.int64)
 
 
 def _encode(keys: np.ndarray, logs: np.ndarray, class_logs: np.ndarray, end_log: float, end_known: bool):
-    """Symbols of each text, and what its frequent words add to its scores.
+    """Blocks of texts as symbols, with what their frequent words add to their scores.
 
-    keys: the frequent words' hashes, sorted; logs: their log10(count + 1). Rows are numbered,
-    as several can have one doc_id.
+    keys: the frequent words' hashes, sorted; logs: their log10(count + 1).
     """
     end = len(keys) + CLASSES
 
     def run(batches):
-        number = TaskContext.get().partitionId() << 36
+        block = TaskContext.get().partitionId() << 36
+        held, size = [], 0
+
+        def flush():
+            *columns, rare, classes = (np.concatenate(c) for c in zip(*held, strict=True))
+            words, first, at = np.unique(rare, return_index=True, return_inverse=True)
+            return batch_of([(block, *(c.tobytes() for c in columns), words.tobytes(), classes[first].tobytes(), planes(at))], _BLOCK)
+
         for batch in slices(batches, "text"):
             words = Words(batch.column("text"))
             h = words.hashes()
@@ -138,18 +163,48 @@ def _encode(keys: np.ndarray, logs: np.ndarray, class_logs: np.ndarray, end_log:
             gain = per_row(np.where(own, logs[at] if len(keys) else 0.0, 0.0)) + end_log
             mass = per_row(np.where(own, 0.0, class_logs[classes]))
             known = per_row(own).astype(np.int64) + end_known
-            bounds = list(zip(words.first[:-1], words.first[1:], strict=True))
-            rows = np.arange(number, number + batch.num_rows)
-            number += batch.num_rows
-            yield pa.record_batch({
-                "row": pa.array(rows, pa.int64()), "doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "n_tokens": pa.array(words.counts() + 1), "log_sum": pa.array(gain), "n_known": pa.array(known), "class_log": pa.array(mass),
-                "symbols": pa.array([np.append(symbols[a:b], np.uint16(end)).tobytes() for a, b in bounds], pa.binary()),
-                "rare": pa.array([h[a:b][~own[a:b]].tobytes() for a, b in bounds], pa.binary()),
-            })
+            if size and size + len(symbols) + batch.num_rows > BLOCK_TOKENS:
+                yield flush()
+                held, size, block = [], 0, block + 1
+                release()
+            held.append((
+                batch.column("doc_id").to_numpy(), batch.column("held_out").to_numpy(zero_copy_only=False).astype(np.uint8), words.counts().astype(np.int64) + 1,
+                gain, known, mass, np.insert(symbols, words.first[1:], np.uint16(end)), h[~own], classes[~own],
+            ))
+            size += len(symbols) + batch.num_rows
+        if size:
+            yield flush()
+        release()
 
     return run
 
 
+def _blocks(batches, *columns: str):
+    """Of each block its values of columns."""
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+
+
+def _like_lengths(sizes: np.ndarray):
+    """Numbers of texts, in runs of like length of about CHUNK_TOKENS tokens: the steps of a run are those of its longest text."""
+    order = np.argsort(sizes, kind="stable")
+    ends = np.cumsum(sizes[order])
+    at = 0
+    while at < len(order):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_TOKENS, side="right")))
+        yield order[at:upto]
+        at = upto
+
+
+def _runs(sizes: bytes, symbols: bytes, left_out: bytes = b""):
+    """Runs of a block's documents of like length, without those that are left out: their numbers and their texts."""
+    sizes, symbols = np.frombuffer(sizes, np.int64), np.frombuffer(symbols, np.uint16)
+    ends = np.cumsum(sizes)
+    docs = np.flatnonzero(np.frombuffer(left_out, np.uint8) == 0) if left_out else np.arange(len(sizes))
+    for picked in _like_lengths(sizes[docs]):
+        yield docs[picked], [symbols[ends[i] - sizes[i] : ends[i]] for i in docs[picked]]
+
+
 # ---------------------------------------------------------------- hidden Markov model
 
 
@@ -254,29 +309,6 @@ class Hmm:
         return likelihood, alpha[: heads[1]].sum(axis=0, dtype=np.float64), moved, emitted
 
 
-def _chunks(batches, column: str):
-    """Rows of about CHUNK_TOKENS symbols, of texts of like length: the steps of a chunk are those of its longest text."""
-    pools: dict[int, list[pa.RecordBatch]] = {}
-    sizes: dict[int, int] = {}
-
-    def chunk(k: int):
-        table = pa.Table.from_batches(pools.pop(k)).combine_chunks()
-        sizes.pop(k)
-        for part in table.to_batches():
-            yield part, [np.frombuffer(x, np.uint16) for x in part.column(column).to_pylist()]
-
-    for batch in slices(batches, column, 2 * CHUNK_TOKENS):
-        tokens = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False) // 2
-        kinds = np.searchsorted(LENGTHS, tokens)
-        for k in np.unique(kinds).tolist():
-            pools.setdefault(k, []).append(batch.filter(pa.array(kinds == k)))
-            sizes[k] = sizes.get(k, 0) + int(tokens[kinds == k].sum())
-            if sizes[k] >= CHUNK_TOKENS:
-                yield from chunk(k)
-    for k in list(pools):
-        yield from chunk(k)
-
-
 _COUNTS = "part long, kind int, block int, counts binary"
 
 
@@ -285,10 +317,11 @@ def _expect(model: Hmm):
 
     def run(batches):
         total = None
-        for _, texts in _chunks(batches, "symbols"):
-            likelihood, *counts = model.run(texts, learn=True)
-            counts.append(np.array([likelihood.sum(), sum(map(len, texts))]))
-            total = counts if total is None else [a + b for a, b in zip(total, counts, strict=True)]
+        for block in _blocks(batches, "sizes", "symbols", "held_out"):
+            for _, texts in _runs(*block):
+                likelihood, *counts = model.run(texts, learn=True)
+                counts.append(np.array([likelihood.sum(), sum(map(len, texts))]))
+                total = counts if total is None else [a + b for a, b in zip(total, counts, strict=True)]
         release()
         if total is not None:
             start, move, emit, rest = total
@@ -312,13 +345,13 @@ def summed(parts: DataFrame) -> DataFrame:
 
 
 def baum_welch(encoded: DataFrame, weights: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> tuple[Hmm, np.ndarray, list[float]]:
-    """Model of all rows of encoded (symbols), the share of each state in each symbol as the last round
-    expected it, and the log10 likelihood a token before each round."""
+    """Model of all documents of encoded that are not held out, the share of each state in each symbol as the
+    last round expected it, and the log10 likelihood a token before each round."""
     model, n, history = Hmm.initial(weights, states), len(weights), []
     shares = np.full((states, n), 1 / states)
     for _ in range(rounds):
         # states * symbols / COUNT_BLOCK rows reach the driver, however large the corpus is.
-        rows = summed(encoded.select("symbols").mapInArrow(_expect(model), _COUNTS)).collect()
+        rows = summed(encoded.select("sizes", "symbols", "held_out").mapInArrow(_expect(model), _COUNTS)).collect()
         if not rows:
             break
         emit = np.zeros((states, n))
@@ -337,43 +370,52 @@ def baum_welch(encoded: DataFrame, weights: np.ndarray, states: int = STATES, ro
 
 # ---------------------------------------------------------------- words within classes
 
-_ASKED = pa.schema([("bucket", pa.int32()), ("owners", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("classes", pa.binary()), ("states", pa.binary())])
-_ASKED_SQL = "bucket int, owners binary, counts binary, keys binary, classes binary, states binary"
+_ASKED = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("classes", pa.binary()), ("counts", pa.binary()), ("states", pa.binary())])
+_ASKED_SQL = "bucket int, block long, keys binary, classes binary, counts binary, states binary"
 
 
-def _ask(n_buckets: int, n_own: int, model: Hmm | None):
-    """Words of classes by bucket, each with its row; for training rows (model is given) with its posterior in bytes."""
+def _ask(n_buckets: int, n_own: int, model: Hmm):
+    """Words of each block by bucket, with their places in its training documents and the sums of the posteriors there, in bytes."""
+    states = len(model.start)
 
     def run(batches):
-        held, size = [], 0
-
-        def flush():
-            keys, ids, classes, states = (np.concatenate(c) for c in zip(*held, strict=True))
-            return batch_of([(*row, b"") if model is None else row for row in deal(bucket_of(keys, n_buckets), n_buckets, ids, keys, classes, *([] if model is None else [states]))], _ASKED)
-
-        for batch, texts in _chunks(batches, "symbols"):
-            rare = [np.frombuffer(x, U64) for x in batch.column("rare").to_pylist()]
-            n = np.array([len(x) for x in rare])
-            if not n.sum():
+        for block, sizes, held, symbols, keys, classes, places in _blocks(batches, "block", "sizes", "held_out", "symbols", "keys", "classes", "places"):
+            keys, classes, out = np.frombuffer(keys, U64), np.frombuffer(classes, np.uint8), np.frombuffer(held, np.uint8)
+            if not len(keys):
                 continue
-            symbols = np.concatenate(texts)
-            inside = (symbols >= n_own) & (symbols < n_own + CLASSES)
-            states = np.zeros((int(n.sum()), 0), np.uint8) if model is None else np.rint(model.run(texts, posteriors=True)[inside] * 255).astype(np.uint8)
-            held.append((np.concatenate(rare), np.repeat(batch.column("row").to_numpy(), n), (symbols[inside] - n_own).astype(np.uint8), states))
-            size += len(held[-1][0])
-            if size >= FLUSH_WORDS:
-                yield flush()
-                held, size = [], 0
-                release()
-        if size:
-            yield flush()
-        release()
+            row, at, cuts = _rare(sizes, symbols, places, n_own)
+            posterior = np.zeros((len(at), states), np.uint8)
+            for docs, texts in _runs(sizes, symbols, held):
+                told = np.concatenate(texts)
+                inside = (told >= n_own) & (told < n_own + CLASSES)
+                posterior[_spans(cuts, docs)] = np.rint(model.run(texts, posteriors=True)[inside] * 255).astype(np.uint8)
+            counts = np.bincount(at[out[row] == 0], minlength=len(keys))
+            sums = np.stack([np.bincount(at, weights=posterior[:, k], minlength=len(keys)) for k in range(states)], axis=1).astype(np.int64)
+            # Keys are sorted and buckets are ranges of them.
+            ends = np.searchsorted(bucket_of(keys, n_buckets), np.arange(n_buckets + 1))
+            yield batch_of([(t, block, keys[a:b].tobytes(), classes[a:b].tobytes(), planes(counts[a:b]), planes(sums[a:b].ravel())) for t, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if b > a], _ASKED)
+            release()
 
     return run
 
 
-_TOLD = pa.schema([("home", pa.int32()), ("bucket", pa.int32()), ("owners", pa.binary()), ("counts", pa.binary()), ("sums", pa.binary()), ("known", pa.binary()), ("ratios", pa.binary())])
-_TOLD_SQL = "home int, bucket int, owners binary, counts binary, sums binary, known binary, ratios binary"
+def _rare(sizes: bytes, symbols: bytes, places: bytes, n_own: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each place of a word without a symbol: its document's number in the block and its word's; and where
+    each document's places begin, with one entry more at the end."""
+    sizes, symbols = np.frombuffer(sizes, np.int64), np.frombuffer(symbols, np.uint16)
+    spots = np.flatnonzero((symbols >= n_own) & (symbols < n_own + CLASSES))
+    cuts = np.searchsorted(spots, np.concatenate(([0], np.cumsum(sizes))))
+    return np.repeat(np.arange(len(sizes)), np.diff(cuts)), numbers(places, len(spots)), cuts
+
+
+def _spans(cuts: np.ndarray, picked: np.ndarray) -> np.ndarray:
+    """Places cuts[i] to cuts[i + 1] of each i of picked, one after another."""
+    n = np.diff(cuts)[picked]
+    return np.repeat(cuts[picked] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+
+
+_TOLD = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()), ("ratios", pa.binary())])
+_TOLD_SQL = "block long, bucket int, counts binary, ratios binary"
 
 
 def ratios_of(counts: np.ndarray, expected: np.ndarray, shares: np.ndarray) -> np.ndarray:
@@ -385,121 +427,71 @@ def ratios_of(counts: np.ndarray, expected: np.ndarray, shares: np.ndarray) -> n
     return np.clip(np.rint(np.log(ratio) * STEPS), -128, 127).astype(np.int8)
 
 
-def _tell(n_homes: int, states: int, shares: np.ndarray):
-    """Of one bucket: counts and ratios of its words, to each row that has them in the order of its words; and
-    (home -1) what the words add to the masses of classes in each state. shares: states x classes."""
+def _tell(states: int, shares: np.ndarray):
+    """Of one bucket: counts and ratios of its words, to each block that has them in the order of its words; and
+    (block -1) what the words add to the masses of classes in each state. shares: states x classes."""
 
     def run(table: pa.Table) -> pa.Table:
         release()
         bucket = table.column("bucket")[0].as_py()
-        taught = pc.greater(pc.binary_length(table.column("states")), 0)
-        lessons = table.filter(taught)
-        keys = joined(lessons, "keys", U64)
+        keys = joined(table, "keys", U64)
+        sizes = [len(x) // 8 for x in table.column("keys").to_pylist()]
         words, first, at = np.unique(keys, return_index=True, return_inverse=True)
-        counts = np.bincount(at, minlength=len(words)).astype(np.int64)
-        classes = joined(lessons, "classes", np.uint8)[first]
-        given = joined(lessons, "states", np.uint8).reshape(-1, states)
-        expected = np.stack([np.bincount(at, weights=given[:, k], minlength=len(words)).astype(np.float64) for k in range(states)], axis=1)
+        sums = lambda x: np.bincount(at, weights=x, minlength=len(words)).astype(np.float64)
+        counts = sums(np.concatenate([numbers(x, n) for x, n in zip(table.column("counts").to_pylist(), sizes, strict=True)])).astype(np.int64)
+        classes = joined(table, "classes", np.uint8)[first]
+        given = np.concatenate([numbers(x, n * states).reshape(-1, states) for x, n in zip(table.column("states").to_pylist(), sizes, strict=True)])
+        expected = np.stack([sums(given[:, k]) for k in range(states)], axis=1)
         expected *= (counts / np.maximum(expected.sum(axis=1), 1e-9))[:, None]
-        ratios = ratios_of(counts, expected, shares.T[classes]) if len(words) else np.zeros((0, states), np.int8)
+        # Words that only held-out documents have are unseen: no count, ratios of 1, nothing in the masses.
+        ratios = np.where((counts > 0)[:, None], ratios_of(counts, expected, shares.T[classes]), np.int8(0))
         mass = np.zeros((states, CLASSES))
         for k in range(states):
-            mass[k] = np.bincount(classes, weights=(counts + 1) * RATIOS[ratios[:, k].astype(np.int64) + 128], minlength=CLASSES)
-        rows = [(-1, bucket, b"", b"", b"", b"", mass.tobytes())]
-
-        keys, ids = joined(table, "keys", U64), owners_of(table)
-        at = np.minimum(np.searchsorted(words, keys), max(len(words) - 1, 0))
-        known = words[at] == keys if len(words) else np.zeros(len(keys), bool)
-        c = np.where(known, counts[at], 0) if len(words) else np.zeros(len(keys), np.int64)
-        given = np.where(known[:, None], ratios[at], np.int8(0)) if len(words) else np.zeros((len(keys), states), np.int8)
-        order = np.argsort(ids, kind="stable")
-        ids, c, given = ids[order], c[order], given[order]
-        heads = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-        sums, known = np.add.reduceat(np.log10(c + 1.0), heads), np.add.reduceat((c > 0).astype(np.int64), heads).astype(np.uint32)
-        number = np.repeat(np.arange(len(heads)), np.diff(heads, append=len(ids)))
-        for t, owners, numbers, ratios_, numbered in deal(home_of(ids, n_homes), n_homes, ids, given, number):
-            mine = np.frombuffer(numbered, np.int64)
-            mine = mine[np.concatenate(([True], mine[1:] != mine[:-1]))]
-            rows.append((t, bucket, owners, numbers, sums[mine].tobytes(), known[mine].tobytes(), ratios_))
+            mass[k] = np.bincount(classes, weights=(counts > 0) * (counts + 1) * RATIOS[ratios[:, k].astype(np.int64) + 128], minlength=CLASSES)
+        rows = [(-1, bucket, b"", mass.tobytes())]
+        start = 0
+        for block, n in zip(table.column("block").to_pylist(), sizes, strict=True):
+            mine = at[start : start + n]
+            rows.append((block, bucket, planes(counts[mine]), ratios[mine].tobytes()))
+            start += n
         return table_of(rows, _TOLD)
 
     return run
 
 
-_DOC = pa.schema([*_TOLD, ("symbols", pa.binary()), ("asked", pa.binary()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_sum", pa.float64()), ("class_log", pa.float64())])
-_DOC_MORE = "symbols binary, asked binary, doc_id long, held_out boolean, n_tokens long, n_known long, log_sum double, class_log double"
-
-
-def _send_docs(n_homes: int, n_buckets: int):
-    """Rows to their homes, with the bucket in which each word of a class was asked for."""
-
-    def run(batches):
-        for batch in slices(batches, "symbols"):
-            ids = batch.column("row").to_numpy()
-            n = batch.num_rows
-            asked = [bucket_of(np.frombuffer(x, U64), n_buckets).tobytes() for x in batch.column("rare").to_pylist()]
-            blank = pa.array([b""] * n, pa.binary())
-            yield pa.record_batch([
-                pa.array(home_of(ids, n_homes)), pa.array([-1] * n, pa.int32()), pa.array([x.tobytes() for x in ids], pa.binary()), blank, blank, blank, blank,
-                batch.column("symbols"), pa.array(asked, pa.binary()), *(batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "log_sum", "class_log")),
-            ], schema=_DOC)
-
-    return run
-
-
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_sum", pa.float64()), ("score", pa.float64())])
 
 
 def _score(model: Hmm, masses: np.ndarray, n_own: int):
-    """Of one home: every row's likelihood, with the ratios of its words over their classes' masses (states x classes)."""
+    """Of one block: every document's likelihood, with the ratios of its words over their classes' masses (states x classes)."""
     states = len(model.start)
 
     def run(table: pa.Table) -> pa.Table:
         release()
-        docs = table.filter(pc.less(table.column("bucket"), 0)).combine_chunks()
-        told = table.filter(pc.greater_equal(table.column("bucket"), 0)).sort_by("bucket")
-        ids = joined(docs, "owners", np.int64)
-        n = len(ids)
-        owners, counts = joined(told, "owners", np.int64), joined(told, "counts", np.uint32).astype(np.int64)
+        block = table.filter(pc.is_valid(table.column("sizes"))).to_pylist()[0]
+        told = table.filter(pc.is_null(table.column("sizes"))).sort_by("bucket")
+        # Words are sorted and buckets are ranges of them: what the buckets told, one after another, is in the words' order.
         ratios = joined(told, "ratios", np.int8).reshape(-1, states)
-        order = np.argsort(ids)
-        at = order[np.searchsorted(ids[order], owners)] if len(owners) else np.zeros(0, np.int64)
-        sums = np.bincount(at, weights=joined(told, "sums", np.float64), minlength=n).astype(np.float64)
-        known = np.bincount(at, weights=joined(told, "known", np.uint32), minlength=n).astype(np.int64)
-        # All ratios by row, and within a row by bucket: each row's words sorted by bucket are in the same order.
-        ratios = ratios[np.argsort(np.repeat(at, counts), kind="stable")]
-        asked = [np.frombuffer(x, np.int32) for x in docs.column("asked").to_pylist()]
-        cuts = np.concatenate(([0], np.cumsum([len(x) for x in asked])))
+        c = np.concatenate([np.zeros(0, np.int64), *(numbers(x, len(r) // states) for x, r in zip(told.column("counts").to_pylist(), told.column("ratios").to_pylist(), strict=True))])
+        row, at, cuts = _rare(block["sizes"], block["symbols"], block["places"], n_own)
+        n = len(cuts) - 1
+        sums = np.bincount(row, weights=np.log10(c[at] + 1.0), minlength=n).astype(np.float64)
+        known = np.bincount(row, weights=c[at] > 0, minlength=n).astype(np.int64)
         likelihood = np.zeros(n)
-        texts = [np.frombuffer(x, np.uint16) for x in docs.column("symbols").to_pylist()]
-        for picked in _like_lengths(np.array([len(t) for t in texts], np.int64)):
-            mine = [texts[i] for i in picked]
-            symbols = np.concatenate(mine)
+        for docs, texts in _runs(block["sizes"], block["symbols"]):
+            symbols = np.concatenate(texts)
             own = np.flatnonzero((symbols >= n_own) & (symbols < n_own + CLASSES))
-            given = np.empty((len(own), states), np.int8)
-            start = 0
-            for i in picked:
-                given[start + np.argsort(asked[i], kind="stable")] = ratios[cuts[i] : cuts[i + 1]]
-                start += len(asked[i])
+            given = ratios[at[_spans(cuts, docs)]]
             times = RATIOS[given.astype(np.int64) + 128] / masses.T[symbols[own] - n_own]
-            likelihood[picked] = model.run(mine, factors=(own, times))
-        score = likelihood / np.log(10) + sums - docs.column("class_log").to_numpy()
-        return pa.table([docs.column("doc_id"), docs.column("held_out"), docs.column("n_tokens"), pa.array(docs.column("n_known").to_numpy() + known), pa.array(docs.column("log_sum").to_numpy() + sums), pa.array(score)], schema=_SCORED)
+            likelihood[docs] = model.run(texts, factors=(own, times))
+        of = lambda name, kind: np.frombuffer(block[name], kind)
+        score = likelihood / np.log(10) + sums - of("class_log", np.float64)
+        columns = of("doc_ids", np.int64), of("held_out", np.uint8) == 1, of("sizes", np.int64), of("n_known", np.int64) + known, of("log_sum", np.float64) + sums, score
+        return pa.table([pa.array(x) for x in columns], schema=_SCORED)
 
     return run
 
 
-def _like_lengths(sizes: np.ndarray):
-    """Numbers of texts, in runs of like length of about CHUNK_TOKENS tokens."""
-    order = np.argsort(sizes, kind="stable")
-    ends = np.cumsum(sizes[order])
-    at = 0
-    while at < len(order):
-        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK_TOKENS, side="right")))
-        yield order[at:upto]
-        at = upto
-
-
 # ---------------------------------------------------------------- operator
 
 
@@ -517,9 +509,9 @@ class LanguageModel:
     history: list[float]
 
 
-def learn(docs: DataFrame, ws: Workspace, symbols: int = SYMBOLS, states: int = STATES, rounds: int = ROUNDS) -> tuple[LanguageModel, DataFrame, DataFrame, int, int]:
-    """Model of the rows of docs (doc_id, held_out, text) that are not held out, all rows encoded, what
-    they are told of their words, and the numbers of buckets and homes."""
+def learn(docs: DataFrame, ws: Workspace, symbols: int = SYMBOLS, states: int = STATES, rounds: int = ROUNDS) -> tuple[LanguageModel, DataFrame, DataFrame]:
+    """Model of the rows of docs (doc_id, held_out, text) that are not held out, all rows encoded in blocks,
+    and what these are told of their words."""
     spark = docs.sparkSession
     train = docs.where("NOT held_out")
     size = train.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count("*").alias("ends")).first()
@@ -536,22 +528,20 @@ def learn(docs: DataFrame, ws: Workspace, symbols: int = SYMBOLS, states: int =
     order = np.argsort(keys)
     keys, own, classes = keys[order], top["n"].to_numpy(np.int64)[order], top["class"].to_numpy(np.int64)[order]
     mass = np.array([totals[f"c{c}"] for c in range(CLASSES)], np.float64) - np.bincount(classes, weights=own + 1, minlength=CLASSES)
-    encoded = ws.table(docs.mapInArrow(_encode(keys, np.log10(own + 1.0), np.log10(mass + 1.0), float(np.log10(ends + 1.0)), ends > 0), _ENCODED))
+    encoded = ws.table(docs.mapInArrow(_encode(keys, np.log10(own + 1.0), np.log10(mass + 1.0), float(np.log10(ends + 1.0)), ends > 0), _BLOCK_SQL))
 
     weights = np.concatenate((own, np.maximum(mass, 0.0), [float(ends)])).astype(np.float64)
-    model, shares, history = baum_welch(encoded.where("NOT held_out"), weights, states, rounds)
-
-    asks = encoded.agg(F.coalesce(F.sum(F.octet_length("rare")), F.lit(0)).alias("rare"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
-    n_rare, n_homes = max(16, -(-asks["rare"] // (4 * BUCKET_WORDS))), buckets_for(spark, asks["tokens"], BUCKET_WORDS)
-    columns = encoded.select("row", "held_out", "symbols", "rare")
-    taught, held = columns.where("NOT held_out"), columns.where("held_out")
-    asked = taught.mapInArrow(_ask(n_rare, len(keys), model), _ASKED_SQL).unionByName(held.mapInArrow(_ask(n_rare, len(keys), None), _ASKED_SQL))
-    told = ws.table(asked.groupBy("bucket").applyInArrow(_tell(n_homes, states, shares[:, len(keys) : len(keys) + CLASSES]), _TOLD_SQL))
-    parts = told.where("home < 0").select(F.col("bucket").cast("long").alias("part"), F.lit(0).alias("kind"), F.lit(0).alias("block"), F.col("ratios").alias("counts"))
+    model, shares, history = baum_welch(encoded, weights, states, rounds)
+
+    asks = encoded.agg(F.coalesce(F.sum(F.octet_length("keys")), F.lit(0)).alias("keys")).first()
+    n_rare = max(16, -(-asks["keys"] // (2 * BUCKET_WORDS)))
+    asked = encoded.select("block", "sizes", "held_out", "symbols", "keys", "classes", "places").mapInArrow(_ask(n_rare, len(keys), model), _ASKED_SQL)
+    told = ws.table(asked.groupBy("bucket").applyInArrow(_tell(states, shares[:, len(keys) : len(keys) + CLASSES]), _TOLD_SQL))
+    parts = told.where("block < 0").select(F.col("bucket").cast("long").alias("part"), F.lit(0).alias("kind"), F.lit(0).alias("block"), F.col("ratios").alias("counts"))
     found = summed(parts).first()
     masses = (np.frombuffer(found["counts"], np.float64).reshape(states, CLASSES) if found else np.zeros((states, CLASSES))) + 1
     masses = masses / (mass + 1)
-    return LanguageModel(model, keys, n, v, mass + 1, masses, history), encoded, told, n_rare, n_homes
+    return LanguageModel(model, keys, n, v, mass + 1, masses, history), encoded, told
 
 
 def hmm_score(docs: DataFrame, held_out: F.Column, *, symbols: int = SYMBOLS, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
@@ -569,9 +559,9 @@ def hmm_score(docs: DataFrame, held_out: F.Column, *, symbols: int = SYMBOLS, st
         raise ValueError("symbols are stored in 16 bits")
     ws = Workspace(docs.sparkSession, "hmm")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text").where("doc_id IS NOT NULL")
-    model, encoded, told, n_rare, n_homes = learn(docs, ws, symbols, states, rounds)
-    sent = encoded.mapInArrow(_send_docs(n_homes, n_rare), f"{_TOLD_SQL}, {_DOC_MORE}")
-    both = sent.unionByName(told.where("home >= 0"), allowMissingColumns=True)
-    scored = both.groupBy("home").applyInArrow(_score(model.hmm, model.masses, len(model.keys)), "doc_id long, held_out boolean, n_tokens long, n_known long, log_sum double, score double")
+    with without_old_shuffles(docs.sparkSession):
+        model, encoded, told = learn(docs, ws, symbols, states, rounds)
+    both = told.where("block >= 0").unionByName(encoded.drop("keys", "classes"), allowMissingColumns=True)
+    scored = both.groupBy("block").applyInArrow(_score(model.hmm, model.masses, len(model.keys)), "doc_id long, held_out boolean, n_tokens long, n_known long, log_sum double, score double")
     base = F.col("log_sum") - F.col("n_tokens") * F.lit(float(np.log10(model.tokens + model.distinct + 1.0)))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

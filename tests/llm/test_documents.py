@@ -4,8 +4,11 @@ import hashlib
 import math
 import random
 import re
+import time
+import uuid
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tensorloom.llm import byte_bpe, decontamination, hmm_lm, license_scan, ngram_join, sharding, suffix_dedup, toxicity
-from tensorloom.llm._spark import Workspace, components, prefilter
+from tensorloom.llm._spark import Workspace, components, prefilter, shared_dir, without_old_shuffles
 from tensorloom.llm._words import NON_ALNUM, Words
 
 VOCAB = ["the", "of", "And", "word", "été", "straße", "x1", "don't", "日本", "z", "alpha", "beta", "gamma", "delta", "eps"]
@@ -277,6 +280,46 @@ def test_hmm_score_wordless_and_repeated_rows(spark):
     check_hmm([*rows[:2], *by_size], [*first, *rest], [False] * 6, 2, 2, 2)
 
 
+def test_hmm_words_are_told_once_a_block(spark):
+    rows = [(i, "x x x x " + " ".join(f"rare{k}" for k in range(50) if k % 7 != i % 7), i % 5 == 0) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean").coalesce(1)
+    _, _, told, *_ = hmm_lm.learn(docs, Workspace(spark, "told"), symbols=1, states=2, rounds=1)
+    # 50 words without a symbol, each in most of 100 documents of one block: a byte a word and state is sent.
+    assert told.where(F.col(told.columns[0]) >= 0).agg(F.sum(F.octet_length("ratios"))).first()[0] == 2 * 50
+
+
+def test_hmm_blocks_hold_whole_texts(monkeypatch):
+    monkeypatch.setattr(hmm_lm, "BLOCK_TOKENS", 10)
+    monkeypatch.setattr(hmm_lm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 2)))
+    rows = ["a b a", None, " ".join(["c"] * 60), "", "d a"]
+    batches = [pa.record_batch({"doc_id": pa.array([i]), "held_out": pa.array([False]), "text": pa.array([t], pa.string())}) for i, t in enumerate(rows)]
+    blocks = [b.to_pylist()[0] for b in hmm_lm._encode(np.zeros(0, np.uint64), np.zeros(0), np.zeros(hmm_lm.CLASSES), 0.0, True)(batches)]
+    assert [b["block"] for b in blocks] == [(2 << 36) + k for k in range(3)]
+    assert [np.frombuffer(b["sizes"], np.int64).tolist() for b in blocks] == [[4, 1], [61], [1, 3]]
+    assert [len(b["keys"]) // 8 for b in blocks] == [2, 1, 2]
+
+
+def test_whole_numbers_in_planes():
+    for x, size in (([], 0), ([0], 1), ([0, 255], 2), ([256, 1, 70000], 9), ([2**40, 3, 0], 18)):
+        data = hmm_lm.planes(np.array(x, np.int64))
+        assert len(data) == size
+        assert hmm_lm.numbers(data, len(x)).tolist() == x
+
+
+def test_shuffle_files_go_with_their_action(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_\w+", disk.getAllFiles().mkString("\n")))
+    before = files()
+    with without_old_shuffles(spark):
+        spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().write.parquet(f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
 def test_state_posteriors_match_enumeration():
     from itertools import product
 
